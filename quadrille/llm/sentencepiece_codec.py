@@ -3,7 +3,8 @@
 A model none of whose pieces holds a whitespace marker after another character never merges across the start of
 a run of markers. So a text's ids are the ids of its marked words, one after the other. Each block of documents
 names its distinct marked words; every word goes to one task by its hash, is segmented there once by the library
-and comes back as ids; the block then joins ids to its words by position. Texts cross the network once.
+and comes back as ids in the order asked; the block then joins ids to its words by position. Texts cross the
+network once, compressed.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ import hashlib
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quadrille.llm.common import block_count, small_batches, texts
 
@@ -68,19 +69,58 @@ def _unpack(blob: bytes) -> list[bytes]:
     return out
 
 
+_PACKED = pa.schema([("block", pa.int64()), ("pack", pa.binary())])
 _REQUEST = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("words", pa.binary())])
-_ANSWER = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("ids", pa.binary()), ("odd", pa.binary()), ("odd_text", pa.binary())])
+_ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()), ("odd", pa.binary()), ("odd_text", pa.binary())])
+
+
+def _packs(block_bytes: int):
+    """Documents in packs of about block_bytes of text, numbered by a digest of what they hold."""
+
+    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+            out.write_table(pa.Table.from_batches(batches).combine_chunks())
+        raw = sink.getvalue().to_pybytes()
+        number = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([raw], pa.binary())], schema=_PACKED)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= block_bytes:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _unpacked(group: pa.Table) -> tuple[list[int | None], list[str | None]]:
+    """doc_ids and texts of a block; packs of one number are equal, so their order says nothing."""
+    ids, every = [], []
+    for raw in group.column("pack"):
+        t = pa.ipc.open_stream(raw.as_buffer()).read_all()
+        ids += t.column("doc_id").to_pylist()
+        every += t.column("text").to_pylist()
+    return ids, every
+
+
+def _by_part(words: list[list[str]], parts: int) -> list[list[bytes]]:
+    """A block's distinct words in the order of their first place, dealt to parts by hash."""
+    split: list[list[bytes]] = [[] for _ in range(parts)]
+    for word in dict.fromkeys(chain.from_iterable(words)):
+        raw = word.encode()
+        split[zlib.crc32(raw) % parts].append(raw)
+    return split
 
 
 def _requests(parts: int):
     def of_block(group: pa.Table) -> pa.Table:
-        seen: set[str] = set()
-        for text in group.column("text").to_pylist():
-            seen.update(words_of(text))
-        split: list[list[bytes]] = [[] for _ in range(parts)]
-        for word in seen:
-            raw = word.encode()
-            split[zlib.crc32(raw) % parts].append(raw)
+        split = _by_part([words_of(t) for t in _unpacked(group)[1]], parts)
         block = group.column("block")[0].as_py()
         rows = [(block, k, _pack(w)) for k, w in enumerate(split) if w]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ([], [], []), _REQUEST.types)], schema=_REQUEST)
@@ -95,7 +135,7 @@ def _segment(path: str):
         odd: dict[bytes, bytes] = {}  # words that decode to something else than themselves
         alone = np.array([sp.piece_to_id(MARK)], "<u2").tobytes()
         for batch in batches:
-            for block, blob in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
+            for block, part, blob in zip(*(batch.column(c).to_pylist() for c in _REQUEST.names)):
                 words = _unpack(blob)
                 if len(known) > _CACHE_WORDS:
                     known.clear()
@@ -109,27 +149,31 @@ def _segment(path: str):
                     if word and decoded != word:
                         odd[raw] = decoded.encode()
                 strange = [w for w in words if w in odd] if odd else []
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((block, blob, _pack([known[w] for w in words]), _pack(strange), _pack([odd[w] for w in strange])), _ANSWER.types)], schema=_ANSWER)
+                row = (block, part, _pack([known[w] for w in words]), _pack(strange), _pack([odd[w] for w in strange]))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _ANSWER.types)], schema=_ANSWER)
 
     return run
 
 
-def _joined(path: str, digests: bool):
+def _joined(path: str, parts: int, digests: bool):
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())])])
 
     def of_block(left: pa.Table, right: pa.Table) -> pa.Table:
         sp = _model(path)
         begin, end = (np.array([x], "<u4").tobytes() for x in (sp.bos_id(), sp.eos_id()))
+        doc_ids, every = _unpacked(left)
+        asked = [words_of(t) for t in every]
+        del every
+        split = _by_part(asked, parts)
         ids: dict[str, bytes] = {}
         odd: dict[str, str] = {}
-        for row in right.select(["words", "ids", "odd", "odd_text"]).to_batches():
-            for words, got, strange, said in zip(*(c.to_pylist() for c in row.columns)):
-                for word, x in zip(_unpack(words), _unpack(got)):
-                    ids[word.decode()] = np.frombuffer(x, "<u2").astype("<u4").tobytes()
-                odd.update((a.decode(), b.decode()) for a, b in zip(_unpack(strange), _unpack(said)))
+        for part, got, strange, said in zip(*(right.column(c).to_pylist() for c in ("part", "ids", "odd", "odd_text"))):
+            for word, x in zip(split[part], _unpack(got), strict=True):
+                ids[word.decode()] = np.frombuffer(x, "<u2").astype("<u4").tobytes()
+            odd.update((a.decode(), b.decode()) for a, b in zip(_unpack(strange), _unpack(said)))
+        del split
         rows = []
-        for doc_id, text in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist()):
-            words = words_of(text)
+        for doc_id, words in zip(doc_ids, asked):
             raw = begin + b"".join(map(ids.__getitem__, words)) + end
             decoded = " ".join([odd.get(w, w) for w in words] if odd else words)
             if digests:
@@ -141,7 +185,7 @@ def _joined(path: str, digests: bool):
     return of_block
 
 
-def encode_decode(docs: DataFrame, model_path: str, digests: bool = False, block_bytes: int = 12 << 20, max_parts: int = 1024) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, digests: bool = False, block_bytes: int = 16 << 20, max_parts: int = 1024) -> DataFrame:
     """Encodes every whole text with begin and end ids and decodes the ids again.
 
     Returns doc_id, n_tokens and either ids and decoded (the ids and the text that they decode to) or their
@@ -156,8 +200,8 @@ def encode_decode(docs: DataFrame, model_path: str, digests: bool = False, block
     own = texts(docs)
     blocks = block_count(own, "text", block_bytes)
     parts = min(blocks, max_parts)
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
+    dealt = own.mapInArrow(_packs(block_bytes), "block long, pack binary").repartition(blocks, "block")
     asked = dealt.groupBy("block").applyInArrow(_requests(parts), "block long, part int, words binary")
-    told = asked.repartition(parts, "part").mapInArrow(_segment(model_path), "block long, words binary, ids binary, odd binary, odd_text binary")
+    told = asked.repartition(parts, "part").mapInArrow(_segment(model_path), "block long, part int, ids binary, odd binary, odd_text binary")
     kind = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_joined(model_path, digests), f"doc_id long, n_tokens long, {kind}")
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_joined(model_path, parts, digests), f"doc_id long, n_tokens long, {kind}")
