@@ -2,8 +2,8 @@
 
 From a bounded sample of labelled rows a lexicon is mined: words and word beginnings that toxic documents have and
 others hardly. Each entry is a voter, and patterns over the entries are further voters. A generative label model
-estimates, by expectation and maximisation, how each voter votes given the hidden label and how voters go together
-beyond it (which lowers their weights), and gives every sampled row a posterior. A linear classifier trained on
+estimates, by expectation and maximisation, how often each voter is right about the hidden label and how voters go together
+beyond it (whose votes then count for less), and gives every sampled row a posterior. A linear classifier trained on
 these posteriors scores all documents; the labels themselves choose the lexicon and the classes' shares only.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import small_batches, staged, texts
@@ -57,7 +57,7 @@ def mine_lexicon(sample: DataFrame, n_pos: int, n_neg: int, size: int = 200, can
     scored = []
     for feature, p in pos.items():
         q = neg.get(feature, 0)
-        if p / n_pos <= 4 * q / max(1, n_neg) or q > p:
+        if p < 0.01 * n_pos or p < 0.9 * (p + q):
             continue
         gain = 2 * (p * np.log(p / ((p + q) * share)) + (q * np.log(q / ((p + q) * (1 - share))) if q else 0))
         if gain > 18:
@@ -65,7 +65,11 @@ def mine_lexicon(sample: DataFrame, n_pos: int, n_neg: int, size: int = 200, can
     kept: list[str] = []
     for _, _, feature in sorted(scored):
         begins = {"^" + feature[1:][:k] for k in PREFIXES if k < len(feature) - 1}
-        if not begins & set(kept):
+        if begins & set(kept):
+            continue
+        # a beginning must stand without the words that are entries themselves
+        own = pos[feature] - max((pos[x] for x in kept if x[0] == "=" and feature[0] == "^" and x[1:].startswith(feature[1:])), default=0)
+        if own >= 0.9 * (own + neg.get(feature, 0)):
             kept.append(feature)
         if len(kept) == size:
             break
@@ -104,28 +108,28 @@ def _hits(entries: list[str]):
 def votes(presence: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     """1 (toxic), -1 (not) or 0 (no vote) of each entry and pattern for each document."""
     n = presence.sum(axis=1)
-    patterns = np.stack([np.where(n >= 2, 1, 0), np.where(n >= 3, 1, 0), np.where(100 * n >= np.maximum(1, n_words), 1, 0), np.where(n == 0, -1, 0), np.where((n == 0) & (n_words >= 100), -1, 0), np.where((n <= 1) & (n_words >= 2000), -1, 0)], axis=1)
+    patterns = np.stack([np.where(n >= 2, 1, 0), np.where(n >= 3, 1, 0), np.where(100 * n >= np.maximum(1, n_words), 1, 0), np.where(n == 0, -1, 0), np.where((n == 0) & (n_words >= 100), -1, 0)], axis=1)
     return np.concatenate([presence, patterns], axis=1).astype(np.int8)
 
 
 def label_model(v: np.ndarray, share: float, rounds: int = 30) -> np.ndarray:
-    """The posterior of label 1 for each row of votes."""
-    kinds = np.stack([v == 1, v == 0, v == -1], axis=2).astype(np.float64)
+    """The posterior of label 1 for each row of votes. A voter that votes is right as often as its accuracy, whatever the
+    label; when it abstains says nothing. Accuracies begin at 0.95 with the weight of ten votes. Votes of one row that
+    correlate beyond the label share their weight."""
     post = np.where((v == 1).any(axis=1), 0.9, np.where((v == -1).any(axis=1), 0.05, share))
-    weight = np.ones(v.shape[1])
     for k in range(rounds):
-        p1 = np.einsum("n,nvk->vk", post, kinds) + [0.1, 0.1, 0.1]
-        p0 = np.einsum("n,nvk->vk", 1 - post, kinds) + [0.1, 0.1, 0.1]
-        ratio = np.log(p1 / p1.sum(axis=1, keepdims=True)) - np.log(p0 / p0.sum(axis=1, keepdims=True))
+        right = post @ (v == 1) + (1 - post) @ (v == -1)
+        accuracy = np.clip((right + 9.5) / ((v != 0).sum(axis=0) + 10), 0.5, 0.995)
         if k % 10 == 0:
-            weight = 1 / (1 + excess(v, post))
-        odds = np.log(share / (1 - share)) + np.einsum("nvk,vk,v->n", kinds, ratio, weight)
+            alike = correlations(v, post)
+            told = [np.where(v == y, 1 / (1 + (v == y) @ alike), 0.0) for y in (1, -1)]
+        odds = np.log(share / (1 - share)) + (told[0] - told[1]) @ np.log(accuracy / (1 - accuracy))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return post
 
 
-def excess(v: np.ndarray, post: np.ndarray) -> np.ndarray:
-    """For each voter the sum of its positive correlations with the others that the label does not explain."""
+def correlations(v: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """How far each two voters go together beyond what the label explains; 0 for a voter with itself."""
     x = v.astype(np.float64)
     cov = np.zeros((x.shape[1], x.shape[1]))
     for w in (post, 1 - post):
@@ -134,7 +138,7 @@ def excess(v: np.ndarray, post: np.ndarray) -> np.ndarray:
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
     corr = np.clip(cov / np.outer(sd, sd), 0, 1)
     np.fill_diagonal(corr, 0)
-    return np.where(corr > 0.1, corr, 0).sum(axis=1)
+    return np.where(corr > 0.1, corr, 0)
 
 
 def design(presence: np.ndarray, n_words: np.ndarray) -> np.ndarray:
@@ -167,7 +171,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, folds: int =
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     known = known.filter(fold(F.col("doc_id"), folds) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = staged(texts(docs).join(F.broadcast(known), "doc_id"), "toxicity-sample")  # max_rows numbers at most
+    known = F.broadcast(known)  # max_rows numbers at most
+    # near copies mostly share the least hash of their long words: one of them speaks for all
+    rows = texts(docs).join(known, "doc_id").withColumn("least", F.array_min(F.transform(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.length(w) >= 8), lambda w: F.xxhash64(w))))
+    rows = rows.withColumn("least", F.coalesce("least", F.xxhash64("text")))
+    first = Window.partitionBy("least", "toxic").orderBy("doc_id", "text")
+    sample = staged(rows.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("doc_id", "text", "toxic"), "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
