@@ -16,6 +16,7 @@ LAYER_SQL = {
     "boxes_b": "boxes_b AS (SELECT s_suppkey AS fid, s_suppkey * 37 % 1000 AS x1, s_suppkey * 53 % 200 AS y1, s_suppkey * 37 % 1000 + 5 + s_suppkey % 17 AS x2, s_suppkey * 53 % 200 + 5 + s_suppkey % 13 AS y2 FROM supplier)",
     "pts": "pts AS (SELECT event_id AS fid, event_id * 13 % 1003 AS x, event_id * 29 % 211 AS y, event_type AS kind FROM events)",
     "ends": "lines AS (SELECT o_orderkey AS fid, o_orderkey * 17 % 997 AS xa, o_orderkey * 31 % 499 AS ya, o_orderkey * 17 % 997 + o_orderkey % 7 - 3 AS xb, o_orderkey * 31 % 499 + o_orderkey % 5 + 1 AS yb, o_orderstatus AS status, o_totalprice AS price FROM orders), ends AS (SELECT fid, 'start' AS side, xa AS x, ya AS y, status, price FROM lines UNION ALL SELECT fid, 'end', xb, yb, status, price FROM lines)",
+    "hlines": "hlines AS (SELECT o_orderkey AS fid, o_orderkey * 17 % 297 AS x1, o_orderkey * 31 % 199 AS y1, o_orderkey * 17 % 297 + o_orderkey % 9 + 1 AS x2, o_orderkey * 31 % 199 AS y2, o_orderstatus AS status FROM orders)",
     "bld": "bld AS (SELECT p_partkey AS fid, CASE WHEN p_partkey % 11 = 0 THEN 'OFJ008' WHEN p_partkey % 13 = 0 THEN NULL ELSE 'OFJ001' END AS change, CASE p_size % 4 WHEN 0 THEN 'BDK001' WHEN 1 THEN 'bdk002' WHEN 2 THEN '' ELSE NULL END AS code, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'abc' ELSE CAST(p_partkey % 60 * 5 AS VARCHAR) END AS height, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'ㅋㅋ동' WHEN 3 THEN '이름?' ELSE p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN 'OBF001' ELSE 'OBF002' END AS kind, CAST(p_partkey % 40 - 5 AS DOUBLE) AS lowest, CAST(p_partkey % 37 AS DOUBLE) AS base, CAST(p_partkey % 31 AS DOUBLE) AS highest, CAST(p_partkey % 29 AS DOUBLE) AS facility FROM part)",
 }
 
@@ -51,6 +52,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(k.alias("fid"), x.alias("xa"), y.alias("ya"), (x + k % 7 - 3).alias("xb"), (y + k % 5 + 1).alias("yb"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
 
 
+def hlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level lines, as boxes without height."""
+    k = F.col("o_orderkey")
+    x, y = k * 17 % 297, k * 31 % 199
+    return read(spark, sf_dir, "orders").select(k.alias("fid"), x.alias("x1"), y.alias("y1"), (x + k % 9 + 1).alias("x2"), y.alias("y2"), F.col("o_orderstatus").alias("status"))
+
+
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with a vertex array of three points."""
     k = F.col("fid")
