@@ -19,6 +19,33 @@ def _pairs(path: Column, f) -> Column:
     return F.aggregate(F.zip_with(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))), F.slice(path, 2, F.greatest(F.size(path), F.lit(1))), lambda a, b: f(a, b)), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
 
 
+def sides(path: Column) -> Column:
+    """An array of structs p, q: each vertex with the next one."""
+    n = F.greatest(F.size(path) - 1, F.lit(0))
+    return F.zip_with(F.slice(path, 1, n), F.slice(path, 2, n), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+
+def on_boundary(ring: Column, v: Column) -> Column:
+    """v lies on a side of the ring."""
+
+    def on(s):
+        p, q = s["p"], s["q"]
+        level = (q["x"] - p["x"]) * (v["y"] - p["y"]) == (q["y"] - p["y"]) * (v["x"] - p["x"])
+        return level & v["x"].between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & v["y"].between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+
+    return F.exists(sides(ring), on)
+
+
+def covers(ring: Column, v: Column) -> Column:
+    """v lies inside the closed ring or on it: a ray to the right meets an odd number of sides."""
+
+    def met(s):
+        p, q = s["p"], s["q"]
+        return ((p["y"] > v["y"]) != (q["y"] > v["y"])) & (v["x"] < p["x"] + F.try_divide((q["x"] - p["x"]) * (v["y"] - p["y"]), q["y"] - p["y"]))
+
+    return (F.size(F.filter(sides(ring), met)) % 2 == 1) | on_boundary(ring, v)
+
+
 def length(path: Column) -> Column:
     return _pairs(path, lambda a, b: F.sqrt(F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2)))
 

@@ -77,6 +77,26 @@ def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("fid", F.when(F.col("fid") % 7 == 0, F.array(*corners)).otherwise(F.array(*corners, corners[0])).alias("ring"))
 
 
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings with holes by fid % 6: a bow-tie, a square with a hole, one with a hole outside, an open square, one with
+    a hole in a hole, a triangle; every 35th has no geometry."""
+    k = F.col("p_partkey")
+    x, y = (k % 100 * 10).cast("double"), (F.floor(k / 100) * 10).cast("double")
+    ring = lambda *at: F.array(*[point(x + a, y + b) for a, b in at])
+    square = lambda a, b: ring((a, a), (b, a), (b, b), (a, b), (a, a))
+    kinds = [F.array(ring((0, 0), (4, 4), (4, 0), (0, 4), (0, 0))), F.array(square(0, 4), square(1, 3)), F.array(square(0, 4), square(6, 7)), F.array(ring((0, 0), (4, 0), (4, 4), (0, 4))), F.array(square(0, 8), square(1, 7), square(2, 4)), F.array(ring((0, 0), (4, 0), (0, 4), (0, 0)))]
+    shape = F.when(k % 35 == 0, None)
+    for n, kind in enumerate(kinds):
+        shape = shape.when(k % 6 == n, kind)
+    return read(spark, sf_dir, "part").select(k.alias("fid"), shape.alias("rings"))
+
+
+def with_ring(boxes: DataFrame) -> DataFrame:
+    """Boxes with their outline as a closed ring."""
+    at = lambda a, b: point(F.col(a), F.col(b))
+    return boxes.withColumn("ring", F.array(at("x1", "y1"), at("x2", "y1"), at("x2", "y2"), at("x1", "y2"), at("x1", "y1")))
+
+
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return read(spark, sf_dir, "part").select(
