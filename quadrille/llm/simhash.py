@@ -6,6 +6,10 @@ bits have points within r, and in one half of the segments points within r/2 (ro
 r/4 or so: both visit the grid cells within half that distance of their points, and two such points share a cell.
 Rows of a cell meet by an equi-join's shuffle and their fingerprints are compared exactly. A cell gives the links
 of a spanning forest, not all pairs, so groups of many near copies stay in proportion to their rows.
+
+The grid serves a few bits only. Texts of a similarity (Jaccard, shingles of five words) of 0.8 lie about ten bits
+apart, so `similar_links` finds them otherwise: min-hash bands give cells, cells and a wide bound on the fingerprints
+give loose groups, and within each loose group the sets of shingles are compared exactly.
 """
 
 from __future__ import annotations
@@ -25,26 +29,50 @@ SEGMENTS = 16  # of two bits, in each half
 _POW = 3 ** np.arange(SEGMENTS, dtype=np.int64)
 _HALF = 3**SEGMENTS
 _SHORT = 24
+BANDS, BAND_ROWS = 24, 4  # a pair of similarity 0.8 shares no band once in 300,000
+LOOSE_BITS = 20  # at 0.8 the distance is 9.7 bits on average, with a deviation of 2.9
+_SEEDS = np.random.default_rng(42).integers(1, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """Bit i is set where over half of the shingles' XXH64 have it. No word: 0. Fewer than `shingle` words: one shingle."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle, repeats included. Fewer than `shingle` words: one shingle; no word: none."""
     words = (text or "").encode().lower().split()  # white space here is \x20 and \x09-\x0D
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return np.zeros(0, np.uint64)
+    h, joined = xxhash.xxh64_intdigest, b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([h(joined, seed)], np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
-    h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[i:j], seed) for i, j in zip((ends - size).tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+    return np.array([h(joined[i:j], seed) for i, j in zip((ends - size).tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set where over half of the hashes have it; of none: 0."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(((2 * ones > len(hashes)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """Bit i is set where over half of the shingles' XXH64 have it. No word: 0. Fewer than `shingle` words: one shingle."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One number a band, of the least values of hashes under BAND_ROWS orders."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 1 << 14):
+        part = hashes[k : k + (1 << 14)]
+        for i, (flip, by) in enumerate(_SEEDS.T):
+            least[i] = min(least[i], ((part ^ flip) * by).min())
+    out = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        out = (out ^ (row >> np.uint64(29)) ^ row) * _SEEDS[1, 0]
+    return out.view(np.int64)
+
+
 def _fingerprints(shingle: int, seed: int):
     def run(batches):
         for batch in batches:
@@ -54,6 +82,17 @@ def _fingerprints(shingle: int, seed: int):
     return run
 
 
+def _sketches(shingle: int):
+    def run(batches):
+        for batch in batches:
+            hashes = [shingle_hashes(t, shingle) for t in batch.column("text").to_pylist()]
+            prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            sizes = pa.array([len(h) for h in hashes], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints), sizes, pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))], names=["doc_id", "fp", "n", "bands"])
+
+    return run
+
+
 def points(fps: np.ndarray) -> np.ndarray:
     """Counts of set bits by segment, one row a fingerprint."""
     two = np.arange(2 * SEGMENTS, dtype=np.uint64) * np.uint64(2)
@@ -164,9 +203,12 @@ def links(prints: DataFrame, bits: int = 4, cell_rows: int = 20_000) -> DataFram
     """
     if not 0 <= bits <= 8:
         raise ValueError("the grid serves distances of 0 to 8 bits")
-    spark = prints.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
-    cells = prints.select("fp").mapInArrow(_cells(bits), "cell long, fp long")
+    prints.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
+    return cell_links(prints.select("fp").mapInArrow(_cells(bits), "cell long, fp long"), bits, cell_rows)
+
+
+def cell_links(cells: DataFrame, bits: int, cell_rows: int = 20_000) -> DataFrame:
+    """a, b: links whose components are those of all pairs of one cell (cell, fp) within `bits` bits."""
     full = cells.groupBy("cell").count().filter(F.col("count") > cell_rows).select(F.col("cell").alias("of"), F.ceil(F.col("count") / cell_rows).cast("int").alias("n")).checkpoint()
     if not full.isEmpty():
         # block i of a full cell goes to every pair of blocks that has i; the pair is part of the cell's number
@@ -184,8 +226,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, bits: int = 4, seed: int = 42
     and is linked like any other. Repeated rows give a row each. A null doc_id is never a component's id unless all
     its documents have none. Other columns are left out; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     prints = staged(texts(docs).mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long"), "simhash")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
     roots = components(links(distinct, bits))
@@ -195,9 +236,97 @@ def near_groups(docs: DataFrame, shingle: int = 4, bits: int = 4, seed: int = 42
     return prints.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
+def _sets(words: int):
+    def run(batches):
+        for batch in batches:
+            sets = pa.array([np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "fp", "grp", "blocks")] + [sets], names=["doc_id", "fp", "grp", "blocks", "shingles"])
+
+    return run
+
+
+def similar_forest(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join exactly what pairs of a similarity of at least `similarity` join: a member and its group's first one."""
+    flat, starts = np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets])
+    flat = np.unique(flat, return_inverse=True)[1]
+    size = np.diff(starts)
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    left, out = np.arange(len(ids)), []
+    while len(left) > 1:
+        first, left = left[0], left[1:]
+        edge = [first]
+        while edge and len(left):
+            x = edge.pop()
+            near = left[(np.bitwise_count(fps[left] ^ fps[x]) <= LOOSE_BITS) & (np.minimum(size[left], size[x]) >= similarity * np.maximum(size[left], size[x]) - 1e-9)]
+            if not len(near):
+                continue
+            own = flat[starts[x] : starts[x + 1]]
+            mark[own] = True
+            shared = np.array([np.count_nonzero(mark[flat[starts[y] : starts[y + 1]]]) for y in near.tolist()])
+            mark[own] = False
+            near = near[shared >= similarity * (size[near] + size[x] - shared) - 1e-9]
+            if len(near):
+                out += [(int(ids[y]), int(ids[first])) for y in near]
+                edge += near.tolist()
+                left = np.setdiff1d(left, near, assume_unique=True)
+    return out
+
+
+def _verified(similarity: float):
+    def of(rows):
+        pairs = similar_forest(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64).view(np.uint64), [r[2] for r in rows], similarity)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            sets = batch.column("shingles")
+            for k, (cell, doc_id, fp) in enumerate(zip(batch.column("cell").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("fp").to_pylist())):
+                if cell != at and len(held) > 1:
+                    yield of(held)
+                if cell != at:
+                    at, held = cell, []
+                held.append((doc_id, fp, sets[k].values.to_numpy(zero_copy_only=False)))
+        if len(held) > 1:
+            yield of(held)
+
+    return run
+
+
+def similar_links(docs: DataFrame, sketches: DataFrame, words: int = 5, similarity: float = 0.8, block_shingles: int = 1_000_000) -> DataFrame:
+    """a, b: links of doc_ids whose components are those of all pairs with a similarity of at least `similarity`.
+
+    Loose groups that hold more than block_shingles shingles are cut into blocks, and each pair of blocks meets in a
+    task of its own. Only members of loose groups move their texts' shingles. Rows without a doc_id have no links.
+    """
+    small_batches(docs.sparkSession)
+    cells = sketches.select("fp", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("cell"), "fp")
+    loose = components(cell_links(cells, LOOSE_BITS))
+    known = sketches.filter("doc_id IS NOT NULL").select("doc_id", "fp", "n")
+    grouped = known.join(loose, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "n", F.coalesce("root", "fp").alias("grp"))
+    sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), F.ceil(F.sum(F.col("n") + 50) / block_shingles).cast("int").alias("blocks")).filter("rows > 1").withColumnRenamed("grp", "of")
+    members = grouped.join(sizes, F.col("grp") == F.col("of")).select(F.col("doc_id").alias("member"), "fp", "grp", "blocks").checkpoint()
+    sets = texts(docs).join(members, F.col("doc_id") == F.col("member")).select("doc_id", "fp", "grp", "blocks", "text").mapInArrow(_sets(words), "doc_id long, fp long, grp long, blocks int, shingles array<long>").filter(F.size("shingles") > 0)
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    pair = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j) + 1))
+    dealt = sets.select("doc_id", "fp", "shingles", "grp", F.explode(pair).alias("pair")).select(F.xxhash64("grp", "pair").alias("cell"), "doc_id", "fp", "shingles")
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verified(similarity), "a long, b long")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 4, bits: int = 4, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group of near copies, that with the smallest doc_id; columns as they are.
-    Of repeated rows with that doc_id one stays. Documents without words are no near copies: all stay."""
-    groups = near_groups(docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")), shingle, bits)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").drop("_gone")
+
+    Near copies are texts whose fingerprints (shingles of `shingle` words) differ in at most `bits` bits, or whose sets
+    of shingles of `words` words have a similarity (Jaccard) of at least `similarity`. Rows of one doc_id are one
+    document. Rows without a doc_id stay, and so do documents without words; an empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
+    worded = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull())
+    sketches = staged(texts(worded).mapInArrow(_sketches(shingle), "doc_id long, fp long, n long, bands array<long>"), "sketches")
+    prints = sketches.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
+    one, other = prints.toDF("a", "x"), prints.toDF("b", "y")
+    near = links(prints, bits).join(one, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    equal = sketches.join(prints.toDF("of", "least"), F.col("fp") == F.col("of")).select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    groups = components(near.unionByName(equal).unionByName(similar_links(worded, sketches, words, similarity)))
+    gone = groups.filter("node <> root").select(F.col("node").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -62,6 +62,29 @@ def op2(docs, bits=4):
     return [(d, f"{f:016x}", group[f]) for d, f in prints]
 
 
+def shingles(text, size=5):
+    w = [x for x in SPACES.split(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def near_kept(docs, bits=4, similarity=0.8):
+    """The smallest doc_id of each group that few differing bits or a high similarity of five-word shingles join."""
+    docs = [(d, fingerprint(t), shingles(t)) for d, t in docs if shingles(t)]
+    root = {d: d for d, _, _ in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (a, f, s) in enumerate(docs):
+        for b, g, t in docs[:k]:
+            if (f ^ g).bit_count() <= bits or 5 * len(s & t) >= 4 * len(s | t):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [d for d in root if root[d] == d]
+
+
 def op3(docs):
     from tokenizers import Tokenizer
 

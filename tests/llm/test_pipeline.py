@@ -1,9 +1,11 @@
 """Each stage of the pipeline against its plain version."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
-from quadrille.llm import toxicity
+from quadrille.llm import simhash, toxicity
 from tests.llm import plain
 
 SF = "/root/testdata/sf0.001"
@@ -32,7 +34,7 @@ def test_each_stage(spark, docs):
     expected = {
         "toxicity": [r["doc_id"] for r in scored.filter("predicted = 0").collect()],
         "exact_dedup": [r[0] for r in plain.op7(pairs(docs)) if r[3]],
-        "near_dedup": [d for d, _, c in plain.op2(pairs(docs)) if d == c],
+        "near_dedup": plain.near_kept(pairs(docs)),
         "decontamination": [r[0] for r in plain.op8(pairs(docs), bench) if not r[5]],
         "sentencepiece": [r[0] for r in plain.op1(pairs(docs))],
     }
@@ -43,6 +45,34 @@ def test_each_stage(spark, docs):
         assert stage(spark, docs.limit(0), SF).isEmpty()
 
 
+def test_near_copies_of_similarity(spark):
+    rng = random.Random(5)
+    docs, at = [], 0
+    for group in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([4, 30, 120, 400]))]
+        for copy in range(rng.choice([1, 2, 5, 25])):
+            own = list(base)
+            for k in rng.sample(range(len(own)), round(len(own) * rng.choice([0, 0.01, 0.02, 0.03, 0.06]))):
+                own[k] = f"x{rng.randrange(9000)}"
+            docs.append((at, " ".join(own)))
+            at += 1
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = sorted(plain.near_kept(docs))
+    assert len(expected) < len(docs) and ids(simhash.drop_near_copies(rows)) == expected
+    sketches = rows.mapInArrow(simhash._sketches(4), "doc_id long, fp long, n long, bands array<long>")
+    whole = simhash.similar_links(rows, sketches).filter("a <> b")
+    cut = simhash.similar_links(rows, sketches, block_shingles=900).filter("a <> b")  # groups in blocks
+    assert simhash.components(whole).filter("node <> root").count() == simhash.components(cut).filter("node <> root").count() > 0
+
+
+def test_near_copies_of_odd_rows(spark):
+    text = " ".join(f"a{k}" for k in range(60))
+    rows = spark.createDataFrame([(3, text, 1), (1, text + " b", 2), (None, text, 3), (7, None, 4), (8, "", 5), (9, None, 6), (3, text, 7)], "doc_id long, text string, fp long")
+    out = simhash.drop_near_copies(rows)
+    assert out.columns == rows.columns and sorted(r["fp"] for r in out.collect()) == [2, 3, 4, 5, 6]
+    assert simhash.drop_near_copies(rows.limit(0)).isEmpty()
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() < 200 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
