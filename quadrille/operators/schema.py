@@ -65,6 +65,30 @@ def matched_columns(declared: DataFrame, actual: DataFrame) -> DataFrame:
     return declared.join(actual, _same_column())
 
 
+def text_lengths(layers: dict[str, DataFrame]) -> DataFrame:
+    """tab, col and actual_length of each text column: its declared length (metadata `length`), else its longest value's.
+    One aggregate over each layer that needs it; a column without values has length 0."""
+    out = None
+    for name, df in layers.items():
+        fields = [f for f in df.schema if isinstance(f.dataType, T.StringType)]
+        if not fields:
+            continue
+        known = [F.struct(F.lit(f.name).alias("col"), (F.max(F.lit(int(f.metadata["length"]))) if "length" in f.metadata else F.coalesce(F.max(F.length(f.name)), F.lit(0))).alias("actual_length")) for f in fields]
+        one = df.agg(F.array(*known).alias("_all")).select(F.lit(name).alias("tab"), F.inline("_all"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def length_mismatches(declared: DataFrame, lengths: DataFrame, slack: int = 2) -> DataFrame:
+    """Declared text columns whose actual length, where there is one, is more than slack off."""
+    return declared.join(lengths, _same_column()).filter((F.col("actual_length") > 0) & (F.abs(F.col("length") - F.col("actual_length")) > slack))
+
+
+def nullable_columns(declared: DataFrame, actual: DataFrame) -> DataFrame:
+    """Columns declared as never null that the layer allows to be null."""
+    return matched_columns(declared, actual).filter((F.upper("nn") == "Y") & F.col("nullable"))
+
+
 def repeated(df: DataFrame, key: list[str]) -> DataFrame:
     """Every row whose key other rows have too, with n, their number. Keys are counted before the rows are joined."""
     counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

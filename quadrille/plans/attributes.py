@@ -204,6 +204,18 @@ def column_type(spark, sf_dir):
     return schema.matched_columns(*_columns(spark, sf_dir)).filter("type <> actual").select("table_id", "field", "type", "actual")
 
 
+@query(COLUMNS + ", n AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tab, '{c}' AS col, coalesce(max(length({c})), 0) AS actual_length FROM {t}" for t, c in (("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("supplier", "s_name"))) + ") SELECT table_id, field, length, actual_length FROM d JOIN n ON tab = table_id AND lower(col) = lower(field) WHERE actual_length > 0 AND abs(length - actual_length) > 2")
+def column_length(spark, sf_dir):
+    lengths = schema.text_lengths({n: L.read(spark, sf_dir, n) for n in ("part", "supplier")})
+    return schema.length_mismatches(_columns(spark, sf_dir)[0], lengths).select("table_id", "field", "length", "actual_length")
+
+
+@query(COLUMNS + "SELECT table_id, field FROM d JOIN a ON tab = table_id AND lower(col) = lower(field) WHERE nn = 'Y'")
+def column_nullability(spark, sf_dir):
+    """Every column of a Parquet file may be null."""
+    return schema.nullable_columns(*_columns(spark, sf_dir)).select("table_id", "field")
+
+
 @query(f"{BLD} SELECT fid FROM bld WHERE code IS NULL OR code = ''")
 def not_null(spark, sf_dir):
     return L.buildings(spark, sf_dir).filter("code IS NULL OR code = ''").select("fid")
