@@ -7,9 +7,10 @@ r/4 or so: both visit the grid cells within half that distance of their points,
 Rows of a cell meet by an equi-join's shuffle and their fingerprints are compared exactly. A cell gives the links
 of a spanning forest, not all pairs, so groups of many near copies stay in proportion to their rows.
 
-The grid serves a few bits only. Texts of a similarity (Jaccard, shingles of five words) of 0.8 lie about ten bits
-apart, so `similar_links` finds them otherwise: min-hash bands give cells, cells and a wide bound on the fingerprints
-give loose groups, and within each loose group the sets of shingles are compared exactly.
+The grid serves a few bits only. Texts of a similarity (Jaccard, sets of shingles of five words) of 0.8 lie about ten
+bits apart, and further where they repeat shingles differently often, so `similar_links` finds them otherwise: min-hash
+bands of the sets give cells, cells and a wide bound on one bit of each of 64 min-hashes give loose groups, and within
+each loose group the sets of shingles are compared exactly. Fingerprints have no part in it.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ _POW = 3 ** np.arange(SEGMENTS, dtype=np.int64)
 _HALF = 3**SEGMENTS
 _SHORT = 24
 BANDS, BAND_ROWS = 24, 4  # a pair of similarity 0.8 shares no band once in 300,000
-LOOSE_BITS = 20  # at 0.8 the distance is 9.7 bits on average, with a deviation of 2.9
+LOOSE_BITS = 20  # of 64 min-hash bits, each of which differs with a chance of (1 - similarity) / 2: at 0.8 more differ once in two million
 _SEEDS = np.random.default_rng(42).integers(1, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -61,7 +62,7 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
-    """One number a band, of the least values of hashes under BAND_ROWS orders."""
+    """One number a band, of the least values of hashes under BAND_ROWS orders; then one of a bit each of the first 64 least values."""
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), 1 << 14):
         part = hashes[k : k + (1 << 14)]
@@ -70,7 +71,11 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     out = np.zeros(BANDS, np.uint64)
     for row in least.reshape(BANDS, BAND_ROWS).T:
         out = (out ^ (row >> np.uint64(29)) ^ row) * _SEEDS[1, 0]
-    return out.view(np.int64)
+    mixed = least[:64]
+    for by in _SEEDS[1, :2]:
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * by
+    bits = ((mixed >> np.uint64(63)) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64)
+    return np.append(out, bits).view(np.int64)
 
 
 def _fingerprints(shingle: int, seed: int):
@@ -82,13 +87,16 @@ def _fingerprints(shingle: int, seed: int):
     return run
 
 
-def _sketches(shingle: int):
+def _sketches(shingle: int, words: int = 5):
+    """fp: of shingles of `shingle` words; n, bands: size and bands of the set of shingles of `words` words."""
+
     def run(batches):
         for batch in batches:
-            hashes = [shingle_hashes(t, shingle) for t in batch.column("text").to_pylist()]
-            prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            sizes = pa.array([len(h) for h in hashes], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints), sizes, pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))], names=["doc_id", "fp", "n", "bands"])
+            own = batch.column("text").to_pylist()
+            prints = np.array([fingerprint(t, shingle) for t in own], np.uint64).view(np.int64)
+            sets = [np.unique(shingle_hashes(t, words)) for t in own]
+            sizes = pa.array([len(h) for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints), sizes, pa.array([bands(h) for h in sets], pa.list_(pa.int64()))], names=["doc_id", "fp", "n", "bands"])
 
     return run
 
@@ -240,53 +248,75 @@ def _sets(words: int):
     def run(batches):
         for batch in batches:
             sets = pa.array([np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "fp", "grp", "blocks")] + [sets], names=["doc_id", "fp", "grp", "blocks", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "grp", "blocks")] + [sets], names=["doc_id", "grp", "blocks", "shingles"])
 
     return run
 
 
-def similar_forest(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that join exactly what pairs of a similarity of at least `similarity` join: a member and its group's first one."""
-    flat, starts = np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets])
-    flat = np.unique(flat, return_inverse=True)[1]
-    size = np.diff(starts)
-    mark = np.zeros(int(flat.max()) + 1, bool)
-    left, out = np.arange(len(ids)), []
-    while len(left) > 1:
-        first, left = left[0], left[1:]
+def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join exactly what pairs of a similarity of at least `similarity` join: a member and its group's first one.
+
+    Sets are ordered from their rarest shingle on. Two sets of that similarity share one of the first
+    size - ceil(similarity * size) + 1 of each, so only sets that do are compared.
+    """
+    size = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(size)])
+    _, flat, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    owner = np.repeat(np.arange(len(sets)), size)
+    flat = rank[flat]
+    flat = flat[np.lexsort((flat, owner))]
+    head = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    heads = np.arange(len(flat)) - starts[owner] < head[owner]
+    order = np.argsort(flat[heads], kind="stable")
+    posted, at = owner[heads][order], np.searchsorted(flat[heads][order], np.arange(len(times) + 1))
+
+    def spans(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+    mark, left, out = np.zeros(len(times), bool), np.ones(len(sets), bool), []
+    n_left = len(sets)
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        left[first] = False
+        n_left -= 1
         edge = [first]
-        while edge and len(left):
+        while edge and n_left:
             x = edge.pop()
-            near = left[(np.bitwise_count(fps[left] ^ fps[x]) <= LOOSE_BITS) & (np.minimum(size[left], size[x]) >= similarity * np.maximum(size[left], size[x]) - 1e-9)]
+            own = flat[starts[x] : starts[x + 1]]
+            tokens = own[: head[x]]
+            near = np.unique(posted[spans(at[tokens], at[tokens + 1] - at[tokens])])
+            near = near[left[near] & (np.minimum(size[near], size[x]) >= similarity * np.maximum(size[near], size[x]) - 1e-9)]
             if not len(near):
                 continue
-            own = flat[starts[x] : starts[x + 1]]
             mark[own] = True
-            shared = np.array([np.count_nonzero(mark[flat[starts[y] : starts[y + 1]]]) for y in near.tolist()])
+            shared = np.add.reduceat(mark[flat[spans(starts[near], size[near])]], np.concatenate([[0], np.cumsum(size[near])[:-1]]), dtype=np.int64)
             mark[own] = False
             near = near[shared >= similarity * (size[near] + size[x] - shared) - 1e-9]
-            if len(near):
-                out += [(int(ids[y]), int(ids[first])) for y in near]
-                edge += near.tolist()
-                left = np.setdiff1d(left, near, assume_unique=True)
+            out += [(int(ids[y]), int(ids[first])) for y in near]
+            edge += near.tolist()
+            left[near] = False
+            n_left -= len(near)
     return out
 
 
 def _verified(similarity: float):
     def of(rows):
-        pairs = similar_forest(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64).view(np.uint64), [r[2] for r in rows], similarity)
+        pairs = similar_forest(np.array([r[0] for r in rows]), [r[1] for r in rows], similarity)
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
         at, held = None, []
         for batch in batches:
             sets = batch.column("shingles")
-            for k, (cell, doc_id, fp) in enumerate(zip(batch.column("cell").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("fp").to_pylist())):
+            for k, (cell, doc_id) in enumerate(zip(batch.column("cell").to_pylist(), batch.column("doc_id").to_pylist())):
                 if cell != at and len(held) > 1:
                     yield of(held)
                 if cell != at:
                     at, held = cell, []
-                held.append((doc_id, fp, sets[k].values.to_numpy(zero_copy_only=False)))
+                held.append((doc_id, sets[k].values.to_numpy(zero_copy_only=False)))
         if len(held) > 1:
             yield of(held)
 
@@ -296,20 +326,22 @@ def _verified(similarity: float):
 def similar_links(docs: DataFrame, sketches: DataFrame, words: int = 5, similarity: float = 0.8, block_shingles: int = 1_000_000) -> DataFrame:
     """a, b: links of doc_ids whose components are those of all pairs with a similarity of at least `similarity`.
 
-    Loose groups that hold more than block_shingles shingles are cut into blocks, and each pair of blocks meets in a
-    task of its own. Only members of loose groups move their texts' shingles. Rows without a doc_id have no links.
+    A pair of similarity 0.8 is not found once in 260,000 (see BANDS and LOOSE_BITS), one of 0.9 practically always;
+    how often texts repeat a shingle does not matter. Loose groups that hold more than block_shingles shingles are cut
+    into blocks, and each pair of blocks meets in a task of its own. Only members of loose groups move their texts'
+    shingles. Rows without a doc_id have no links.
     """
     small_batches(docs.sparkSession)
-    cells = sketches.select("fp", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("cell"), "fp")
+    known = sketches.filter("doc_id IS NOT NULL").select("doc_id", "n", F.element_at("bands", BANDS + 1).alias("bits"), F.slice("bands", 1, BANDS).alias("bands"))
+    cells = known.select("bits", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("cell"), F.col("bits").alias("fp"))
     loose = components(cell_links(cells, LOOSE_BITS))
-    known = sketches.filter("doc_id IS NOT NULL").select("doc_id", "fp", "n")
-    grouped = known.join(loose, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "n", F.coalesce("root", "fp").alias("grp"))
+    grouped = known.join(loose, F.col("bits") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "bits").alias("grp"))
     sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), F.ceil(F.sum(F.col("n") + 50) / block_shingles).cast("int").alias("blocks")).filter("rows > 1").withColumnRenamed("grp", "of")
-    members = grouped.join(sizes, F.col("grp") == F.col("of")).select(F.col("doc_id").alias("member"), "fp", "grp", "blocks").checkpoint()
-    sets = texts(docs).join(members, F.col("doc_id") == F.col("member")).select("doc_id", "fp", "grp", "blocks", "text").mapInArrow(_sets(words), "doc_id long, fp long, grp long, blocks int, shingles array<long>").filter(F.size("shingles") > 0)
+    members = grouped.join(sizes, F.col("grp") == F.col("of")).select(F.col("doc_id").alias("member"), "grp", "blocks").checkpoint()
+    sets = texts(docs).join(members, F.col("doc_id") == F.col("member")).select("doc_id", "grp", "blocks", "text").mapInArrow(_sets(words), "doc_id long, grp long, blocks int, shingles array<long>").filter(F.size("shingles") > 0)
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     pair = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j) + 1))
-    dealt = sets.select("doc_id", "fp", "shingles", "grp", F.explode(pair).alias("pair")).select(F.xxhash64("grp", "pair").alias("cell"), "doc_id", "fp", "shingles")
+    dealt = sets.select("doc_id", "shingles", "grp", F.explode(pair).alias("pair")).select(F.xxhash64("grp", "pair").alias("cell"), "doc_id", "shingles")
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verified(similarity), "a long, b long")
 
 
@@ -322,7 +354,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 4, bits: int = 4, words: in
     """
     small_batches(docs.sparkSession)
     worded = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull())
-    sketches = staged(texts(worded).mapInArrow(_sketches(shingle), "doc_id long, fp long, n long, bands array<long>"), "sketches")
+    sketches = staged(texts(worded).mapInArrow(_sketches(shingle, words), "doc_id long, fp long, n long, bands array<long>"), "sketches")
     prints = sketches.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
     one, other = prints.toDF("a", "x"), prints.toDF("b", "y")
     near = links(prints, bits).join(one, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))

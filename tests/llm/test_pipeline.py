@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -84,3 +85,43 @@ def test_rows_of_odd_texts_pass_through(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 4  # null and empty are one text; blanks are another
+
+
+def test_near_copies_of_repeated_lines(spark):
+    rng = random.Random(11)
+    docs = []
+    for k in range(20):
+        prose = [f"p{rng.randrange(10**6)}" for _ in range(rng.choice([200, 400, 800]))]
+        line = [f"l{rng.randrange(10**6)}" for _ in range(10)]
+        docs += [(2 * k, " ".join(prose + line)), (2 * k + 1, " ".join(prose + line * rng.choice([15, 40, 100])))]
+    far = [(simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() for (_, a), (_, b) in zip(docs[::2], docs[1::2])]
+    assert sum(d > 20 for d in far) >= 5
+    assert plain.near_kept(docs) == list(range(0, 40, 2))
+    assert ids(simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"))) == list(range(0, 40, 2))
+
+
+def test_similar_forest_is_exact():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2000, rng.integers(1, 60))
+        for _ in range(rng.integers(1, 5)):
+            sets.append(np.unique(np.where(rng.random(len(base)) < 0.08, rng.integers(0, 2000, len(base)), base)))
+    near = [(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+    assert near and groups(simhash.similar_forest(np.arange(len(sets)), sets, 0.8), len(sets)) == groups(near, len(sets))
+
+
+def test_min_hash_bits_differ_as_stated():
+    rng = np.random.default_rng(4)
+    for n in (5, 40, 300):  # of similarity 0.8: one set lacks a fifth of the other
+        whole = rng.integers(0, 1 << 63, (300, n), dtype=np.uint64)
+        off = [int(np.bitwise_count(np.bitwise_xor(*(simhash.bands(x).view(np.uint64)[-1] for x in (w, w[: n * 4 // 5]))))) for w in whole]
+        assert 5.5 < np.mean(off) < 7.3 and max(off) <= simhash.LOOSE_BITS
+
+
+def groups(pairs, n):
+    root = list(range(n))
+    for a, b in pairs:
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
