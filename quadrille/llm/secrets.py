@@ -35,10 +35,15 @@ _HINTS = tuple(sorted({w.rpartition(" ")[2] if " " in w else w for w in SENSITIV
 #: Literals that stand for a secret without being one.
 PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "secret", "token", "none", "null", "true", "false", "undefined", "required", "optional", "string", "default"}
 _PART = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+_QUOTED = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
+_REFERENCE = r"\$\{[A-Za-z_][A-Za-z0-9_.-]*\}"
+#: A bare value runs on over references in it, as in a${B}c.
+_BARE = rf"""(?:[^\s,;#"'(){{}}\[\]$]++|{_REFERENCE}|\$)+"""
 _STATEMENT = re.compile(
-    r"""(?<![A-Za-z0-9_$.-])(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,80})(?P=q)[ \t]*(?::=|=>|=(?!=)|:(?!//))[ \t]*(?P<value>(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s,;#"'(){}\[\]]+|\$\{[A-Za-z_][A-Za-z0-9_]*\})(?:[ \t]*\+[ \t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_][A-Za-z0-9_.]*))*)"""
+    rf"""(?<![A-Za-z0-9_$.-])(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?P=q)[ \t]*(?::=|=>|=(?!=)|:(?!//))[ \t]*(?P<value>(?:{_QUOTED}|{_BARE})(?:[ \t]*\+[ \t]*(?:{_QUOTED}|{_REFERENCE}|\$?[A-Za-z_][A-Za-z0-9_.]*))*)"""
 )
-_TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|\$\{([A-Za-z_][A-Za-z0-9_]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)|([^\s"'$+][^\s"']*)|\+""")
+_TERM = re.compile(rf""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|\$\{{([A-Za-z_][A-Za-z0-9_.-]*)\}}|\$([A-Za-z_][A-Za-z0-9_]*)|([^\s"'$+](?:(?!{_REFERENCE})[^\s"'])*)|\+""")
+_INNER = re.compile(r"(?<!\\)\$\{([A-Za-z_][A-Za-z0-9_.-]*)\}")
 
 
 def sensitivity(name: str) -> float:
@@ -58,26 +63,36 @@ def strength(literal: str) -> float:
 
 
 def literals(text: str) -> list[tuple[str, int, int, float]]:
-    """name, start, end and score of each literal that reaches a name, through other names too."""
-    env: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], tuple[str, float]] = {}
+    """name, start, end and score of each literal that reaches a name, through other names too: of all names that it
+    reaches the most sensitive, and of equal ones the first."""
+    last: dict[str, int] = {}
+    found: list[tuple[str, list[tuple[int, int]], list[int]]] = []  # a statement's name, literals, statements that it reads
     for m in _STATEMENT.finditer(text):
-        name, at = m["name"], m.start("value")
+        at = m.start("value")
         spans: list[tuple[int, int]] = []
+        reads: list[int] = []
         for t in _TERM.finditer(m["value"]):
             k = t.lastindex
             if k in (1, 2):
                 spans.append((at + t.start(k), at + t.end(k)))
+                reads += [last[r[1]] for r in _INNER.finditer(t[k]) if k == 1 and r[1] in last]
             elif k in (3, 4):
-                spans += env.get(t[k], [])
+                reads += [last[t[k]]] if t[k] in last else []
+            elif k == 5 and t[5] in last:
+                reads.append(last[t[5]])
             elif k == 5:
-                spans += env[t[5]] if t[5] in env else [(at + t.start(5), at + t.end(5))]
-        env[name] = spans[:64]
-        own = sensitivity(name)
-        for a, b in env[name]:
-            if own and own > best.get((a, b), ("", 0.0))[1]:
-                best[a, b] = (name, own)
-    return [(name, a, b, 0.6 * own + 0.4 * strength(text[a:b])) for (a, b), (name, own) in best.items() if strength(text[a:b]) > 0]
+                spans.append((at + t.start(5), at + t.end(5)))
+        last[m["name"]] = len(found)
+        found.append((m["name"], spans, reads))
+    # a statement reads earlier ones only, so one pass from the last to the first hands each what it reaches
+    reached = [(sensitivity(name), -k) for k, (name, _, _) in enumerate(found)]
+    out = []
+    for k in range(len(found) - 1, -1, -1):
+        own, by = reached[k]
+        for j in found[k][2]:
+            reached[j] = max(reached[j], reached[k])
+        out += [(found[-by][0], a, b, 0.6 * own + 0.4 * look) for a, b in found[k][1] if own and (look := strength(text[a:b])) > 0]
+    return out
 
 
 def base_spans(text: str, low: str) -> list[tuple[str, int, int]]:
@@ -117,8 +132,8 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     spans lists kind:start:end (code points, end exclusive) by start, then kind; the digest is that of the patterns'
-    spans alone. A null text counts as empty. Whole texts are read, of any length; a literal of over 64 parts keeps
-    its first ones' targets. Repeated rows give a row each, other columns are left out, an empty table gives none.
+    spans alone. A null text counts as empty. Whole texts are read, of any length, names of any length and all
+    parts of a concatenation. Repeated rows give a row each, other columns are left out, an empty table gives none.
     """
     small_batches(docs.sparkSession)
     return texts(docs).mapInArrow(_run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -226,6 +226,27 @@ def test_secrets_by_assignment():
     assert {k for k, _, _ in secrets.scan("a plain line: nothing = here")[1]} == set()
 
 
+def literal_texts(text):
+    return {text[a:b] for kind, a, b in secrets.scan(text)[1] if kind == "literal"}
+
+
+@pytest.mark.parametrize("use", ["API_KEY=${BASE}", "api_key: ${BASE}", 'API_KEY="${BASE}"', "API_KEY=x-${BASE}", "api_key = X + ${BASE}", "api_key = X + $BASE", "MID=${BASE}\nAPI_KEY=${MID}"])
+def test_secrets_by_reference(use):
+    assert "kJ8s92bQzL1xvQ7" in literal_texts(f"BASE=kJ8s92bQzL1xvQ7\n{use}\n")
+    assert "kJ8s92bQzL1xvQ7" not in literal_texts(f"BASE=kJ8s92bQzL1xvQ7\n{use.replace('BASE', 'OTHER')}\n")
+
+
+def test_secrets_of_many_parts_and_long_names():
+    parts = [f"kJ{k:03}s92bQzL1xvQ7" for k in range(200)]
+    text = "key_text = " + " + ".join(f'"{p}"' for p in parts) + "\npassword = key_text\n"
+    assert literal_texts(text) == set(parts)
+    text = "".join(f'x = x + "{p}"\n' for p in parts) + "password = x\n"
+    assert literal_texts(text) == set(parts)
+    name = "a_" * 100 + "password"
+    assert literal_texts(f'{name} = "zX81_kqPo22mNv"') == {"zX81_kqPo22mNv"}
+    assert literal_texts(f'{name}1 = "zX81_kqPo22mNv"\ntoken = {name}1') == {"zX81_kqPo22mNv"}
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held_out = language_id.fold(F.col("doc_id"), 3) == 1
