@@ -66,6 +66,13 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).withColumn("path", segment_path(point(F.col("xa"), F.col("ya")), mid, point(F.col("xb"), F.col("yb"))))
 
 
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A winding line of 20 to 60 vertices from each line's start, with bends under and over one unit."""
+    k = F.col("fid")
+    at = lambda i: point(F.col("xa") + i, F.col("ya") + (i * i * 7919 + i * k * 31 + k) % 1009 / 512)
+    return lines(spark, sf_dir).select("fid", F.transform(F.sequence(F.lit(0).cast("long"), 19 + k % 41), at).alias("path"))
+
+
 def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes as closed rings, every seventh left open and every eleventh a sliver."""
     b = boxes_a(spark, sf_dir)
