@@ -15,8 +15,9 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quadrille.llm.common import small_batches, texts
 
@@ -214,7 +215,9 @@ def _scan(block, size: int, last: bool, shard_bytes: int):
                     spans.append(_spans(hit))
                     items.append(sorted(found.union(old_items or ())))
                 text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column("text")
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text, *(pa.array(x, t) for x, t in zip((n_words, spans, items), _ARROW.types[2:]))], schema=_ARROW)
+                columns = [batch.column("doc_id"), text, *(pa.array(x, t) for x, t in zip((n_words, spans, items), _ARROW.types[2:]))]
+                carried = [n for n in batch.schema.names if n not in _ARROW.names]
+                yield pa.RecordBatch.from_arrays(columns + [batch.column(n) for n in carried], names=_ARROW.names + carried)
 
     return run
 
@@ -229,6 +232,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_b
     columns are left out, and an empty table gives no rows. The benchmark is read in blocks of block_bytes, one
     pass over the documents each, so it may be of any size; a broadcast holds one block.
     """
+    return _scanned(texts(docs), benchmark, size, block_bytes, shard_bytes).drop("text")
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 8 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
+    """contamination of docs (doc_id, text), beside whatever other columns docs carries; text is null."""
     spark = docs.sparkSession
     small_batches(spark)
     blocks, held, size_held = [], [], 0
@@ -238,23 +246,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_b
         if size_held >= block_bytes:
             blocks.append(held)
             held, size_held = [], 0
-    out = texts(docs).select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), *carried)
+    schema = StructType([*StructType.fromDDL(_SCHEMA), *(docs.schema[c] for c in carried)])
     blocks.append(held)
     for k, block in enumerate(blocks):
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(block), size, k == len(blocks) - 1, shard_bytes), _SCHEMA)
-    return out.drop("text")
+        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(block), size, k == len(blocks) - 1, shard_bytes), schema)
+    return out
 
 
 def judged(found: DataFrame, share: int = 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated: hit words are at least one in `share`."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+    return found.select("doc_id", "n_words", _n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", _over(F.col("n_hit"), share))
+
+
+def _n_hit() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+
+
+def _over(n_hit: Column, share: int) -> Column:
+    return (n_hit > 0) & (n_hit * share >= F.col("n_words"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
-    """docs without the contaminated ones; columns as they are."""
-    gone = judged(contamination(docs, benchmark, size)).filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").drop("_gone")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
+    """docs without the contaminated rows; columns as they are. A verdict is that of the row's own text: rows of one
+    doc_id, and rows without one, stay or go each by itself."""
+    own = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
+    found = _scanned(own, benchmark, size)
+    return found.withColumn("n_hit", _n_hit()).filter(~_over(F.col("n_hit"), share)).select("row.*")
 
 
 def items_digest(items: list[str]) -> str:

@@ -346,19 +346,24 @@ def similar_links(docs: DataFrame, sketches: DataFrame, words: int = 5, similari
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 4, bits: int = 4, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each group of near copies, that with the smallest doc_id; columns as they are.
+    """docs with one row of each group of near copies, that with the smallest doc_id; columns as they are.
 
     Near copies are texts whose fingerprints (shingles of `shingle` words) differ in at most `bits` bits, or whose sets
-    of shingles of `words` words have a similarity (Jaccard) of at least `similarity`. Rows of one doc_id are one
-    document. Rows without a doc_id stay, and so do documents without words; an empty table gives no rows.
+    of shingles of `words` words have a similarity (Jaccard) of at least `similarity`. Each row is judged by its own
+    text, also where rows share a doc_id. Rows without a doc_id are grouped like others, but count among themselves: of
+    a group's rows without a doc_id one stays, beside the one of the smallest doc_id. Of equal ids any one stays. Rows
+    without words stay; an empty table gives no rows. docs is staged once with a number for each row.
     """
     small_batches(docs.sparkSession)
-    worded = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull())
+    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    worded = numbered.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("_row").alias("doc_id"), "text")
     sketches = staged(texts(worded).mapInArrow(_sketches(shingle, words), "doc_id long, fp long, n long, bands array<long>"), "sketches")
     prints = sketches.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
     one, other = prints.toDF("a", "x"), prints.toDF("b", "y")
     near = links(prints, bits).join(one, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = sketches.join(prints.toDF("of", "least"), F.col("fp") == F.col("of")).select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     groups = components(near.unionByName(equal).unionByName(similar_links(worded, sketches, words, similarity)))
-    gone = groups.filter("node <> root").select(F.col("node").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    members = groups.join(numbered.select("_row", F.col("doc_id").alias("_id")), F.col("node") == F.col("_row")).select("_row", "root", "_id").checkpoint()
+    stay = members.groupBy("root", F.col("_id").isNull()).agg(F.min(F.struct("_id", "_row"))["_row"].alias("_stays"))
+    gone = members.join(stay, F.col("_row") == F.col("_stays"), "left_anti").select(F.col("_row").alias("_gone"))
+    return numbered.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")

@@ -193,16 +193,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, folds: int =
     return Model(entries, fit_linear(design(presence, n_words), post))
 
 
+def _scores(model: Model, lexicon: Lexicon, own: list[str | None]) -> np.ndarray:
+    found = [lexicon.hits(t) for t in own]
+    presence = np.zeros((len(found), len(model.entries)))
+    for k, (h, _) in enumerate(found):
+        presence[k, h] = 1
+    odds = design(presence, np.array([n for _, n in found], np.int64)) @ model.beta
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
 def _score(model: Model):
     def run(batches):
         lexicon = Lexicon(model.entries)
         for batch in batches:
-            found = [lexicon.hits(t) for t in batch.column("text").to_pylist()]
-            presence = np.zeros((len(found), len(model.entries)))
-            for k, (h, _) in enumerate(found):
-                presence[k, h] = 1
-            odds = design(presence, np.array([n for _, n in found], np.int64)) @ model.beta
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(odds, -30, 30))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(model, lexicon, batch.column("text").to_pylist()))], names=["doc_id", "score"])
+
+    return run
+
+
+def _passed(model: Model):
+    """Rows whose own text scores under 0.5, with all their columns."""
+
+    def run(batches):
+        lexicon = Lexicon(model.entries)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, lexicon, batch.column("_scored").to_pylist()) < 0.5)).drop_columns(["_scored"])
 
     return run
 
@@ -220,6 +235,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects; columns as they are."""
-    gone = score(docs, fit(docs, labels)).filter("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").drop("_gone")
+    """docs without the rows that the classifier rejects; columns as they are. A verdict is that of the row's own text:
+    rows of one doc_id, and rows without one, stay or go each by itself."""
+    model = fit(docs, labels)
+    if not model:
+        return docs
+    small_batches(docs.sparkSession)
+    return docs.withColumn("_scored", F.col("text").cast("string")).mapInArrow(_passed(model), docs.schema)

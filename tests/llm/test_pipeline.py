@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadrille.llm import simhash, toxicity
+from quadrille.llm import decontamination, simhash, toxicity
 from tests.llm import plain
 
 SF = "/root/testdata/sf0.001"
@@ -87,6 +88,26 @@ def test_rows_of_odd_texts_pass_through(spark):
     assert docs.count() == 4  # null and empty are one text; blanks are another
 
 
+def test_verdicts_belong_to_rows(spark):
+    """Rows without a doc_id and rows of one doc_id: one toxic, one contaminated, two near copies, others clean."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    model = toxicity.fit(docs, labels)
+    bad = toxicity.score(docs, model).filter("predicted = 1").join(docs, "doc_id").orderBy("doc_id").first()["text"]
+    item = bench.filter("size(split(text, ' ')) >= 13").orderBy("item_id").first()["text"]
+    clean = [" ".join(f"c{k}x{i}" for i in range(60)) for k in range(4)]
+    near = clean[3] + " more"
+    for doc_id in (None, 5):
+        mixed = spark.createDataFrame([(doc_id, t, k) for k, t in enumerate([clean[0], bad, clean[1], item, clean[2], clean[3], near])], "doc_id long, text string, nth int")
+        left = lambda df: sorted(r["nth"] for r in df.collect())
+        # the training rows come along, so that the stage fits the same model
+        trained = docs.select("doc_id", "text", F.lit(-1).alias("nth")).unionByName(mixed.withColumn("doc_id", F.col("doc_id") + 10**9))
+        assert [n for n in left(toxicity.drop_toxic(trained, labels)) if n >= 0] == [0, 2, 3, 4, 5, 6]
+        assert left(decontamination.drop_contaminated(mixed, bench)) == [0, 1, 2, 4, 5, 6]
+        assert left(simhash.drop_near_copies(mixed)) in ([0, 1, 2, 3, 4, 5], [0, 1, 2, 3, 4, 6])
+        assert decontamination.drop_contaminated(mixed, bench).schema == simhash.drop_near_copies(mixed).schema == mixed.schema
+
+
 def test_near_copies_of_repeated_lines(spark):
     rng = random.Random(11)
     docs = []
