@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -9,10 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: So many blocks (of a benchmark, of profiles) are read one after the other in one stage: as many Python workers at once for a core.
+PASSES = 4
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own on one
+    machine (local masters); on a cluster ValueError, since executors could not see such a folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quadrille-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -27,8 +35,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store(uri: str):
+    """The store of a path or URI, and the path in it, for files that Spark has no sink for."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+
+
+def write_json(path: str, value) -> None:
+    there, place = store(path)
+    there.create_dir(place.rpartition("/")[0], recursive=True)
+    with there.open_output_stream(place, compression="gzip") as f:
+        f.write(json.dumps(value).encode())
+
+
+def read_json(path: str):
+    there, place = store(path)
+    with there.open_input_stream(place, compression="gzip") as f:
+        return json.loads(f.read())
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what one Arrow batch of whole texts holds in a Python worker."""
+    """Bounds what one Arrow batch of whole texts holds in a Python worker. Spark reads these limits when a plan is run,
+    so they stay set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
@@ -46,3 +75,28 @@ def block_count(df: DataFrame, column: str, block_bytes: int) -> int:
     """How many blocks of about block_bytes the column's bytes fill; one pass that moves a number."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
     return max(1, -(-int(total) // block_bytes))
+
+
+#: Joins by counted keys broadcast the keys that have over one in so many of all rows: fewer keys than this.
+HOT_KEYS = 1000
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", hot_keys: int = HOT_KEYS) -> DataFrame:
+    """rows and what facts knows of their key: facts has one row a key (`of`), the number `_n` of its rows and values.
+
+    Keys that have over one in hot_keys of all rows, and so fewer keys than hot_keys, are broadcast, and their rows are
+    dealt over all tasks by number; the other keys' rows meet them by a shuffle, where none has more than that share.
+    Rows must be numbered alike whenever they are read again, as staged, checkpointed and scanned tables are. A null
+    key, and one that facts lacks, has null values (how = "left") or no row ("inner").
+    """
+    values = [c for c in facts.columns if c not in ("of", "_n")]
+    total = int(facts.agg(F.sum("_n")).first()[0] or 0)
+    known = facts.select("of", F.struct(*values).alias("_known"), (F.col("_n") * hot_keys > total).alias("_often"))
+    often = known.filter("_often").select(F.col("of").alias("_often_of"), F.col("_known").alias("_often_known"))
+    rare = known.filter("NOT _often").select(F.col("of").alias("_rare_of"), F.col("_known").alias("_rare_known"), F.lit(0).cast("long").alias("_rare_deal"))
+    dealt = rows.join(F.broadcast(often), F.col(key) == F.col("_often_of"), "left")
+    dealt = dealt.withColumn("_deal", F.when(F.col(key).isNotNull() & F.col("_often_known").isNull(), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id() + 1))
+    joined = dealt.join(rare, (F.col(key) == F.col("_rare_of")) & (F.col("_deal") == F.col("_rare_deal")), "left").withColumn("_known", F.coalesce("_often_known", "_rare_known"))
+    if how == "inner":
+        joined = joined.filter("_known IS NOT NULL")
+    return joined.select(*rows.columns, *(F.col("_known")[v].alias(v) for v in values))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import shared_dir
+from quadrille.llm.common import join_counted, shared_dir
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -15,11 +15,11 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         seen = seen.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         seen = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = seen.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).withColumnRenamed("u", "w").checkpoint()
-    joined = seen.join(least, F.col("u") == F.col("w"))
+    least = seen.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_n")).withColumnRenamed("u", "of").checkpoint()
+    joined = join_counted(seen, least, "u")  # a hub's links are dealt over all tasks
     moved = joined.filter("v > u" if large else "v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
-        moved = moved.unionByName(least.filter("w <> m").select(F.col("w").alias("a"), F.col("m").alias("b")))
+        moved = moved.unionByName(least.filter("of <> m").select(F.col("of").alias("a"), F.col("m").alias("b")))
     return moved.filter("a <> b").distinct().checkpoint()
 
 

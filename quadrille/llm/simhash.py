@@ -15,6 +15,7 @@ each loose group the sets of shingles are compared exactly. Fingerprints have no
 
 from __future__ import annotations
 
+import hashlib
 from itertools import product
 
 import numpy as np
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import shared_dir, small_batches, staged, texts
+from quadrille.llm.common import join_counted, shared_dir, small_batches, staged, texts
 from quadrille.llm.components import components
 
 SEGMENTS = 16  # of two bits, in each half
@@ -88,7 +89,7 @@ def _fingerprints(shingle: int, seed: int):
 
 
 def _sketches(shingle: int, words: int = 5):
-    """fp: of shingles of `shingle` words; n, bands: size and bands of the set of shingles of `words` words."""
+    """fp: of shingles of `shingle` words; n, same, bands: size, digest and bands of the set of shingles of `words` words."""
 
     def run(batches):
         for batch in batches:
@@ -96,7 +97,8 @@ def _sketches(shingle: int, words: int = 5):
             prints = np.array([fingerprint(t, shingle) for t in own], np.uint64).view(np.int64)
             sets = [np.unique(shingle_hashes(t, words)) for t in own]
             sizes = pa.array([len(h) for h in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints), sizes, pa.array([bands(h) for h in sets], pa.list_(pa.int64()))], names=["doc_id", "fp", "n", "bands"])
+            same = pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints), sizes, same, pa.array([bands(h) for h in sets], pa.list_(pa.int64()))], names=["doc_id", "fp", "n", "same", "bands"])
 
     return run
 
@@ -212,7 +214,9 @@ def links(prints: DataFrame, bits: int = 4, cell_rows: int = 20_000) -> DataFram
     if not 0 <= bits <= 8:
         raise ValueError("the grid serves distances of 0 to 8 bits")
     prints.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
-    return cell_links(prints.select("fp").mapInArrow(_cells(bits), "cell long, fp long"), bits, cell_rows)
+    # few bytes make many cells, so rows are dealt by their number first, not by the bytes that a scan or checkpoint holds
+    dealt = prints.select("fp").repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    return cell_links(dealt.mapInArrow(_cells(bits), "cell long, fp long"), bits, cell_rows)
 
 
 def cell_links(cells: DataFrame, bits: int, cell_rows: int = 20_000) -> DataFrame:
@@ -235,13 +239,17 @@ def near_groups(docs: DataFrame, shingle: int = 4, bits: int = 4, seed: int = 42
     its documents have none. Other columns are left out; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    prints = staged(texts(docs).mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long"), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
+    return grouped(staged(texts(docs).mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long"), "simhash"), bits)
+
+
+def grouped(prints: DataFrame, bits: int) -> DataFrame:
+    """prints (doc_id, fp; staged) with component_id, the smallest doc_id that links of at most `bits` bits reach."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).checkpoint()
     roots = components(links(distinct, bits))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "of")
-    named = rooted.join(named, F.col("root") == F.col("of")).select(F.col("fp").alias("of_fp"), "component_id").checkpoint()
-    return prints.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rows", "least", F.coalesce("root", "fp").alias("root")).checkpoint()
+    named = rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_n")).checkpoint()
+    named = join_counted(rooted, named, "root").select(F.col("fp").alias("of"), F.col("rows").alias("_n"), "component_id").checkpoint()
+    return join_counted(prints, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def _sets(words: int):
@@ -323,47 +331,51 @@ def _verified(similarity: float):
     return run
 
 
-def similar_links(docs: DataFrame, sketches: DataFrame, words: int = 5, similarity: float = 0.8, block_shingles: int = 1_000_000) -> DataFrame:
+def similar_links(docs: DataFrame, sets: DataFrame, words: int = 5, similarity: float = 0.8, block_shingles: int = 1_000_000) -> DataFrame:
     """a, b: links of doc_ids whose components are those of all pairs with a similarity of at least `similarity`.
 
-    A pair of similarity 0.8 is not found once in 260,000 (see BANDS and LOOSE_BITS), one of 0.9 practically always;
-    how often texts repeat a shingle does not matter. Loose groups that hold more than block_shingles shingles are cut
-    into blocks, and each pair of blocks meets in a task of its own. Only members of loose groups move their texts'
-    shingles. Rows without a doc_id have no links.
+    sets has one row for each set of shingles that occurs: doc_id (of one of its texts in docs), its size n and bands;
+    so however many texts share a set, one of them stands for all. A pair of similarity 0.8 is not found once in
+    260,000 (see BANDS and LOOSE_BITS), one of 0.9 practically always; how often texts repeat a shingle does not matter.
+    Loose groups that hold more than block_shingles shingles are cut into blocks, and each pair of blocks meets in a
+    task of its own. Only members of loose groups move their texts' shingles.
     """
     small_batches(docs.sparkSession)
-    known = sketches.filter("doc_id IS NOT NULL").select("doc_id", "n", F.element_at("bands", BANDS + 1).alias("bits"), F.slice("bands", 1, BANDS).alias("bands"))
-    cells = known.select("bits", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("cell"), F.col("bits").alias("fp"))
+    known = sets.select("doc_id", "n", F.element_at("bands", BANDS + 1).alias("bits"), F.slice("bands", 1, BANDS).alias("bands"))
+    alike = known.groupBy(F.col("bits").alias("of")).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    cells = known.select("bits", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("cell"), F.col("bits").alias("fp")).distinct()
     loose = components(cell_links(cells, LOOSE_BITS))
-    grouped = known.join(loose, F.col("bits") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "bits").alias("grp"))
-    sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), F.ceil(F.sum(F.col("n") + 50) / block_shingles).cast("int").alias("blocks")).filter("rows > 1").withColumnRenamed("grp", "of")
-    members = grouped.join(sizes, F.col("grp") == F.col("of")).select(F.col("doc_id").alias("member"), "grp", "blocks").checkpoint()
-    sets = texts(docs).join(members, F.col("doc_id") == F.col("member")).select("doc_id", "grp", "blocks", "text").mapInArrow(_sets(words), "doc_id long, grp long, blocks int, shingles array<long>").filter(F.size("shingles") > 0)
+    named = alike.join(loose, F.col("of") == F.col("node"), "left").select("of", "_n", F.coalesce("root", "of").alias("grp")).checkpoint()
+    dealt = join_counted(known.select("doc_id", "n", "bits"), named, "bits").select("doc_id", "n", "grp").checkpoint()
+    sizes = dealt.groupBy(F.col("grp").alias("of")).agg(F.count(F.lit(1)).alias("_n"), F.ceil(F.sum(F.col("n") + 50) / block_shingles).cast("int").alias("blocks")).filter("_n > 1").checkpoint()
+    members = join_counted(dealt, sizes, "grp").select(F.col("doc_id").alias("member"), "grp", "blocks").checkpoint()
+    whole = texts(docs).join(members, F.col("doc_id") == F.col("member")).select("doc_id", "grp", "blocks", "text").mapInArrow(_sets(words), "doc_id long, grp long, blocks int, shingles array<long>").filter(F.size("shingles") > 0)
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     pair = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j) + 1))
-    dealt = sets.select("doc_id", "shingles", "grp", F.explode(pair).alias("pair")).select(F.xxhash64("grp", "pair").alias("cell"), "doc_id", "shingles")
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verified(similarity), "a long, b long")
+    met = whole.select("doc_id", "shingles", "grp", F.explode(pair).alias("pair")).select(F.xxhash64("grp", "pair").alias("cell"), "doc_id", "shingles")
+    return met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verified(similarity), "a long, b long")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 4, bits: int = 4, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of near copies, that with the smallest doc_id; columns as they are.
+    """docs with one row of each group of near copies, that with the smallest doc_id; columns as they are, whatever their names.
 
     Near copies are texts whose fingerprints (shingles of `shingle` words) differ in at most `bits` bits, or whose sets
     of shingles of `words` words have a similarity (Jaccard) of at least `similarity`. Each row is judged by its own
     text, also where rows share a doc_id. Rows without a doc_id are grouped like others, but count among themselves: of
     a group's rows without a doc_id one stays, beside the one of the smallest doc_id. Of equal ids any one stays. Rows
-    without words stay; an empty table gives no rows. docs is staged once with a number for each row.
+    without words (null, empty, white space) stay; an empty table gives no rows. docs is staged once with a number for
+    each row.
     """
     small_batches(docs.sparkSession)
-    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    worded = numbered.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("_row").alias("doc_id"), "text")
-    sketches = staged(texts(worded).mapInArrow(_sketches(shingle, words), "doc_id long, fp long, n long, bands array<long>"), "sketches")
-    prints = sketches.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    one, other = prints.toDF("a", "x"), prints.toDF("b", "y")
-    near = links(prints, bits).join(one, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    equal = sketches.join(prints.toDF("of", "least"), F.col("fp") == F.col("of")).select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    groups = components(near.unionByName(equal).unionByName(similar_links(worded, sketches, words, similarity)))
-    members = groups.join(numbered.select("_row", F.col("doc_id").alias("_id")), F.col("node") == F.col("_row")).select("_row", "root", "_id").checkpoint()
-    stay = members.groupBy("root", F.col("_id").isNull()).agg(F.min(F.struct("_id", "_row"))["_row"].alias("_stays"))
-    gone = members.join(stay, F.col("_row") == F.col("_stays"), "left_anti").select(F.col("_row").alias("_gone"))
-    return numbered.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    numbered = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("own")), "rows")
+    worded = numbered.filter(F.col("own.text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("row").alias("doc_id"), F.col("own.text").alias("text"))
+    sketches = staged(texts(worded).mapInArrow(_sketches(shingle, words), "doc_id long, fp long, n long, same binary, bands array<long>"), "sketches")
+    sets = sketches.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"), F.first("bands").alias("bands")).checkpoint()
+    near = grouped(sketches.select("doc_id", "fp"), bits).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    equal = join_counted(sketches.select(F.col("doc_id").alias("a"), "same"), sets.select(F.col("same").alias("of"), "_n", F.col("doc_id").alias("b")), "same").select("a", "b")
+    groups = components(near.unionByName(equal).unionByName(similar_links(worded, sets, words, similarity)))
+    ids = numbered.select(F.col("row").alias("member"), F.col("own.doc_id").alias("id"))
+    members = groups.join(ids, F.col("node") == F.col("member")).select("member", "root", "id").checkpoint()
+    stay = members.groupBy("root", F.col("id").isNull()).agg(F.min(F.struct("id", "member"))["member"].alias("stays"))
+    gone = members.join(stay, F.col("member") == F.col("stays"), "left_anti").select("member")
+    return numbered.join(gone, F.col("row") == F.col("member"), "left_anti").select("own.*")
