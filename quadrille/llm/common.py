@@ -91,9 +91,11 @@ def join_counted(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner"
     """
     values = [c for c in facts.columns if c not in ("of", "_n")]
     total = int(facts.agg(F.sum("_n")).first()[0] or 0)
-    known = facts.select("of", F.struct(*values).alias("_known"), (F.col("_n") * hot_keys > total).alias("_often"))
+    # always 0, but no literal: the planner would take one out of the join's keys, and then deal rows by the key alone
+    zero = F.pmod(F.col("_n"), F.lit(1)).cast("long").alias("_rare_deal")
+    known = facts.select("of", F.struct(*values).alias("_known"), (F.col("_n") * hot_keys > total).alias("_often"), zero)
     often = known.filter("_often").select(F.col("of").alias("_often_of"), F.col("_known").alias("_often_known"))
-    rare = known.filter("NOT _often").select(F.col("of").alias("_rare_of"), F.col("_known").alias("_rare_known"), F.lit(0).cast("long").alias("_rare_deal"))
+    rare = known.filter("NOT _often").select(F.col("of").alias("_rare_of"), F.col("_known").alias("_rare_known"), F.col("_rare_deal"))
     dealt = rows.join(F.broadcast(often), F.col(key) == F.col("_often_of"), "left")
     dealt = dealt.withColumn("_deal", F.when(F.col(key).isNotNull() & F.col("_often_known").isNull(), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id() + 1))
     joined = dealt.join(rare, (F.col(key) == F.col("_rare_of")) & (F.col("_deal") == F.col("_rare_deal")), "left").withColumn("_known", F.coalesce("_often_known", "_rare_known"))

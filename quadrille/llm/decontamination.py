@@ -10,16 +10,18 @@ of words that they cover are merged for each document.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
-from itertools import repeat
+from functools import lru_cache
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quadrille.llm.common import small_batches, texts
+from quadrille.llm.common import PASSES, read_json, shared_dir, small_batches, staged, texts, write_json
 
 #: Bytes of words: digits, small letters (A-Z come lower-cased) and whatever is not ASCII.
 _SPACE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -33,15 +35,29 @@ def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
 
 
+class Bits:
+    """A bit for each place, packed, with a count of ones before each 64: bits[k] is the number of ones before place k."""
+
+    def __init__(self, bit: np.ndarray):
+        packed = np.packbits(bit.astype(bool), bitorder="little")
+        self.words = np.zeros(len(bit) // 64 + 1, np.uint64)
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.uint32)[:-1]]).astype(np.uint32)
+
+    def __getitem__(self, place: np.ndarray) -> np.ndarray:
+        word = place >> 6
+        below = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word].astype(np.int64) + np.bitwise_count(self.words[word] & below)
+
+
 class Wavelet:
     """Ranks and symbols of a sequence of numbers, level by level from the highest bit; many queries at once."""
 
     def __init__(self, seq: np.ndarray, bits: int):
-        self.levels: list[tuple[int, np.ndarray, int]] = []
+        self.levels: list[tuple[int, Bits, int]] = []
         for shift in range(bits - 1, -1, -1):
             bit = (seq >> shift) & 1
-            ones = np.concatenate([[0], np.cumsum(bit)])
-            self.levels.append((shift, ones, len(seq) - int(ones[-1])))
+            self.levels.append((shift, Bits(bit), len(seq) - int(bit.sum())))
             seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
 
     def rank(self, symbol: np.ndarray, upto: np.ndarray) -> np.ndarray:
@@ -192,9 +208,53 @@ def _spans(hit: np.ndarray) -> list[dict[str, int]]:
     return [{"first": a, "last": b} for a, b in zip(np.flatnonzero(step == 1).tolist(), (np.flatnonzero(step == -1) - 1).tolist())]
 
 
-def _scan(block, size: int, last: bool, shard_bytes: int):
+def _write_items(folder: str):
+    """The items of each block, one block after the other, to a file of their own; a row for each file."""
+
+    def run(batches):
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("block", "item_id", "text"))))
+        for block, items in groupby(rows, key=lambda r: r[0]):
+            path = f"{folder}/{uuid.uuid4().hex}.items"
+            write_json(path, [r[1:] for r in items])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([path])], names=["block", "path"])
+
+    return run
+
+
+@lru_cache(maxsize=1)
+def _phrases(path: str, size: int) -> Phrases:
+    return Phrases([tuple(x) for x in read_json(path)], size)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words alone, where there is nothing to find."""
+    for batch in batches:
+        n_words = [len(words_of(t)) for t in batch.column("text").to_pylist()]
+        yield batch.set_column(batch.schema.get_field_index("n_words"), "n_words", pa.array(n_words, pa.int64()))
+
+
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list[str]:
+    """The benchmark in files of about block_bytes of text (or one longer text) in the shared folder; their paths.
+
+    Items are numbered by bytes before them, from totals of partitions; no text comes to the driver, only a path for
+    each block. An empty benchmark has no block.
+    """
+    spark = benchmark.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/benchmark-{uuid.uuid4().hex}"
+    items = staged(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id()), "benchmark")
+    sized = items.select("row", F.shiftright("row", 33).alias("part"), (F.octet_length("text") + 8).cast("long").alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sized.groupBy("part").agg(F.sum("size").alias("bytes")).select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("before"))  # a row for each partition
+    upto = F.sum("size").over(Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    numbered = sized.withColumn("upto", upto).join(F.broadcast(starts), "part").select(F.col("row").alias("of"), F.expr(f"(before + upto) div {block_bytes}").alias("block"))
+    dealt = items.join(numbered, F.col("row") == F.col("of")).select("block", "item_id", "text")
+    files = staged(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_write_items(folder), "block long, path string"), "benchmark-blocks")
+    return [r["path"] for r in files.orderBy("block", "path").collect()]
+
+
+def _scan(path: str, size: int, last: bool, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(block.value, size)
+        phrases = _phrases(path, size)
         for whole in batches:
             at = 0
             while at < whole.num_rows:  # a shard has one document or shard_bytes
@@ -229,29 +289,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_b
     Words are runs of digits, letters and whatever is not ASCII, A-Z in lower case. A window is `size` consecutive
     words of an item; an item of fewer words, but not none, is one window. A null text has no words; a null item_id
     counts as the id ''. Repeated rows give a row each, equal windows of several items count for each of them, other
-    columns are left out, and an empty table gives no rows. The benchmark is read in blocks of block_bytes, one
-    pass over the documents each, so it may be of any size; a broadcast holds one block.
+    columns are left out, and an empty table gives no rows. The benchmark is cut into blocks of block_bytes, one pass
+    over the documents each; a task reads its block from the shared folder, so neither the driver nor a broadcast
+    holds any of it, and it may be of any size.
     """
     return _scanned(texts(docs), benchmark, size, block_bytes, shard_bytes).drop("text")
 
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 8 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """contamination of docs (doc_id, text), beside whatever other columns docs carries; text is null."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    blocks, held, size_held = [], [], 0
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
-        held.append((row["i"], row["t"]))
-        size_held += len(row["t"] or "")
-        if size_held >= block_bytes:
-            blocks.append(held)
-            held, size_held = [], 0
+    small_batches(docs.sparkSession)
     carried = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), *carried)
     schema = StructType([*StructType.fromDDL(_SCHEMA), *(docs.schema[c] for c in carried)])
-    blocks.append(held)
-    for k, block in enumerate(blocks):
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(block), size, k == len(blocks) - 1, shard_bytes), schema)
+    blocks = benchmark_blocks(benchmark, block_bytes)
+    if not blocks:
+        return out.mapInArrow(_counted, schema)
+    for k, path in enumerate(blocks):
+        out = out.mapInArrow(_scan(path, size, k == len(blocks) - 1, shard_bytes), schema)
+        if k % PASSES == PASSES - 1 and k < len(blocks) - 1:
+            out = staged(out, "scanned")
     return out
 
 
@@ -269,8 +326,9 @@ def _over(n_hit: Column, share: int) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
-    """docs without the contaminated rows; columns as they are. A verdict is that of the row's own text: rows of one
-    doc_id, and rows without one, stay or go each by itself."""
+    """docs without the contaminated rows; columns as they are, whatever their names. A verdict is that of the row's own
+    text: rows of one doc_id, and rows without one, stay or go each by itself, repeated rows alike. Null and empty texts
+    stay; an empty table gives no rows, and an empty benchmark takes none."""
     own = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
     found = _scanned(own, benchmark, size)
     return found.withColumn("n_hit", _n_hit()).filter(~_over(F.col("n_hit"), share)).select("row.*")
