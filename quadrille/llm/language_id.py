@@ -7,12 +7,16 @@ far each one's rank is from its rank in the profile, and the profile's length fo
 
 from __future__ import annotations
 
+import uuid
+from functools import lru_cache
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import small_batches, texts
+from quadrille.llm.common import PASSES, read_json, shared_dir, small_batches, staged, texts, write_json
 
 N_GRAMS = 3
 _SHIFT = 21  # bits of a code point
@@ -60,6 +64,7 @@ def ranked(values: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
 
 def _count(batches):
     total: dict[str, dict[int, int]] = {}
+    held = 0
     for batch in batches:
         by: dict[str, list[np.ndarray]] = {}
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
@@ -67,11 +72,14 @@ def _count(batches):
         for lang, parts in by.items():
             values, counts = np.unique(np.concatenate(parts), return_counts=True)
             own = total.setdefault(lang, {})
+            before = len(own)
             for v, c in zip(values.tolist(), counts.tolist()):
                 own[v] = own.get(v, 0) + c
-            if len(own) > 500_000:
-                yield _counted(lang, own)
-                own.clear()
+            held += len(own) - before
+            if held > 1_000_000:
+                for of, n in total.items():
+                    yield _counted(of, n)
+                total, held = {}, 0
     for lang, own in total.items():
         yield _counted(lang, own)
 
@@ -80,19 +88,42 @@ def _counted(lang: str, own: dict[int, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], names=["lang", "gram", "n"])
 
 
-def fit_profiles(labelled: DataFrame, top: int = 400, max_languages: int = 1000) -> dict[str, np.ndarray]:
-    """The top n-grams of every language over all rows of labelled (text, lang); rows of null lang are left out.
-    Counts are added up in Spark; what comes to the driver is `top` numbers for each of max_languages at most."""
+def profile_table(labelled: DataFrame, top: int = 400) -> DataFrame:
+    """lang, rank (from 0), gram: the top n-grams of every language over all rows of labelled (text, lang); rows of null
+    lang are left out. A language whose texts have no letter has no profile. Counted and ranked in Spark."""
     small_batches(labelled.sparkSession)
     known = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null")
     counts = known.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    profiles: dict[str, list[int]] = {}
-    for row in counts.withColumn("rank", first).filter(F.col("rank") <= top).orderBy("lang", "rank").toLocalIterator():
-        profiles.setdefault(row["lang"], []).append(row["gram"])
-        if len(profiles) > max_languages:
-            raise ValueError(f"more than {max_languages} languages")
-    return {k: np.array(v, np.int64) for k, v in profiles.items()}
+    return counts.withColumn("rank", first - 1).filter(F.col("rank") < top).select("lang", "rank", "gram")
+
+
+def _write_profiles(folder: str):
+    def run(batches):
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "gram"))))
+        for block, own in groupby(rows, key=lambda r: r[0]):
+            path = f"{folder}/{uuid.uuid4().hex}.profiles"
+            write_json(path, {lang: [r[2] for r in grams_of] for lang, grams_of in groupby(own, key=lambda r: r[1])})
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([path])], names=["block", "path"])
+
+    return run
+
+
+def fit_profiles(labelled: DataFrame, top: int = 400, block_languages: int = 256) -> list[str]:
+    """profile_table in files of about block_languages profiles each, in the shared folder; their paths. However many
+    languages there are, no profile comes to the driver. Without a labelled letter there is no file."""
+    spark = labelled.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/profiles-{uuid.uuid4().hex}"
+    known = staged(profile_table(labelled, top), "profiles")
+    blocks = -(-known.filter("rank = 0").count() // block_languages)
+    dealt = known.withColumn("block", F.pmod(F.xxhash64("lang"), F.lit(max(1, blocks))).cast("long"))
+    files = staged(dealt.repartition("block").sortWithinPartitions("block", "lang", "rank").mapInArrow(_write_profiles(folder), "block long, path string"), "profile-files")
+    return [r["path"] for r in files.orderBy("block", "path").collect()]
+
+
+@lru_cache(maxsize=1)
+def _ranker(path: str, top: int) -> "Ranker":
+    return Ranker({lang: np.array(own, np.int64) for lang, own in read_json(path).items()}, top)
 
 
 class Ranker:
@@ -103,10 +134,11 @@ class Ranker:
         for k, name in enumerate(self.names):
             self.rank[k, np.searchsorted(self.known, profiles[name])] = np.arange(len(profiles[name]))
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
+    def __call__(self, text: str | None) -> tuple[str, float, float, float]:
+        """The nearest language, how far out of place it is, its nearness and that of all together."""
         codes = letters(text)
         if not len(codes) or not self.names:
-            return "und", 0.0
+            return "und", 0.0, 0.0, 0.0
         values, counts = np.unique(grams(codes), return_counts=True)
         own = ranked(values, counts, self.top)
         at = np.searchsorted(self.known, own)
@@ -115,27 +147,47 @@ class Ranker:
         off = np.where(ranks < 0, self.top, np.abs(ranks - np.arange(len(own)))).sum(axis=1)
         best = int(off.argmin())  # of equal distances the first name
         near = 1 - off / max(1, self.top * len(own))
-        return self.names[best], float(np.clip(near[best] / max(near.sum(), 1e-9), 0, 1))
+        return self.names[best], float(off[best]), float(near[best]), float(near.sum())
+
+
+_FOUND = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang_pred", pa.string()), ("off", pa.float64()), ("near", pa.float64()), ("total", pa.float64())])
+
 
+def _predict(path: str, top: int, last: bool):
+    """One block of profiles: what it finds, beside what blocks before it found."""
 
-def _predict(profiles: dict[str, np.ndarray], top: int):
     def run(batches):
-        ranker = Ranker(profiles, top)
+        ranker = _ranker(path, top)
         for batch in batches:
-            found = [ranker(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            rows = []
+            for text, *old in zip(*(batch.column(c).to_pylist() for c in ("text", "lang_pred", "off", "near", "total"))):
+                name, off, near, total = ranker(text)
+                if old[0] is not None and name != "und":
+                    total += old[3]
+                    if (old[1], old[0]) < (off, name):
+                        name, off, near = old[:3]
+                rows.append((None if last else text, name, off, near, total))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, _FOUND.types[1:]))], schema=_FOUND)
 
     return run
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = 400) -> DataFrame:
+def predict(docs: DataFrame, profiles: list[str], top: int = 400) -> DataFrame:
     """One row per document: doc_id, lang_pred, score (0 to 1: the nearness to that profile as a share of all).
 
-    Whole texts are read. 'und' with score 0 where text is null or has no letter, or no profile is known. Of equal
-    distances the first name wins. Repeated rows give a row each, other columns are left out, an empty table none.
+    Whole texts are read, once for each file of profiles. 'und' with score 0 where text is null or has no letter, or no
+    profile is known. Of equal distances the first name wins. Repeated rows give a row each, other columns are left
+    out, an empty table none.
     """
     small_batches(docs.sparkSession)
-    return texts(docs).mapInArrow(_predict(profiles, top), "doc_id long, lang_pred string, score double")
+    none = F.lit(None).cast("double")
+    out = texts(docs).select("doc_id", "text", F.lit(None).cast("string").alias("lang_pred"), none.alias("off"), none.alias("near"), none.alias("total"))
+    for k, path in enumerate(profiles):
+        out = out.mapInArrow(_predict(path, top, k == len(profiles) - 1), "doc_id long, text string, lang_pred string, off double, near double, total double")
+        if k % PASSES == PASSES - 1 and k < len(profiles) - 1:
+            out = staged(out, "predicted")
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("near") / F.greatest(F.col("total"), F.lit(1e-9))))
+    return out.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce(share, F.lit(0.0)).alias("score"))
 
 
 def fold(doc_id: Column, folds: int) -> Column:
