@@ -9,6 +9,7 @@ these posteriors scores all documents; the labels themselves choose the lexicon
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -21,18 +22,22 @@ from quadrille.llm.common import small_batches, staged, texts
 from quadrille.llm.language_id import fold
 
 PREFIXES = (4, 5, 6)
-#: Bytes that are no letters become spaces; others than ASCII count as letters.
-_SPACE = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+_WORD = re.compile("[a-z\x80-\U0010ffff]+")
+#: Scripts that write words without spaces: their words are read as pairs of characters.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words in lower case, their UTF-8 bytes one character each."""
-    return (text or "").lower().encode("utf-8", "replace").translate(_SPACE).decode("latin-1").split()
+    """Words in lower case: runs of letters and of whatever is not ASCII."""
+    found = _WORD.findall((text or "").lower())
+    if not any(map(_UNSPACED.search, found)):
+        return found
+    return [x for w in found for x in ([w[k : k + 2] for k in range(max(1, len(w) - 1))] if _UNSPACED.search(w) else [w])]
 
 
 def features(words: set[str]) -> set[str]:
     """A word is '=word', a beginning of longer words '^begin'."""
-    found = {"=" + w for w in words if len(w) >= 3}
+    found = {"=" + w for w in words if len(w) >= 3 or _UNSPACED.search(w)}
     for k in PREFIXES:
         found.update(["^" + w[:k] for w in words if len(w) > k])
     return found
@@ -47,21 +52,30 @@ def _counts(batches, only: set[str] | None):
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["feature", "n"])
 
 
-def mine_lexicon(sample: DataFrame, n_pos: int, n_neg: int, size: int = 200, candidates: int = 20_000) -> list[str]:
-    """Features by how much more often documents of toxic = 1 have them; both counts are added up in Spark, and
-    `candidates` rows at most come to the driver."""
+def mine_lexicon(sample: DataFrame, n_pos: int, n_neg: int, size: int = 200, candidates: int = 20_000, precision: float = 0.9, gain: float = 18.0) -> list[str]:
+    """The lexicon of the bounded sample: at most `size` features, those that tell most about toxic = 1.
+
+    A feature is read if 3 documents of toxic = 1 and one in 100 of them have it; of these the `candidates` most frequent
+    (a bound on what comes to the driver; the sample's own bound, max_rows of fit, bounds the work). It must be right
+    in `precision` of its documents and tell `gain` (twice the log likelihood ratio) at least. Counts are added up in Spark.
+    """
     count = lambda df, only: df.select("text").mapInArrow(lambda b: _counts(b, only), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     pos = {r["feature"]: r["n"] for r in count(sample.filter("toxic = 1"), None).filter("n >= 3").orderBy(F.desc("n"), "feature").limit(candidates).collect()}
     neg = {r["feature"]: r["n"] for r in count(sample.filter("toxic = 0"), set(pos)).collect()}
+    return chosen(pos, neg, n_pos, n_neg, size, precision, gain)
+
+
+def chosen(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, size: int, precision: float, gain: float) -> list[str]:
+    """Features by what they tell; a beginning stays out where a shorter one is in, or where its words alone carry it."""
     share = n_pos / max(1, n_pos + n_neg)
     scored = []
     for feature, p in pos.items():
         q = neg.get(feature, 0)
-        if p < 0.01 * n_pos or p < 0.9 * (p + q):
+        if p < 0.01 * n_pos or p < precision * (p + q):
             continue
-        gain = 2 * (p * np.log(p / ((p + q) * share)) + (q * np.log(q / ((p + q) * (1 - share))) if q else 0))
-        if gain > 18:
-            scored.append((-gain, len(feature), feature))
+        told = 2 * (p * np.log(p / ((p + q) * share)) + (q * np.log(q / ((p + q) * (1 - share))) if q else 0))
+        if told > gain:
+            scored.append((-told, len(feature), feature))
     kept: list[str] = []
     for _, _, feature in sorted(scored):
         begins = {"^" + feature[1:][:k] for k in PREFIXES if k < len(feature) - 1}
@@ -69,7 +83,7 @@ def mine_lexicon(sample: DataFrame, n_pos: int, n_neg: int, size: int = 200, can
             continue
         # a beginning must stand without the words that are entries themselves
         own = pos[feature] - max((pos[x] for x in kept if x[0] == "=" and feature[0] == "^" and x[1:].startswith(feature[1:])), default=0)
-        if own >= 0.9 * (own + neg.get(feature, 0)):
+        if own >= precision * (own + neg.get(feature, 0)):
             kept.append(feature)
         if len(kept) == size:
             break
@@ -113,17 +127,23 @@ def votes(presence: np.ndarray, n_words: np.ndarray) -> np.ndarray:
 
 
 def label_model(v: np.ndarray, share: float, rounds: int = 30) -> np.ndarray:
-    """The posterior of label 1 for each row of votes. A voter that votes is right as often as its accuracy, whatever the
-    label; when it abstains says nothing. Accuracies begin at 0.95 with the weight of ten votes. Votes of one row that
-    correlate beyond the label share their weight."""
+    """The posterior of label 1 for each row of votes.
+
+    A voter's accuracies are how often it casts each vote on rows of either label, estimated in turn with the posteriors;
+    they begin from one of 0.9 for rows that any voter calls toxic, and a vote is never counted against the label that
+    it names. An abstention says nothing: the voters that vote for rows without any entry speak for it. Votes of one
+    row that correlate beyond the label share their weight.
+    """
     post = np.where((v == 1).any(axis=1), 0.9, np.where((v == -1).any(axis=1), 0.05, share))
     for k in range(rounds):
-        right = post @ (v == 1) + (1 - post) @ (v == -1)
-        accuracy = np.clip((right + 9.5) / ((v != 0).sum(axis=0) + 10), 0.5, 0.995)
         if k % 10 == 0:
             alike = correlations(v, post)
-            told = [np.where(v == y, 1 / (1 + (v == y) @ alike), 0.0) for y in (1, -1)]
-        odds = np.log(share / (1 - share)) + (told[0] - told[1]) @ np.log(accuracy / (1 - accuracy))
+            weight = [np.where(v == y, 1 / (1 + (v == y) @ alike), 0.0) for y in (1, -1)]
+        odds = np.full(len(v), np.log(share / (1 - share)))
+        for y, own in zip((1, -1), weight):
+            toxic = (post @ (v == y) + 0.5) / (post.sum() + 1)
+            other = ((1 - post) @ (v == y) + 0.5) / ((1 - post).sum() + 1)
+            odds += own @ (y * np.maximum(0.0, y * np.log(toxic / other)))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return post
 
@@ -166,7 +186,10 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, folds: int = 5) -> Model | None:
     """Fits on at most max_rows labelled rows whose crc32(doc_id as text) mod `folds` is not 0, those whose hash of
-    doc_id is smallest. None where these hold no toxic row or no other."""
+    doc_id is smallest; of sampled rows of one label that share the least hash of their words of 8 or more letters
+    (near copies mostly do) one is read. A doc_id with several labels counts as toxic if one says so; null doc_ids and
+    labels are left out. None where the sample holds no toxic row or no other. Where no feature is right in 0.9 of
+    its documents, 0.7 and then 0.5 will do; where none is either, every text has the sample's share of toxic rows."""
     small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     known = known.filter(fold(F.col("doc_id"), folds) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -181,7 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, folds: int =
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
         return None
-    entries = mine_lexicon(sample, n_pos, n_neg)
+    entries: list[str] = []
+    for precision in (0.9, 0.7, 0.5):
+        entries = entries or mine_lexicon(sample, n_pos, n_neg, precision=precision)
     if not entries:
         return Model([], np.array([np.log(n_pos / n_neg), 0, 0, 0]))
     rows = sample.select("doc_id", "text").mapInArrow(_hits(entries), "doc_id long, hits array<int>, n_words long").orderBy("doc_id").collect()
@@ -211,13 +236,13 @@ def _score(model: Model):
     return run
 
 
-def _passed(model: Model):
+def _passed(model: Model, column: str):
     """Rows whose own text scores under 0.5, with all their columns."""
 
     def run(batches):
         lexicon = Lexicon(model.entries)
         for batch in batches:
-            yield batch.filter(pa.array(_scores(model, lexicon, batch.column("_scored").to_pylist()) < 0.5)).drop_columns(["_scored"])
+            yield batch.filter(pa.array(_scores(model, lexicon, batch.column(column).cast(pa.string()).to_pylist()) < 0.5))
 
     return run
 
@@ -235,10 +260,12 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the classifier rejects; columns as they are. A verdict is that of the row's own text:
-    rows of one doc_id, and rows without one, stay or go each by itself."""
+    """docs without the rows that the classifier rejects; columns as they are, whatever their names. A verdict is that of
+    the row's own text: rows of one doc_id, and rows without one, stay or go each by itself, repeated rows alike. Null
+    and empty texts have no hits and stay; an empty table gives no rows; without a model (no labels) every row stays."""
     model = fit(docs, labels)
     if not model:
         return docs
     small_batches(docs.sparkSession)
-    return docs.withColumn("_scored", F.col("text").cast("string")).mapInArrow(_passed(model), docs.schema)
+    column = next(c for c in docs.columns if c.lower() == "text")
+    return docs.mapInArrow(_passed(model, column), docs.schema)
