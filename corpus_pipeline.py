@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents without toxic ones, copies, near copies and benchmark passages, encoded at its end."""
+"""The corpus pipeline: documents without toxic ones, copies, near copies and benchmark passages, encoded at its end.
+
+Each stage takes whole documents with whatever columns and judges each row by its own text: rows without a doc_id and
+rows that share one stay or go each by itself. Null and empty texts are documents without words: they are never toxic,
+near copies or contaminated, and count as copies of each other. Repeated rows are copies. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +14,27 @@ from quadrille.llm.common import staged, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; without labels none does."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
+    """Of equal texts (null and empty are equal) the smallest doc_id stays; of rows that repeat it one."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
+    """Of each group of near copies the smallest doc_id stays, and one of its rows without a doc_id; rows without words stay."""
     return simhash.drop_near_copies(docs)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go; with an empty benchmark none does."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what is left."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what is left; a null text is encoded as an empty one."""
     import public_tokenizers
 
     return sentencepiece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), digests=True)

@@ -10,10 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import shared_dir, texts
+from quadrille.llm.common import join_counted, shared_dir, staged, texts
 
-#: A chunk has 384 to 4096 characters and ends behind a space that follows one of these letters or marks.
-CHUNK = r"(?s).{384,4095}?(?<=[aglmsty.,] )|.{1,4096}"
+
+def _class(first: int, end: int, step: int, taken: int) -> str:
+    """A class of characters: the first `taken` of every `step` from first on, before end."""
+    return f"[{chr(first)}-{chr(end - 1)}&&[" + "".join(f"{chr(k)}-{chr(k + taken - 1)}" for k in range(first, end, step)) + "]]"
+
+
+#: A chunk has 384 to 4096 characters and ends behind a space that follows one of some letters or marks (some of every
+#: script that has spaces), or behind some characters of scripts without spaces.
+CHUNK = rf"(?s).{{384,4095}}?(?<=[aglmsty.,] |{_class(0x80, 0x2000, 32, 8)} |{_class(0x2E80, 0xD680, 512, 2)})|.{{1,4096}}"
 
 
 def normalised(text: Column) -> Column:
@@ -33,16 +40,21 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     is kept. Rows with a null doc_id are grouped, but stay only where their group has no other. An empty table
     gives no rows.
     """
-    shared_dir(docs.sparkSession)
-    own = texts(docs).withColumn("norm", normalised(F.col("text"))).drop("text")
-    recipes = own.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), lambda c: F.xxhash64(c)).alias("recipe"), F.octet_length("norm").alias("bytes"))
+    return _groups(texts(docs).withColumn("row", F.lit(0).cast("long"))).drop("row")
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """exact_groups of rows (doc_id, text, row), with their row."""
+    shared_dir(rows.sparkSession)
+    own = rows.select("row", "doc_id", normalised(F.col("text")).alias("norm"))
+    recipes = own.select("row", "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), lambda c: F.xxhash64(c)).alias("recipe"), F.octet_length("norm").alias("bytes"))
     shared = shared_hashes(own).checkpoint()
     if not shared.isEmpty():
         recipes = _numbered(own, clashing_chunks(own, shared))
-    recipes = recipes.withColumn("copy", F.monotonically_increasing_id()).checkpoint()
-    stays = recipes.groupBy("recipe", "bytes").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("first"), F.count(F.lit(1)).alias("group_size")).checkpoint()
-    joined = recipes.join(stays.withColumnsRenamed({"recipe": "of", "bytes": "of_bytes"}), (F.col("recipe") == F.col("of")) & (F.col("bytes") == F.col("of_bytes")))
-    return joined.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("copy") == F.col("first.copy")).alias("kept"), "text_sha256")
+    recipes = recipes.select("row", "doc_id", "text_sha256", F.struct("recipe", "bytes").alias("whole"), F.monotonically_increasing_id().alias("copy")).checkpoint()
+    stays = recipes.groupBy(F.col("whole").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("first"), F.count(F.lit(1)).alias("_n")).withColumn("group_size", F.col("_n")).checkpoint()
+    joined = join_counted(recipes, stays, "whole")  # a large group of copies is dealt over all tasks
+    return joined.select("row", "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("copy") == F.col("first.copy")).alias("kept"), "text_sha256")
 
 
 def distinct_chunks(own: DataFrame) -> DataFrame:
@@ -62,21 +74,22 @@ def clashing_chunks(own: DataFrame, shared: DataFrame) -> DataFrame:
 
 def _numbered(own: DataFrame, clashes: DataFrame) -> DataFrame:
     """Recipes in which a chunk whose hash is shared also has its number."""
-    rows = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.octet_length("norm").alias("bytes"), chunks(F.col("norm")).alias("all"))
-    pieces = rows.select("row", "doc_id", "text_sha256", "bytes", F.posexplode_outer("all").alias("pos", "chunk")).withColumn("id", F.xxhash64("chunk"))
+    rows = own.select("row", F.monotonically_increasing_id().alias("nth_row"), "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.octet_length("norm").alias("bytes"), chunks(F.col("norm")).alias("all"))
+    whole = ["nth_row", "row", "doc_id", "text_sha256", "bytes"]
+    pieces = rows.select(*whole, F.posexplode_outer("all").alias("pos", "chunk")).withColumn("id", F.xxhash64("chunk"))
     pieces = pieces.join(clashes, ["id", "chunk"], "left")
-    listed = pieces.groupBy("row", "doc_id", "text_sha256", "bytes").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id", F.coalesce("nth", F.lit(0)).alias("nth"))))).alias("p"))
-    return listed.select("doc_id", "text_sha256", F.flatten(F.transform("p", lambda x: F.array(x["id"], x["nth"].cast("long")))).alias("recipe"), "bytes")
+    listed = pieces.groupBy(*whole).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id", F.coalesce("nth", F.lit(0)).alias("nth"))))).alias("p"))
+    return listed.select("row", "doc_id", "text_sha256", F.flatten(F.transform("p", lambda x: F.array(x["id"], x["nth"].cast("long")))).alias("recipe"), "bytes")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each group of equal texts; columns as they are. A repeated row stays once."""
-    groups = exact_groups(docs).select("doc_id", "text_sha256", "kept").checkpoint()
-    kept = groups.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_of", F.sha2(normalised(F.col("text")), 256))
-    out = own.join(kept, own["doc_id"].eqNullSafe(kept["_id"]) & (own["_of"] == kept["_sha"]), "left_semi")
-    again = groups.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).count().filter("count > 1").select("_id", "_sha").checkpoint()
-    if not again.isEmpty():
-        same = out["doc_id"].eqNullSafe(again["_id"]) & (out["_of"] == again["_sha"])
-        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "_of"]))
-    return out.drop("_of")
+    """docs with one row of each group of equal texts (exact_groups); columns as they are, whatever their names.
+
+    Each row is judged by its own text: rows of one doc_id, and rows without one, stay or go each by itself. Null and
+    empty texts are one group. Of rows that repeat the smallest doc_id of a group one stays. An empty table gives no
+    rows. docs is staged once with a number for each row.
+    """
+    numbered = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("own")), "rows")
+    own = numbered.select("row", F.col("own.doc_id").cast("long").alias("doc_id"), F.col("own.text").cast("string").alias("text"))
+    gone = _groups(own).filter("NOT kept").select(F.col("row").alias("gone"))
+    return numbered.join(gone, F.col("row") == F.col("gone"), "left_anti").select("own.*")
