@@ -17,19 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import block_count, shared_dir, small_batches, staged
+from quadrille.llm.common import join_counted, shared_dir, small_batches, staged, store
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
 
 
-def _file(uri: str):
-    """The store of a path or URI, and the path in it."""
-    from pyarrow import fs
-
-    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
-
-
 def _record_id(page_id: int | None) -> str:
     return f"<urn:x-page:{'none' if page_id is None else page_id}>"
 
@@ -107,9 +100,9 @@ def _write(folder: str, file_bytes: int, date: str, level: int):
             for page_id, url, html, sha1, refers_to, revisit in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "sha1", "refers_to", "revisit"))):
                 if out is None:
                     path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                    store, place = _file(path)
-                    store.create_dir(place.rpartition("/")[0], recursive=True)
-                    sink, out, done, size = store.open_output_stream(place, compression=None), zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
+                    there, place = store(path)
+                    there.create_dir(place.rpartition("/")[0], recursive=True)
+                    sink, out, done, size = there.open_output_stream(place, compression=None), zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
                 raw = record(page_id, url, html.encode(), base64.b32encode(bytes.fromhex(sha1)).decode(), refers_to, revisit, date)
                 sink.write(out.compress(raw))
                 done, size = done + 1, size + len(raw)
@@ -131,18 +124,18 @@ def _normalise(folder: str, level: int):
         for batch in batches:
             for source in batch.column("path").to_pylist():
                 path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                store, place = _file(path)
-                store.create_dir(place.rpartition("/")[0], recursive=True)
+                there, place = store(path)
+                there.create_dir(place.rpartition("/")[0], recursive=True)
                 rows, at = [], 0
-                origin, inside = _file(source)
-                with origin.open_input_stream(inside, compression=None) as stream, store.open_output_stream(place, compression=None) as sink:
+                origin, inside = store(source)
+                with origin.open_input_stream(inside, compression=None) as stream, there.open_output_stream(place, compression=None) as sink:
                     for fields, raw in records(inflated(stream)):
                         z = zlib.compressobj(level, zlib.DEFLATED, 31)
                         member = z.compress(raw) + z.flush()
                         sink.write(member)
                         rows.append({"path": path, "offset": at, "length": len(member), "record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type")})
                         at += len(member)
-                with store.open_output_stream(place + ".idx", compression=None) as side:
+                with there.open_output_stream(place + ".idx", compression=None) as side:
                     side.write("".join(f"{r['offset']} {r['length']} {r['record_type']} {r['record_id']}\n" for r in rows).encode())
                 for k in range(0, len(rows), 5000):
                     yield pa.RecordBatch.from_pylist(rows[k : k + 5000], schema=_INDEX)
@@ -157,8 +150,8 @@ def _read(with_payload: bool):
     def run(batches):
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                store, place = _file(path)
-                with store.open_input_file(place) as f, store.open_input_stream(place + ".idx", compression=None) as side:
+                there, place = store(path)
+                with there.open_input_file(place) as f, there.open_input_stream(place + ".idx", compression=None) as side:
                     rows = []
                     for line in side.read().decode().splitlines():
                         offset, length = map(int, line.split(" ", 2)[:2])
@@ -200,9 +193,9 @@ def write_archives(pages: DataFrame, file_bytes: int = 16 << 20, date: str = "19
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     own = own.withColumn("key", F.when(F.octet_length("html") >= min_revisit_bytes, F.sha2("html", 256)))
-    largest = own.filter("key is not null").groupBy("key").agg(F.max("page_id").alias("refers_to")).withColumnRenamed("key", "of").checkpoint()
-    parts = block_count(own, "html", file_bytes)
-    told = own.join(largest, F.col("key") == F.col("of"), "left").select("page_id", "url", "html", F.sha1(F.col("html").cast("binary")).alias("sha1"), "refers_to", F.coalesce(F.col("refers_to").isNotNull() & ~F.col("refers_to").eqNullSafe(F.col("page_id")), F.lit(False)).alias("revisit"))
+    largest = own.filter("key is not null").groupBy(F.col("key").alias("of")).agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("_n")).checkpoint()
+    # a payload that many pages share, such as an empty one, is dealt over all writers
+    told = join_counted(own, largest, "key", "left").select("page_id", "url", "html", F.sha1(F.col("html").cast("binary")).alias("sha1"), "refers_to", F.coalesce(F.col("refers_to").isNotNull() & ~F.col("refers_to").eqNullSafe(F.col("page_id")), F.lit(False)).alias("revisit"))
     return staged(told.mapInArrow(_write(folder, file_bytes, date, level), "path string, records long"), "warc-files")
 
 
