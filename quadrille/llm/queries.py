@@ -27,8 +27,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, shared = token_files.write_token_files(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
-    return token_files.read_token_files(files, shared, digests=True)
+    folder = token_files.write_token_files(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return token_files.read_token_files(spark, folder, digests=True)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

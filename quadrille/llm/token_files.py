@@ -1,37 +1,44 @@
-"""Token ids in binary blocks: static range asymmetric numeral systems (rANS) with shared frequency tables.
+"""Token ids in binary files: static range asymmetric numeral systems (rANS) with shared frequency tables.
 
 Documents are put in doc_id order over range partitions and encoded to ids. One frequency table, counted over all
 ids, serves all blocks. A block holds whole documents and is coded by many interleaved states side by side; every
 so many steps it notes the states and the place in the words (a checkpoint), so that parts of a block can be
 decoded apart, and each block ends in a checksum. Blocks need nothing of each other.
 
-A block is, in little-endian order: magic RANB, version u16, bits u16, lanes u32, steps u32, every u32, documents
-u32, first token u64, ids u64, words u32, checkpoints u32, then per document its doc_id i64 and ids u32, then per
-checkpoint the first word u32 and the states u64 x lanes, then the words u32, then the crc32 of all before.
+A folder of token files holds all that a reader needs: `table.rant` (the frequency table), files `*.ranb` of blocks one
+after the other, and `index` (Parquet: path, offset, length and first of each block; a block that it does not name does
+not count). In little-endian order, a table is: magic RANT, version u16, bits u16, ids u32, digest of the vocabulary
+16 bytes, the frequencies u32 each, then the crc32 of all before. A block is: magic RANB, version u16, bits u16,
+lanes u32, steps u32, every u32, documents u32, first token u64, ids u64, words u32, checkpoints u32, the table's crc32
+u32, then per document its doc_id i64 and ids u32, then per checkpoint the first word u32 and the states u64 x lanes,
+then the words u32, then the crc32 of all before.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
 from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from quadrille.llm.common import block_count, shared_dir, small_batches, staged, texts
+from quadrille.llm.common import block_count, shared_dir, small_batches, staged, store, texts
 
 BITS = 20
 LOW = 1 << 31
 LANES = 512
 EVERY = 256
 BLOCK_IDS = 1 << 18
-_HEAD = struct.Struct("<4sHHIIIIQQII")
+_HEAD = struct.Struct("<4sHHIIIIQQIII")
+_TABLE = struct.Struct("<4sHHI16s")
 
 
 # --- the coder -----------------------------------------------------------------------------------------------
@@ -56,7 +63,22 @@ def frequency_table(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
     return freq.astype(np.uint32)
 
 
-def encode_block(ids: np.ndarray, docs: list[tuple[int, int]], first: int, freq: np.ndarray, bits: int = BITS, lanes: int = LANES, every: int = EVERY) -> bytes:
+def pack_table(freq: np.ndarray, vocabulary: bytes, bits: int = BITS) -> bytes:
+    body = _TABLE.pack(b"RANT", 1, bits, len(freq), hashlib.blake2b(vocabulary, digest_size=16).digest()) + freq.astype("<u4").tobytes()
+    return body + struct.pack("<I", zlib.crc32(body))
+
+
+def open_table(raw: bytes) -> tuple[bytes, int]:
+    """The frequencies, 4 bytes each, and the table's crc32; ValueError where that or the magic does not hold."""
+    if len(raw) < _TABLE.size + 4 or zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
+        raise ValueError("a table's checksum does not hold")
+    magic, version, _, size, _ = _TABLE.unpack_from(raw)
+    if magic != b"RANT" or version != 1 or len(raw) != _TABLE.size + 4 * size + 4:
+        raise ValueError("not a table of this format")
+    return raw[_TABLE.size : -4], zlib.crc32(raw[:-4])
+
+
+def encode_block(ids: np.ndarray, docs: list[tuple[int, int]], first: int, freq: np.ndarray, bits: int = BITS, lanes: int = LANES, every: int = EVERY, table_crc: int = 0) -> bytes:
     """ids as one block; docs: doc_id and number of ids of each document in it."""
     freq = freq.astype(np.uint64)
     cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
@@ -82,7 +104,7 @@ def encode_block(ids: np.ndarray, docs: list[tuple[int, int]], first: int, freq:
         if step % every == 0:
             marks.append((written, x.copy()))
     words = np.concatenate(out[::-1]) if out else np.zeros(0, "<u4")
-    parts = [_HEAD.pack(b"RANB", 1, bits, lanes, steps, every, len(docs), first, n, len(words), len(marks))]
+    parts = [_HEAD.pack(b"RANB", 2, bits, lanes, steps, every, len(docs), first, n, len(words), len(marks), table_crc)]
     parts += [struct.pack("<qI", *d) for d in docs]
     for done, state in reversed(marks):
         parts.append(struct.pack("<I", written - done) + state.astype("<u8").tobytes())
@@ -102,8 +124,8 @@ def open_block(block: bytes) -> dict:
     """The parts of a block; ValueError where its checksum or magic does not hold."""
     if len(block) < _HEAD.size + 4 or zlib.crc32(block[:-4]) != struct.unpack("<I", block[-4:])[0]:
         raise ValueError("a block's checksum does not hold")
-    magic, version, bits, lanes, steps, every, n_docs, first, n, n_words, n_marks = _HEAD.unpack_from(block)
-    if magic != b"RANB" or version != 1:
+    magic, version, bits, lanes, steps, every, n_docs, first, n, n_words, n_marks, table_crc = _HEAD.unpack_from(block)
+    if magic != b"RANB" or version != 2:
         raise ValueError("not a block of this format")
     at = _HEAD.size
     docs = list(struct.iter_unpack("<qI", block[at : at + 12 * n_docs]))
@@ -112,7 +134,7 @@ def open_block(block: bytes) -> dict:
     for _ in range(n_marks):
         marks.append((struct.unpack_from("<I", block, at)[0], np.frombuffer(block, "<u8", lanes, at + 4)))
         at += 4 + 8 * lanes
-    return {"bits": bits, "lanes": lanes, "steps": steps, "every": every, "docs": docs, "first": first, "n": n, "marks": marks, "words": np.frombuffer(block, "<u4", n_words, at)}
+    return {"bits": bits, "lanes": lanes, "steps": steps, "every": every, "docs": docs, "first": first, "n": n, "table_crc": table_crc, "marks": marks, "words": np.frombuffer(block, "<u4", n_words, at)}
 
 
 def decode_part(b: dict, k: int, table: bytes) -> np.ndarray:
@@ -138,8 +160,11 @@ def decode_part(b: dict, k: int, table: bytes) -> np.ndarray:
     return out
 
 
-def decode_block(block: bytes, table: bytes) -> tuple[dict, np.ndarray]:
+def decode_block(block: bytes, table: bytes, table_crc: int = 0) -> tuple[dict, np.ndarray]:
+    """A block's parts and ids. ValueError where it was written with another table."""
     b = open_block(block)
+    if b["table_crc"] != table_crc:
+        raise ValueError("a block was written with another table")
     parts = [decode_part(b, k, table) for k in range(len(b["marks"]))]
     return b, np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
@@ -149,7 +174,7 @@ def decode_block(block: bytes, table: bytes) -> tuple[dict, np.ndarray]:
 #: Texts of these characters alone are lower-cased and split alike by the library and by the rules below.
 _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
 _CORE = re.compile("([a-zß-öø-ÿ]+)([^'\\sa-z0-9ß-öø-ÿ]*)")
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 250_000
 
 
 @lru_cache(maxsize=2)
@@ -189,9 +214,22 @@ def _word_ids(path: str, word: str, known: dict[str, bytes]) -> bytes:
     return out
 
 
+@lru_cache(maxsize=2)
+def _ruled(path: str) -> bool:
+    """Whether the rules above hold for this vocabulary: they are tried on each plain character beside letters, digits
+    and itself. Where they do not, every text goes to the library whole."""
+    every = [chr(k) for k in (*range(9, 14), *range(32, 127), *range(0xC0, 0x100)) if k not in (0xD7, 0xF7)]
+    known: dict[str, bytes] = {}
+    for text in [f"a{c}b A{c} {c}b {c}{c} 1{c}2 {c}'s it{c} the{c}, end" for c in every] + ["".join(every), " ".join(every), "Isn't IT the 'll <|endoftext|> A--b?! x,y.z"]:
+        own = b"".join(_word_ids(path, w, known) for w in text.split())
+        if own != np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u2").tobytes():
+            return False
+    return True
+
+
 def ids_of(path: str, text: str) -> bytes:
     """The ids of a whole text as the library gives them, as 16-bit integers."""
-    if not _PLAIN.fullmatch(text):
+    if not _PLAIN.fullmatch(text) or not _ruled(path):
         return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u2").tobytes()
     known = _WORDS.setdefault(path, {})
     if len(known) > _CACHE_WORDS:
@@ -238,22 +276,41 @@ def _count(size: int):
     return run
 
 
-def _blocks(freq: np.ndarray, offsets: dict[int, int]):
-    schema = pa.schema([("first", pa.int64()), ("block", pa.binary())])
+_INDEX = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("first", pa.int64())])
+
+
+def _write(folder: str, freq: np.ndarray, table_crc: int, block_ids: int, file_bytes: int):
+    """Blocks of consecutive documents to files; a row for each block, once its file is closed."""
 
     def run(batches):
         held, docs, size, first, due = [], [], 0, 0, None
-
-        def block():
-            return pa.RecordBatch.from_arrays([pa.array([first]), pa.array([encode_block(np.concatenate(held), docs, first, freq)], pa.binary())], schema=schema)
+        sink, path, rows = None, "", []
+
+        def put():
+            nonlocal sink, path, held, docs, size
+            if sink is None:
+                path = f"{folder}/{uuid.uuid4().hex}.ranb"
+                own, place = store(path)
+                own.create_dir(place.rpartition("/")[0], recursive=True)
+                sink = own.open_output_stream(place, compression=None)
+            block = encode_block(np.concatenate(held), docs, first, freq, table_crc=table_crc)
+            rows.append({"path": path, "offset": sum(r["length"] for r in rows), "length": len(block), "first": first})
+            sink.write(block)
+            held, docs, size = [], [], 0
+
+        def closed():
+            nonlocal sink, rows
+            sink.close()
+            sink, done, rows = None, rows, []
+            return pa.RecordBatch.from_pylist(done, schema=_INDEX)
 
         for batch in batches:
-            for part, start, doc_id, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "start", "doc_id", "ids"))):
-                at = offsets[part] + start
+            for at, doc_id, raw in zip(*(batch.column(c).to_pylist() for c in ("start", "doc_id", "ids"))):
                 ids = np.frombuffer(raw, "<u2")
-                if docs and (size >= BLOCK_IDS or at != due):
-                    yield block()
-                    held, docs, size = [], [], 0
+                if docs and (size >= block_ids or at != due):
+                    put()
+                    if rows[-1]["offset"] + rows[-1]["length"] >= file_bytes:
+                        yield closed()
                 if not docs:
                     first = at
                 held.append(ids)
@@ -261,7 +318,9 @@ def _blocks(freq: np.ndarray, offsets: dict[int, int]):
                 size += len(ids)
                 due = at + len(ids)
         if docs:
-            yield block()
+            put()
+        if sink is not None:
+            yield closed()
 
     return run
 
@@ -270,50 +329,75 @@ def _blocks(freq: np.ndarray, offsets: dict[int, int]):
 NO_ID = -(1 << 63)
 
 
-def _read(table: bytes, digests: bool):
+@lru_cache(maxsize=2)
+def _shared_table(folder: str) -> tuple[bytes, int]:
+    own, place = store(f"{folder}/table.rant")
+    with own.open_input_stream(place, compression=None) as f:
+        return open_table(f.read())
+
+
+def _read(folder: str, digests: bool):
     def run(batches):
+        table, crc = _shared_table(folder)
         for batch in batches:
-            for raw in batch.column("block").to_pylist():
-                b, ids = decode_block(raw, table)
+            for path, offset, length in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length"))):
+                own, place = store(path)
+                with own.open_input_file(place) as f:
+                    f.seek(offset)
+                    raw = f.read(length)
+                b, ids = decode_block(raw, table, crc)
                 at, rows = 0, []
                 for doc_id, n in b["docs"]:
-                    own = ids[at : at + n].astype("<u4")
-                    rows.append((None if doc_id == NO_ID else doc_id, b["first"] + at, n, zlib.crc32(own.tobytes()) if digests else own.astype("<i4")))
+                    doc = ids[at : at + n].astype("<u4")
+                    rows.append((None if doc_id == NO_ID else doc_id, b["first"] + at, n, zlib.crc32(doc.tobytes()) if digests else doc.astype("<i4")))
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64() if digests else pa.list_(pa.int32())))], names=["doc_id", "start", "n_tokens", "ids_crc32" if digests else "ids"])
 
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, part_bytes: int = 24 << 20) -> tuple[DataFrame, bytes]:
-    """Encodes every whole text, appends end_id and writes all ids in ascending doc_id order as blocks.
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 2, part_bytes: int = 24 << 20, block_ids: int = BLOCK_IDS, file_bytes: int = 64 << 20) -> str:
+    """Encodes every whole text, appends end_id and writes all ids in ascending doc_id order to a new folder of token files;
+    returns its path (by default one in spark.checkpoint.dir).
 
-    Returns the written files as rows (first: the place of a block's first id among all ids; block) and the shared
-    frequency table, a number of 4 bytes for each id of the vocabulary. A null text counts as empty and gives
-    end_id alone; a null doc_id comes first; repeated rows are each written, in an order that depends on no other
-    column; an empty table gives no block. A document is never split over blocks.
+    A null text counts as empty and gives end_id alone; a null doc_id comes first; rows of one doc_id are ordered by
+    XXH64 of their texts, and repeated rows are each written; other columns are left out; an empty table gives a folder
+    without blocks. A document is never split over blocks. A task that is run again writes a file of a new name; only
+    blocks that the index names are read.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared_dir(spark)
+    folder = folder or f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
     size = _tokenizer(tokenizer_path).get_vocab_size()
     if size > 1 << 16:
         raise ValueError("ids must fit 16 bits")
-    own = texts(docs)
+    own = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
     parts = block_count(own, "text", part_bytes)
-    ordered = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    tokens = staged(ordered.mapInArrow(_tokenise(tokenizer_path, end_id), "part int, start long, doc_id long, ids binary"), "tokens")
+    order = ["doc_id", F.xxhash64("text")]
+    tokens = staged(own.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_tokenise(tokenizer_path, end_id), "part int, start long, doc_id long, ids binary"), "tokens")
     counts = np.zeros(size, np.int64)
     for row in tokens.select("ids").mapInArrow(_count(size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]  # a row for each id of the vocabulary at most
-    table = frequency_table(counts)
+    freq = frequency_table(counts)
+    with open(tokenizer_path, "rb") as f:
+        table = pack_table(freq, f.read())
+    there, place = store(f"{folder}/table.rant")
+    there.create_dir(place.rpartition("/")[0], recursive=True)
+    with there.open_output_stream(place, compression=None) as f:
+        f.write(table)
     last = tokens.groupBy("part").agg(F.max(F.col("start") + F.octet_length("ids") / 2).cast("long").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = {r["part"]: r["at"] for r in last.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at")).collect()}  # a row for each partition
-    return staged(tokens.mapInArrow(_blocks(table, offsets), "first long, block binary"), "token-files"), table.astype("<u4").tobytes()
-
-
-def read_token_files(files: DataFrame, table: bytes, digests: bool = False) -> DataFrame:
-    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens and its ids or their crc32."""
-    small_batches(files.sparkSession, 16)
-    return files.select("block").mapInArrow(_read(table, digests), f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digests else 'ids array<int>'}")
+    offsets = last.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # a row for each part_bytes of text
+    placed = tokens.join(F.broadcast(offsets), "part").select((F.col("start") + F.col("before")).alias("start"), "doc_id", "ids")
+    placed.mapInArrow(_write(folder, freq, zlib.crc32(table[:-4]), block_ids, file_bytes), "path string, offset long, length long, first long").write.parquet(f"{folder}/index")
+    return folder
+
+
+def read_token_files(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:
+    """Per document of a folder of token files: doc_id, start (ids of all documents before it), n_tokens and its ids or
+    their crc32. Each block is read and decoded by itself. ValueError for a block or table whose checksum does not hold
+    and for a block of another table."""
+    small_batches(spark, 16)
+    index = spark.read.schema("path string, offset long, length long, first long").parquet(f"{folder}/index")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return index.repartitionByRange(n, "first").mapInArrow(_read(folder, digests), f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digests else 'ids array<int>'}")

@@ -2,9 +2,10 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import cache
 
 import public_tokenizers
@@ -85,12 +86,33 @@ def near_kept(docs, bits=4, similarity=0.8):
     return [d for d in root if root[d] == d]
 
 
+def near_rows(docs, bits=4):
+    """Which rows with words stay: of each group that near copies join, the smallest doc_id (of equal ids the first row)
+    and, where rows have none, the first of those."""
+    own = [(fingerprint(t), shingles(t)) for _, t in docs]
+    group = list(range(len(docs)))
+    for k, (f, s) in enumerate(own):
+        for j, (g, t) in enumerate(own[:k]):
+            if s and t and ((f ^ g).bit_count() <= bits or 5 * len(s & t) >= 4 * len(s | t)):
+                old, new = sorted((group[k], group[j]))[::-1]
+                group = [new if x == old else x for x in group]
+    stays = {}
+    for k, (doc_id, _) in enumerate(docs):
+        if own[k][1]:
+            key = (group[k], doc_id is None)
+            if key not in stays or (doc_id is not None and doc_id < docs[stays[key]][0]):
+                stays[key] = k
+    return [k in stays.values() for k in range(len(docs))]
+
+
 def op3(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     out, start = [], 0
-    for doc_id, text in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    # rows of one doc_id come by XXH64 as a signed number
+    signed = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + 2**63) % 2**64
+    for doc_id, text in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]))):
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
         out.append((doc_id, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
@@ -100,7 +122,7 @@ def op3(docs):
 def op5(pages):
     largest = {}
     for page_id, html in pages:
-        largest[html or ""] = max(largest.get(html or "", page_id), page_id)
+        largest[html or ""] = max((x for x in (largest.get(html or ""), page_id) if x is not None), default=None)
     out = []
     for page_id, html in pages:
         raw, to = (html or "").encode(), largest[html or ""]
@@ -164,3 +186,75 @@ def op9(docs):
         n = [sum(k == x for k, _, _ in found) for x in ("assign", "access", "hex")]
         out.append((doc_id, *n, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest()))
     return out
+
+
+def grams(text):
+    s = re.sub(r"\s+", " ", "".join(c if c.isalpha() else " " for c in (text or "").lower())).strip()
+    s = f" {s} " if s else ""
+    return [s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1) if s[i : i + n].strip()]
+
+
+def top_grams(counts, top):
+    key = lambda g: [ord(c) for c in g]
+    return sorted(counts, key=lambda g: (-counts[g], len(g) > 1, sum(k << 21 * (len(g) - 1 - i) for i, k in enumerate(key(g)))))[:top]
+
+
+def op10(docs, labelled, top=400):
+    counts = defaultdict(Counter)
+    for text, lang in labelled:
+        if lang is not None:
+            counts[lang].update(grams(text))
+    profiles = {k: {g: i for i, g in enumerate(top_grams(c, top))} for k, c in sorted(counts.items()) if c}
+    out = []
+    for doc_id, text in docs:
+        own = top_grams(Counter(grams(text)), top)
+        if not own:
+            out.append((doc_id, "und", 0.0))
+            continue
+        off = {k: sum(abs(p[g] - i) if g in p else top for i, g in enumerate(own)) for k, p in profiles.items()}
+        near = {k: 1 - v / (top * len(own)) for k, v in off.items()}
+        best = min(off, key=lambda k: (off[k], k))
+        out.append((doc_id, best, round(min(1.0, max(0.0, near[best] / max(sum(near.values()), 1e-9))), 9)))
+    return out
+
+
+def toxic_score(text, entries, beta):
+    """The linear score of a text's lexicon entries, written out."""
+    runs, out = re.findall("[a-z\x80-\U0010ffff]+", (text or "").lower()), []
+    unspaced = lambda c: any(a <= ord(c) <= b for a, b in ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)))
+    for w in runs:
+        out += [w[k : k + 2] for k in range(max(1, len(w) - 1))] if any(map(unspaced, w)) else [w]
+    hits = [any(w == e[1:] if e[0] == "=" else len(w) > len(e) - 1 and w.startswith(e[1:]) for w in out) for e in entries]
+    n = sum(hits)
+    x = [*map(float, hits), 1.0, float(n > 0), math.log1p(n), min(5.0, 100 * n / max(1, len(out)))]
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(x, beta))))))
+
+
+def label_model(rows, share, rounds=30):
+    n, m = len(rows), len(rows[0])
+    post = [0.9 if 1 in r else 0.05 if -1 in r else share for r in rows]
+    for k in range(rounds):
+        if k % 10 == 0:
+            cov = [[0.0] * m for _ in range(m)]
+            for w in (post, [1 - p for p in post]):
+                total = max(sum(w), 1e-9)
+                mean = [sum(w[i] * rows[i][a] for i in range(n)) / total for a in range(m)]
+                for a in range(m):
+                    for b in range(a, m):
+                        c = sum(w[i] * (rows[i][a] - mean[a]) * (rows[i][b] - mean[b]) for i in range(n))
+                        cov[a][b] += c
+                        cov[b][a] = cov[a][b]
+            sd = [math.sqrt(max(cov[a][a], 1e-9)) for a in range(m)]
+            corr = [[min(1.0, max(0.0, cov[a][b] / (sd[a] * sd[b]))) if a != b else 0.0 for b in range(m)] for a in range(m)]
+            alike = [[c if c > 0.1 else 0.0 for c in row] for row in corr]
+        told = {}
+        for y in (1, -1):
+            for a in range(m):
+                toxic = (sum(post[i] for i in range(n) if rows[i][a] == y) + 0.5) / (sum(post) + 1)
+                other = (sum(1 - post[i] for i in range(n) if rows[i][a] == y) + 0.5) / (n - sum(post) + 1)
+                told[y, a] = y * max(0.0, y * math.log(toxic / other))
+        if k % 10 == 0:
+            weight = [{a: 1 / (1 + sum(alike[b][a] for b in range(m) if r[b] == r[a])) for a in range(m) if r[a]} for r in rows]
+        odds = [math.log(share / (1 - share)) + sum(w * told[r[a], a] for a, w in own.items()) for r, own in zip(rows, weight)]
+        post = [1 / (1 + math.exp(-max(-30.0, min(30.0, o)))) for o in odds]
+    return post

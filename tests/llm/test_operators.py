@@ -1,5 +1,9 @@
 """Each operator against its plain version, on the smallest table and on one of odd rows."""
 
+import json
+import shutil
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -101,8 +105,45 @@ def test_links_lose_no_component(spark, bits, cell_rows):
 
 
 def test_token_files(docs):
-    files, shared = token_files.write_token_files(docs, WORDS, part_bytes=100_000)
-    same(token_files.read_token_files(files, shared, digests=True), ["doc_id", "start", "n_tokens", "ids_crc32"], plain.op3(pairs(docs)))
+    folder = token_files.write_token_files(docs, WORDS, part_bytes=100_000, block_ids=9_000, file_bytes=20_000)
+    same(token_files.read_token_files(docs.sparkSession, folder, digests=True), ["doc_id", "start", "n_tokens", "ids_crc32"], plain.op3(pairs(docs)))
+
+
+READER = """
+import sys
+from pyspark.sql import SparkSession
+from quadrille.llm import token_files
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+for r in token_files.read_token_files(spark, sys.argv[1], digests=True).collect():
+    print("row", *r)
+"""
+
+
+def test_token_files_by_another_process(spark, small, tmp_path):
+    folder = token_files.write_token_files(small, WORDS, folder=f"{tmp_path}/files")
+    out = subprocess.run([sys.executable, "-c", READER, folder], capture_output=True, text=True, timeout=300, check=True).stdout
+    got = Counter(tuple(map(int, line.split()[1:])) for line in out.splitlines() if line.startswith("row "))
+    assert got == Counter(plain.op3(pairs(small)))
+    other = token_files.write_token_files(small.filter("doc_id < 50"), WORDS, folder=f"{tmp_path}/other")
+    shutil.copy(f"{other}/table.rant", f"{folder}/table.rant")
+    token_files._shared_table.cache_clear()
+    with pytest.raises(Exception, match="another table"):
+        token_files.read_token_files(spark, folder).collect()
+    raw = bytearray(open(f"{other}/table.rant", "rb").read())
+    raw[40] ^= 1
+    with pytest.raises(ValueError):
+        token_files.open_table(bytes(raw))
+
+
+def test_token_rules_are_tried(tmp_path):
+    assert token_files._ruled(WORDS)
+    own = json.load(open(WORDS))
+    own["normalizer"] = None  # another vocabulary: cases differ
+    path = f"{tmp_path}/other.json"
+    json.dump(own, open(path, "w"))
+    assert not token_files._ruled(path)
+    for text in ("Mixed Case text, isn't it?", "plain words"):
+        assert np.frombuffer(token_files.ids_of(path, text), "<u2").tolist() == token_files._tokenizer(path).encode(text, add_special_tokens=False).ids
 
 
 def test_rans_blocks():
@@ -140,7 +181,7 @@ def test_sharding(docs):
 
 
 def test_warc(spark):
-    pages = [(1, "http://a/ü x\r\ny", "<p>a</p>"), (2, None, None), (3, "u", ""), (4, "u", "<p>a</p>"), (7, "v", "<p>a</p>"), (5, "w", "\r\n\r\nWARC/1.1\r\n\r\n" * 3), (6, "w", "é" * 100_000)]
+    pages = [(1, "http://a/ü x\r\ny", "<p>a</p>"), (2, None, None), (3, "u", ""), (4, "u", "<p>a</p>"), (7, "v", "<p>a</p>"), (5, "w", "\r\n\r\nWARC/1.1\r\n\r\n" * 3), (6, "w", "é" * 100_000), (None, "n", "<p>a</p>"), (None, "n", "alone"), (8, "r", "<p>twice</p>"), (8, "r", "<p>twice</p>"), (9, "s", "<p>tie</p>"), (9, "t", "<p>tie</p>"), (3, "x", "<p>tie</p>"), (None, None, None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("refers_to", F.lit(2))
     for table in (df, spark.read.parquet(f"{SF}/pages.parquet"), df.limit(0)):
         files = warc.write_archives(table, file_bytes=50_000)
@@ -149,9 +190,9 @@ def test_warc(spark):
         expected = plain.op5([(r["page_id"], r["html"]) for r in table.collect()])
         same(found, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], expected)
         assert index.count() == len(expected)
-        html = {r["page_id"]: r["html"] or "" for r in table.collect()}
+        html = Counter((r["page_id"], r["html"] or "") for r in table.collect())
         for r in found.filter("record_type = 'response'").collect():
-            assert bytes(r["payload"]).decode() == html[r["page_id"]]
+            assert html[(r["page_id"], bytes(r["payload"]).decode())]
         found.unpersist()
 
 
@@ -160,6 +201,11 @@ def test_toxicity(spark, small, odd):
     model = toxicity.fit(docs, labels)
     held = toxicity.score(docs, model).join(labels, "doc_id").filter(language_id.fold(F.col("doc_id"), 5) == 0).collect()
     assert sum(r["predicted"] == r["toxic"] for r in held) >= 0.95 * len(held)
+    caught = [r["toxic"] for r in held if r["predicted"]]
+    assert sum(caught) >= max(0.6 * sum(r["toxic"] for r in held), 0.9 * len(caught))
+    own = pairs(small)[:60] + ODD
+    got = toxicity.score(spark.createDataFrame(own, "doc_id long, text string"), model).collect()
+    assert Counter((r["doc_id"], round(r["score"], 9)) for r in got) == Counter((d, round(plain.toxic_score(t, model.entries, model.beta), 9)) for d, t in own)
     assert toxicity.score(odd, model).count() == len(ODD)
     assert toxicity.score(odd, model).filter("score is null or score < 0 or score > 1").isEmpty()
     assert toxicity.score(odd.limit(0), model).isEmpty()
@@ -167,17 +213,46 @@ def test_toxicity(spark, small, odd):
     assert toxicity.score(odd, None).filter("predicted = 0").count() == len(ODD)
 
 
+def test_label_model_against_plain():
+    """Voters of known accuracy over a hidden label: posteriors as in plain loops, and right about nearly every row."""
+    rng = np.random.default_rng(6)
+    for share, copies in ((0.12, 1), (0.12, 3), (0.03, 1)):
+        y = rng.random(600) < share
+        fires = np.where(y[:, None], rng.random((600, 8)) < 0.4, rng.random((600, 8)) < 0.002)
+        presence = np.repeat(fires, copies, axis=1).astype(float)  # voters that say the same
+        v = toxicity.votes(presence, rng.integers(20, 400, 600))
+        post = toxicity.label_model(v, share)
+        assert np.abs(post - plain.label_model(v.tolist(), share)).max() < 1e-6
+        seen = fires.any(axis=1)
+        assert ((post > 0.5) == (y & seen)).mean() > 0.95 and (post[seen & y] > 0.5).mean() > 0.97
+
+
+def test_toxic_words_of_any_script():
+    assert toxicity.words_of("Ñandú, ÉL 3x ok") == ["ñandú", "él", "x", "ok"]
+    assert toxicity.words_of("坏人 来") == ["坏人", "来"] and "=坏人" in toxicity.features(set(toxicity.words_of("这个坏人来了")))
+    found = toxicity.chosen({"=坏人": 40, "=的的": 40}, {"=的的": 300}, 50, 400, 200, 0.9, 18.0)
+    assert found == ["=坏人"] and toxicity.Lexicon(found).hits("这个坏人来了") == ([0], 5)
+
+
 def test_exact_dedup(docs):
     same(exact_dedup.exact_groups(docs), ["doc_id", "keep_id", "group_size", "kept", "text_sha256"], plain.op7(pairs(docs)))
 
 
 def test_chunks_cover_texts(spark, small):
-    own = small.select(exact_dedup.normalised(F.col("text")).alias("norm"))
-    assert own.filter(F.array_join(exact_dedup.chunks(F.col("norm")), "") != F.col("norm")).isEmpty()
+    rng = np.random.default_rng(2)
+    scripts = ["".join(map(chr, rng.integers(first, end, 60_000))) for first, end in ((0x4E00, 0x9000), (0x3040, 0x30FF), (0x430, 0x450))]
+    scripts[2] = " ".join(scripts[2][k : k + 6] for k in range(0, 60_000, 6))
+    own = small.select("text").union(spark.createDataFrame([(t,) for t in scripts], "text string")).select(exact_dedup.normalised(F.col("text")).alias("norm"))
+    own = own.withColumn("all", exact_dedup.chunks(F.col("norm")))
+    assert own.filter(F.array_join("all", "") != F.col("norm")).isEmpty()
+    # scripts other than Latin are cut by their characters too, so that a shift of the text keeps most chunks
+    for text in scripts:
+        a, b = (set(r["all"]) for r in spark.createDataFrame([(text,), ("x" * 100 + text,)], "norm string").select(exact_dedup.chunks(F.col("norm")).alias("all")).collect())
+        assert len(a & b) >= len(a) / 3
 
 
 def test_clashing_chunks_are_told_apart(small):
-    own = exact_dedup.texts(small).withColumn("norm", exact_dedup.normalised(F.col("text"))).drop("text")
+    own = exact_dedup.texts(small).withColumn("norm", exact_dedup.normalised(F.col("text"))).drop("text").withColumn("row", F.col("doc_id"))
     shared = own.select(F.explode(exact_dedup.chunks(F.col("norm"))).alias("c")).select(F.xxhash64("c").alias("id")).distinct()
     numbered = exact_dedup._numbered(own, exact_dedup.clashing_chunks(own, shared))
     assert numbered.count() == small.count()
@@ -247,6 +322,53 @@ def test_secrets_of_many_parts_and_long_names():
     assert literal_texts(f'{name}1 = "zX81_kqPo22mNv"\ntoken = {name}1') == {"zX81_kqPo22mNv"}
 
 
+def test_added_spans_of_made_programs():
+    """Programs made of assignments whose literals and reads are known as they are written; what each literal reaches
+    follows by plain search over them."""
+    rng = np.random.default_rng(12)
+    letter = lambda n: "".join(rng.choice(list("aB3dE6gH9kLmN0pQrS-"), n))
+    for _ in range(60):
+        text, made, last = "", [], {}  # made: name, literals' spans, statements that it reads
+        for k in range(int(rng.integers(1, 14))):
+            name = f"{rng.choice(['colour', 'db_password', 'apiToken', 'base', 'mid', 'size', 'client.secret'])}{'' if rng.random() < 0.5 else '_x' + 'yz'[k % 2]}"
+            quoted = rng.random() < 0.3
+            text += f"{'' if rng.random() < 0.7 else '  '}{name} {rng.choice(['=', ':', ':=', '=>'])} " if not quoted else f'"{name}": '
+            spans, reads = [], []
+            for j in range(int(rng.integers(1, 4))):
+                text += " + " if j else ""
+                kind = rng.random()
+                old = rng.choice(list(last)) if last else None
+                if kind < 0.55 or old is None:
+                    quote = rng.choice(["'", '"'])
+                    word = letter(20)
+                    spans.append((len(text) + 1, len(text) + 1 + len(word)))
+                    text += quote + word + quote
+                elif kind < 0.7:
+                    text += "${" + old + "}"
+                    reads.append(last[old])
+                elif kind < 0.85:
+                    text += str(old)
+                    reads.append(last[old])
+                else:
+                    text += '"<${' + old + '}>"'
+                    reads.append(last[old])
+                    spans.append((text.rindex('"<') + 1, len(text) - 1))
+            text += rng.choice(["\n", ";\n", "\n\n"])
+            last[name] = len(made)
+            made.append((name, spans, reads))
+        expected = set()
+        for k, (_, spans, _) in enumerate(made):
+            reach, edge = {k}, [k]
+            while edge:
+                at = edge.pop()
+                more = [j for j, (_, _, reads) in enumerate(made) if at in reads and j not in reach]
+                reach.update(more)
+                edge += more
+            if any(w in made[j][0].lower() for j in reach for w in ("password", "token", "secret")):
+                expected.update(s for s in spans if text[s[0]] != "<")
+        assert {(a, b) for kind, a, b in secrets.scan(text)[1] if kind == "literal"} == expected, text
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held_out = language_id.fold(F.col("doc_id"), 3) == 1
@@ -259,13 +381,26 @@ def test_language(spark, odd):
     for r in rows:
         if r["doc_id"] is not None:
             assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in text[r["doc_id"]] or ""))
-    assert language_id.predict(odd, {}).filter("lang_pred = 'und'").count() == len(ODD)
-    assert language_id.fit_profiles(odd.limit(0)) == {}
+    assert language_id.predict(odd, []).filter("lang_pred = 'und'").count() == len(ODD)
+    assert language_id.fit_profiles(odd.limit(0)) == []
 
 
 def test_language_counts_all(spark):
     df = spark.createDataFrame([("aba", "x"), ("ab", "x"), (None, "x"), ("zz", None)], "text string, lang string")
-    assert [chr(g) for g in language_id.fit_profiles(df)["x"].tolist() if g < 1 << 21] == ["a", "b"]
+    rows = language_id.profile_table(df).filter("lang = 'x'").orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(len(rows))) and [chr(r["gram"]) for r in rows if r["gram"] < 1 << 21] == ["a", "b"]
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_language_against_plain_ranks(spark, odd, small, block):
+    """Seven languages, of which two are equal (a tie), in one file of profiles and in several."""
+    own = [(r["text"], r["lang"]) for r in small.filter("lang is not null").collect()]
+    own += [(t, "zz") for t, lang in own if lang == "en"] + [("только для пробы, небольшой текст", "ru"), ("0 1 2", "digits"), (None, "none")]
+    docs = pairs(small)[:80] + ODD
+    files = language_id.fit_profiles(spark.createDataFrame(own, "text string, lang string"), top=60, block_languages=block)
+    assert len(files) == 1 if block > 100 else len(files) >= 2
+    got = language_id.predict(spark.createDataFrame(docs, "doc_id long, text string"), files, top=60).collect()
+    assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in got) == Counter(plain.op10(docs, own, 60))
 
 
 def test_fold_is_crc32(spark):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadrille.llm import decontamination, simhash, toxicity
+from quadrille.llm import decontamination, exact_dedup, simhash, toxicity
 from tests.llm import plain
 
 SF = "/root/testdata/sf0.001"
@@ -146,3 +146,37 @@ def groups(pairs, n):
         x, y = root[a], root[b]
         root = [min(x, y) if r in (x, y) else r for r in root]
     return root
+
+
+CLASHING = ("row", "own", "fp", "member", "gone", "id", "_row", "_own", "_scored", "_of", "_id", "same", "bands", "spans", "items", "n_words", "norm", "copy", "of", "_n", "root", "node", "block", "lang_pred", "TEXT_")
+
+
+def test_stages_on_odd_rows_with_clashing_columns(spark):
+    """Nulls, empty and long texts, repeated rows and ids, and columns named as the stages' own: each stage keeps what its
+    plain version keeps, with all columns."""
+    from tests.llm.test_operators import ODD
+
+    rows = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(ODD)], "doc_id long, text string, nth long")
+    rows = rows.select("*", *(F.lit(f"{c}'s").alias(c) for c in CLASHING))
+    bench = spark.createDataFrame([("b", "one two three"), ("n", None)], "item_id string, text string")
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    nth = lambda keep: {k for k, x in enumerate(keep) if x}
+    expected = {
+        "toxic": {k for k, (_, t) in enumerate(ODD) if plain.toxic_score(t, model.entries, model.beta) < 0.5},
+        "copies": nth(r[3] for r in plain.op7(ODD)),
+        "contaminated": nth(not r[5] for r in plain.op8(ODD, [("b", "one two three"), ("n", None)])),
+    }
+    trained = rows.unionByName(docs.select("doc_id", "text").withColumn("nth", F.lit(-1)), allowMissingColumns=True)
+    assert model.entries == toxicity.fit(trained, labels).entries
+    got = {
+        "toxic": toxicity.drop_toxic(trained, labels).filter("nth >= 0"),
+        "copies": exact_dedup.drop_copies(rows),
+        "contaminated": decontamination.drop_contaminated(rows, bench),
+        "near": simhash.drop_near_copies(rows),
+    }
+    expected["near"] = {k for k, (d, t) in enumerate(ODD) if not plain.shingles(t)} | {k for k, keep in enumerate(plain.near_rows(ODD)) if keep}
+    for name, df in got.items():
+        kept = df.collect()
+        assert df.columns == rows.columns and all(r[c] == f"{c}'s" for r in kept for c in CLASHING), name
+        assert {r["nth"] for r in kept} == expected[name], name
