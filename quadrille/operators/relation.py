@@ -8,28 +8,59 @@ from pyspark.sql import functions as F
 from quadrille.functions.geometry import overlap_area
 
 
-def cells(df: DataFrame, size: int, grow: int = 0) -> DataFrame:
-    """A row for each grid cell that a box x1, y1, x2, y2, grown by `grow`, meets."""
-    span = lambda a, b: F.sequence(F.floor((F.col(a) - grow) / size), F.floor((F.col(b) + grow) / size))
-    return df.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
+def grid_size(a: DataFrame, b: DataFrame, grow: float = 0) -> float:
+    """The edge of a grid cell for a join of two layers of boxes: the larger of their mean edges and of twice the reach;
+    of layers of points without reach, the edge that holds about one of them."""
+    c = F.col
+    edge = F.greatest(c("x2") - c("x1"), c("y2") - c("y1"))
+    sides = [df.agg(F.avg(edge).alias("edge"), F.count(F.lit(1)).alias("n"), ((F.max("x2") - F.min("x1")) * (F.max("y2") - F.min("y1"))).alias("area")) for df in (a, b)]
+    rows = sides[0].unionByName(sides[1]).collect()
+    size = max([2.0 * grow] + [float(r["edge"] or 0) for r in rows])
+    return size or max(float(r["area"] or 0) / max(1, r["n"]) for r in rows) ** 0.5 or 1.0
+
+
+def level(size: float, grow: float = 0) -> Column:
+    """How often a cell's edge must be doubled until a box, grown, meets at most two cells each way."""
+    edge = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) + 2 * grow
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(edge / size, F.lit(1e-9)))).cast("int"))
+
+
+def cells(df: DataFrame, size: float, grow: float = 0, levels: list[int] = ()) -> DataFrame:
+    """A row for each cell that a box x1, y1, x2, y2, grown by `grow`, meets on the grid of its own level (home) and on
+    those of `levels` that are coarser: at most four cells on each grid, however large the box."""
+    own = level(size, grow)
+    df = df.withColumn("home", own).withColumn("lv", F.explode(F.array_union(F.array(F.col("home")), F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda k: k > F.col("home")))))
+    edge = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("lv"))
+    span = lambda a, b: F.sequence(F.floor((F.col(a) - grow) / edge), F.floor((F.col(b) + grow) / edge))
+    return df.withColumn("home", F.col("home") == F.col("lv")).withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
 
 
 def as_boxes(points: DataFrame) -> DataFrame:
     return points.withColumns({"x1": F.col("x"), "y1": F.col("y"), "x2": F.col("x"), "y2": F.col("y")})
 
 
-def box_join(a: DataFrame, b: DataFrame, size: int = 16, grow: int = 0, condition: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+def box_join(a: DataFrame, b: DataFrame, size: float | None = None, grow: float = 0, condition: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows, as structs a and b, whose boxes meet when a's is grown; each pair once, from the cell that has
-    the lower left corner of what the boxes share. keys: columns that must be equal too."""
-    pack = lambda df, name: df.select("cx", "cy", *[F.col(k).alias(f"{name}_{k}") for k in keys], F.struct(*[c for c in df.columns if c not in ("cx", "cy")]).alias(name))
-    left, right = pack(cells(a, size, grow), "a"), pack(cells(b, size), "b")
+    the lower left corner of what the boxes share. keys: columns that must be equal too.
+
+    A pair meets on the grid of the coarser of its two levels. Which levels occur (some dozens at most, whatever the
+    data) and, unless given, the cell's edge are found in a pass over the boxes alone. Cells with very many rows are
+    left to AQE, which splits them.
+    """
+    size = size or grid_size(a, b, grow)
+    found = lambda df, by: sorted(r[0] for r in df.select(level(size, by)).distinct().collect() if r[0] is not None)
+    of_a, of_b = found(a, grow), found(b, 0)
+    own = ("home", "lv", "cx", "cy")
+    pack = lambda df, name: df.select("lv", "cx", "cy", *[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("home").alias(f"{name}_home"), F.struct(*[c for c in df.columns if c not in own]).alias(name))
+    left, right = pack(cells(a, size, grow, of_b), "a"), pack(cells(b, size, 0, of_a), "b")
     for k in keys:
         left, right = left.withColumnRenamed(f"a_{k}", k), right.withColumnRenamed(f"b_{k}", k)
     c = F.col
     meets = (c("a.x1") - grow <= c("b.x2")) & (c("b.x1") <= c("a.x2") + grow) & (c("a.y1") - grow <= c("b.y2")) & (c("b.y1") <= c("a.y2") + grow)
-    corner = (c("cx") == F.floor(F.greatest(c("a.x1") - grow, c("b.x1")) / size)) & (c("cy") == F.floor(F.greatest(c("a.y1") - grow, c("b.y1")) / size))
-    found = left.join(right, ["cx", "cy", *keys]).filter(meets & corner)
-    return (found.filter(condition) if condition is not None else found).select("a", "b")
+    edge = F.lit(float(size)) * F.pow(F.lit(2.0), c("lv"))
+    corner = (c("cx") == F.floor(F.greatest(c("a.x1") - grow, c("b.x1")) / edge)) & (c("cy") == F.floor(F.greatest(c("a.y1") - grow, c("b.y1")) / edge))
+    pairs = left.join(right, ["lv", "cx", "cy", *keys]).filter((c("a_home") | c("b_home")) & meets & corner)
+    return (pairs.filter(condition) if condition is not None else pairs).select("a", "b")
 
 
 def strictly_inside() -> Column:

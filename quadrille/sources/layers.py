@@ -21,6 +21,30 @@ LAYER_SQL = {
 }
 
 
+#: Outlines of the shapes' kinds, the shell first: a triangle, an arrow head, a diamond with a hole, a quadrangle that
+#: runs clockwise, a fork.
+KINDS = (
+    [[(0, 0), (13, 3), (4, 12)]],
+    [[(0, 0), (12, 2), (5, 5), (3, 13)]],
+    [[(7, 0), (14, 7), (7, 14), (0, 7)], [(7, 4), (10, 7), (7, 10), (4, 7)]],
+    [[(0, 2), (2, 13), (11, 11), (13, 0)]],
+    [[(0, 0), (12, 0), (12, 12), (8, 12), (8, 3), (4, 3), (4, 12), (0, 12)]],
+)
+_VERTICES = ", ".join(f"({k}, {n}, {i}, {x}, {y})" for k, rings in enumerate(KINDS) for n, ring in enumerate(rings) for i, (x, y) in enumerate([*ring, ring[0]]))
+
+
+def _shape_sql(n: str, table: str, key: str, x: str, y: str) -> str:
+    """The vertices (v), sides (e) and boxes (b) of a layer of shapes."""
+    return f"""v{n} AS (SELECT {key} AS fid, ring, nth, {x} + dx AS x, {y} + dy AS y FROM {table} JOIN kinds ON kind = {key} % {len(KINDS)}),
+        e{n} AS (SELECT fid, ring, x AS px, y AS py, lead(x) OVER w AS qx, lead(y) OVER w AS qy FROM v{n} WINDOW w AS (PARTITION BY fid, ring ORDER BY nth) QUALIFY qx IS NOT NULL),
+        b{n} AS (SELECT fid, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM v{n} GROUP BY fid)"""
+
+
+LAYER_SQL["kinds"] = f"kinds(kind, ring, nth, dx, dy) AS (VALUES {_VERTICES})"
+LAYER_SQL["shapes_a"] = _shape_sql("a", "part", "p_partkey", "p_partkey % 100 * 10", "p_partkey // 100 * 10")
+LAYER_SQL["shapes_b"] = _shape_sql("b", "supplier", "s_suppkey", "s_suppkey * 37 % 1000", "s_suppkey * 53 % 200")
+
+
 def with_layers(*names: str) -> str:
     return "WITH " + ", ".join(LAYER_SQL[n] for n in names) + " "
 
@@ -98,6 +122,26 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(k.alias("fid"), shape.alias("rings"))
 
 
+def _shapes(table: DataFrame, key: str, x, y, *more) -> DataFrame:
+    ring = lambda at: F.array(*[point(x + a, y + b) for a, b in [*at, at[0]]])
+    rings, kind = None, F.col(key) % len(KINDS)
+    for n, outline in enumerate(KINDS):
+        own = F.array(*map(ring, outline))
+        rings = F.when(kind == n, own) if rings is None else rings.when(kind == n, own)
+    return table.select(F.col(key).alias("fid"), rings.alias("rings"), *more)
+
+
+def shapes_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slanted, hollow and holed polygons that overlap their neighbours."""
+    k = F.col("p_partkey")
+    return _shapes(read(spark, sf_dir, "part"), "p_partkey", k % 100 * 10, F.floor(k / 100) * 10, F.col("p_brand").alias("brand"))
+
+
+def shapes_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return _shapes(read(spark, sf_dir, "supplier"), "s_suppkey", k * 37 % 1000, k * 53 % 200)
+
+
 def with_ring(boxes: DataFrame) -> DataFrame:
     """Boxes with their outline as a closed ring."""
     at = lambda a, b: point(F.col(a), F.col(b))
