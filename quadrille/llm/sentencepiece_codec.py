@@ -1,25 +1,28 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 A model none of whose pieces holds a whitespace marker after another character never merges across the start of
-a run of markers. So a text's ids are the ids of its marked words, one after the other. Each block of documents
-names its distinct marked words; every word goes to one task by its hash, is segmented there once by the library
-and comes back as ids in the order asked; the block then joins ids to its words by position. Texts cross the
-network once, compressed.
+a run of markers. So a text's ids are the ids of its marked words, one after the other. Documents are written once, in
+compressed blocks, to the shared folder. Each block names its distinct marked words; every word goes to one task by its
+hash, is segmented there once by the library and comes back as ids in the order asked; the block, read again, then joins
+ids to its words by position. Texts cross no shuffle, and a task that is run again finds the same blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quadrille.llm.common import block_count, small_batches, texts
+from quadrille.llm.common import shared_dir, small_batches, staged, store, texts
 
 MARK = "▁"
 _RUN = re.compile(" +[^ ]*")
@@ -69,44 +72,45 @@ def _unpack(blob: bytes) -> list[bytes]:
     return out
 
 
-_PACKED = pa.schema([("block", pa.int64()), ("pack", pa.binary())])
-_REQUEST = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("words", pa.binary())])
-_ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()), ("odd", pa.binary()), ("odd_text", pa.binary())])
+_PACKED = pa.schema([("part", pa.int64()), ("nth", pa.int64()), ("path", pa.string())])
+_REQUEST = pa.schema([("block", pa.int64()), ("path", pa.string()), ("part", pa.int64()), ("words", pa.binary())])
+_ANSWER = pa.schema([("block", pa.int64()), ("path", pa.string()), ("part", pa.int64()), ("ids", pa.binary()), ("odd", pa.binary()), ("odd_text", pa.binary())])
 
 
-def _packs(block_bytes: int):
-    """Documents in packs of about block_bytes of text, numbered by a digest of what they hold."""
-
-    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
-            out.write_table(pa.Table.from_batches(batches).combine_chunks())
-        raw = sink.getvalue().to_pybytes()
-        number = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([raw], pa.binary())], schema=_PACKED)
+def _packs(folder: str, block_bytes: int):
+    """Documents to files of about block_bytes of text; a row for each file, numbered within its task."""
 
     def run(batches):
-        held, size = [], 0
+        task, nth, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def packed():
+            nonlocal nth, held, size
+            path = f"{folder}/{uuid.uuid4().hex}.docs"
+            there, place = store(path)
+            there.create_dir(place.rpartition("/")[0], recursive=True)
+            with there.open_output_stream(place, compression=None) as f, pa.ipc.new_stream(f, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            row = pa.RecordBatch.from_arrays([pa.array([task]), pa.array([nth]), pa.array([path])], schema=_PACKED)
+            nth, held, size = nth + 1, [], 0
+            return row
+
         for batch in batches:
             held.append(batch)
             size += batch.column("text").nbytes
             if size >= block_bytes:
-                yield packed(held)
-                held, size = [], 0
+                yield packed()
         if held:
-            yield packed(held)
+            yield packed()
 
     return run
 
 
-def _unpacked(group: pa.Table) -> tuple[list[int | None], list[str | None]]:
-    """doc_ids and texts of a block; packs of one number are equal, so their order says nothing."""
-    ids, every = [], []
-    for raw in group.column("pack"):
-        t = pa.ipc.open_stream(raw.as_buffer()).read_all()
-        ids += t.column("doc_id").to_pylist()
-        every += t.column("text").to_pylist()
-    return ids, every
+def _unpacked(path: str) -> tuple[list[int | None], list[str | None]]:
+    """doc_ids and texts of a block."""
+    there, place = store(path)
+    with there.open_input_stream(place, compression=None) as f:
+        t = pa.ipc.open_stream(f).read_all()
+    return t.column("doc_id").to_pylist(), t.column("text").to_pylist()
 
 
 def _by_part(words: list[list[str]], parts: int) -> list[list[bytes]]:
@@ -119,13 +123,17 @@ def _by_part(words: list[list[str]], parts: int) -> list[list[bytes]]:
 
 
 def _requests(parts: int):
-    def of_block(group: pa.Table) -> pa.Table:
-        split = _by_part([words_of(t) for t in _unpacked(group)[1]], parts)
-        block = group.column("block")[0].as_py()
-        rows = [(block, k, _pack(w)) for k, w in enumerate(split) if w]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ([], [], []), _REQUEST.types)], schema=_REQUEST)
+    """Each block's distinct words, a row for each part that has some; one row at least."""
 
-    return of_block
+    def run(batches):
+        for batch in batches:
+            for block, path in zip(*(batch.column(c).to_pylist() for c in ("block", "path"))):
+                split = _by_part([words_of(t) for t in _unpacked(path)[1]], parts)
+                for k, w in enumerate(split):
+                    if w or not k:
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((block, path, k, _pack(w)), _REQUEST.types)], schema=_REQUEST)
+
+    return run
 
 
 def _segment(path: str):
@@ -135,7 +143,7 @@ def _segment(path: str):
         odd: dict[bytes, bytes] = {}  # words that decode to something else than themselves
         alone = np.array([sp.piece_to_id(MARK)], "<u2").tobytes()
         for batch in batches:
-            for block, part, blob in zip(*(batch.column(c).to_pylist() for c in _REQUEST.names)):
+            for block, source, part, blob in zip(*(batch.column(c).to_pylist() for c in _REQUEST.names)):
                 words = _unpack(blob)
                 if len(known) > _CACHE_WORDS:
                     known.clear()
@@ -149,7 +157,7 @@ def _segment(path: str):
                     if word and decoded != word:
                         odd[raw] = decoded.encode()
                 strange = [w for w in words if w in odd] if odd else []
-                row = (block, part, _pack([known[w] for w in words]), _pack(strange), _pack([odd[w] for w in strange]))
+                row = (block, source, part, _pack([known[w] for w in words]), _pack(strange), _pack([odd[w] for w in strange]))
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _ANSWER.types)], schema=_ANSWER)
 
     return run
@@ -158,16 +166,16 @@ def _segment(path: str):
 def _joined(path: str, parts: int, digests: bool):
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())])])
 
-    def of_block(left: pa.Table, right: pa.Table) -> pa.Table:
+    def of_block(told: pa.Table) -> pa.Table:
         sp = _model(path)
         begin, end = (np.array([x], "<u4").tobytes() for x in (sp.bos_id(), sp.eos_id()))
-        doc_ids, every = _unpacked(left)
+        doc_ids, every = _unpacked(told.column("path")[0].as_py())
         asked = [words_of(t) for t in every]
         del every
         split = _by_part(asked, parts)
         ids: dict[str, bytes] = {}
         odd: dict[str, str] = {}
-        for part, got, strange, said in zip(*(right.column(c).to_pylist() for c in ("part", "ids", "odd", "odd_text"))):
+        for part, got, strange, said in zip(*(told.column(c).to_pylist() for c in ("part", "ids", "odd", "odd_text"))):
             for word, x in zip(split[part], _unpack(got), strict=True):
                 ids[word.decode()] = np.frombuffer(x, "<u2").astype("<u4").tobytes()
             odd.update((a.decode(), b.decode()) for a, b in zip(_unpack(strange), _unpack(said)))
@@ -192,16 +200,21 @@ def encode_decode(docs: DataFrame, model_path: str, digests: bool = False, block
     digests. A null text counts as empty and gives the two outer ids. Repeated rows give a row each; other
     columns of docs are left out; an empty table gives none. A text of any length is encoded whole: a block holds
     about block_bytes of texts, or one longer text. Each block asks at most max_parts tasks, so the number of
-    requests grows with the data and not with its square. Raises ValueError for a model whose words cannot be
+    requests grows with the data and not with its square; blocks lie in spark.checkpoint.dir. Raises ValueError for a model whose words cannot be
     told apart (see above).
     """
     _model(model_path)
-    small_batches(docs.sparkSession)
-    own = texts(docs)
-    blocks = block_count(own, "text", block_bytes)
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = f"{shared_dir(spark).rstrip('/')}/sentencepiece-{uuid.uuid4().hex}"
+    packs = staged(texts(docs).mapInArrow(_packs(folder, block_bytes), "part long, nth long, path string"), "packs")
+    blocks, tasks = packs.agg(F.count(F.lit(1)), F.max("part") + 1).first()
+    blocks, tasks = max(1, blocks), tasks or 1
     parts = min(blocks, max_parts)
-    dealt = own.mapInArrow(_packs(block_bytes), "block long, pack binary").repartition(blocks, "block")
-    asked = dealt.groupBy("block").applyInArrow(_requests(parts), "block long, part int, words binary")
-    told = asked.repartition(parts, "part").mapInArrow(_segment(model_path), "block long, part int, ids binary, odd binary, odd_text binary")
+    # blocks and parts go to tasks by their numbers, so no task has many by chance
+    dealt = packs.select((F.col("nth") * tasks + F.col("part")).alias("block"), "path").repartitionById(blocks, F.col("block").cast("int"))
+    asked = dealt.mapInArrow(_requests(parts), "block long, path string, part long, words binary")
+    told = asked.repartitionById(parts, F.col("part").cast("int")).mapInArrow(_segment(model_path), "block long, path string, part long, ids binary, odd binary, odd_text binary")
     kind = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_joined(model_path, parts, digests), f"doc_id long, n_tokens long, {kind}")
+    back = told.withColumn("block", F.col("block").cast("int")).repartitionById(blocks, "block")
+    return back.groupBy("block").applyInArrow(_joined(model_path, parts, digests), f"doc_id long, n_tokens long, {kind}")
