@@ -77,23 +77,29 @@ def block_count(df: DataFrame, column: str, block_bytes: int) -> int:
     return max(1, -(-int(total) // block_bytes))
 
 
-#: Joins by counted keys broadcast the keys that have over one in so many of all rows: fewer keys than this.
+#: Joins by counted keys broadcast the keys that have over one in so many of all rows, and over a task's worth of them:
+#: fewer keys than this.
 HOT_KEYS = 1000
+HOT_ROWS = 1000
 
 
-def join_counted(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", hot_keys: int = HOT_KEYS) -> DataFrame:
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", hot_keys: int = HOT_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """rows and what facts knows of their key: facts has one row a key (`of`), the number `_n` of its rows and values.
 
-    Keys that have over one in hot_keys of all rows, and so fewer keys than hot_keys, are broadcast, and their rows are
-    dealt over all tasks by number; the other keys' rows meet them by a shuffle, where none has more than that share.
-    Rows must be numbered alike whenever they are read again, as staged, checkpointed and scanned tables are. A null
-    key, and one that facts lacks, has null values (how = "left") or no row ("inner").
+    Keys that have over one in hot_keys of all rows (and over hot_rows), and so fewer keys than hot_keys, are broadcast,
+    and their rows are dealt over all tasks by number; the other keys' rows meet them by a shuffle, where none has more
+    than that share. Rows must be numbered alike whenever they are read again, as staged, checkpointed and scanned
+    tables are. A null key, and one that facts lacks, has null values (how = "left") or no row ("inner").
     """
     values = [c for c in facts.columns if c not in ("of", "_n")]
-    total = int(facts.agg(F.sum("_n")).first()[0] or 0)
+    total, top = facts.agg(F.sum("_n"), F.max("_n")).first()
+    often_from = max(hot_rows, int(total or 0) // hot_keys)
+    if (top or 0) <= often_from and how == "inner":
+        told = facts.select(F.col("of").alias("_of"), F.struct(*values).alias("_known"))
+        return rows.join(told, F.col(key) == F.col("_of")).select(*rows.columns, *(F.col("_known")[v].alias(v) for v in values))
     # always 0, but no literal: the planner would take one out of the join's keys, and then deal rows by the key alone
     zero = F.pmod(F.col("_n"), F.lit(1)).cast("long").alias("_rare_deal")
-    known = facts.select("of", F.struct(*values).alias("_known"), (F.col("_n") * hot_keys > total).alias("_often"), zero)
+    known = facts.select("of", F.struct(*values).alias("_known"), (F.col("_n") > often_from).alias("_often"), zero)
     often = known.filter("_often").select(F.col("of").alias("_often_of"), F.col("_known").alias("_often_known"))
     rare = known.filter("NOT _often").select(F.col("of").alias("_rare_of"), F.col("_known").alias("_rare_known"), F.col("_rare_deal"))
     dealt = rows.join(F.broadcast(often), F.col(key) == F.col("_often_of"), "left")

@@ -174,7 +174,7 @@ def decode_block(block: bytes, table: bytes, table_crc: int = 0) -> tuple[dict,
 #: Texts of these characters alone are lower-cased and split alike by the library and by the rules below.
 _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
 _CORE = re.compile("([a-zß-öø-ÿ]+)([^'\\sa-z0-9ß-öø-ÿ]*)")
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -206,7 +206,7 @@ def _word_ids(path: str, word: str, known: dict[str, bytes]) -> bytes:
     out = b""
     for part in m.groups():
         if part:
-            key = "\n" + part  # no word holds a line feed
+            key = part if part[0].isalpha() else "\n" + part  # letters are a word of their own; no word holds a line feed
             if (got := known.get(key)) is None:
                 spelt = part.encode().decode("latin-1").translate(_SPELL)
                 got = known[key] = np.array([x.id for x in t.model.tokenize(spelt)], "<u2").tobytes()

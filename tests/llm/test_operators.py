@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.llm import components, decontamination, exact_dedup, language_id, queries, secrets, sentencepiece_codec, sharding, simhash, token_files, toxicity, warc
+from quadrille.llm.common import join_counted
 from tests.llm import plain
 
 SF = "/root/testdata/sf0.001"
@@ -408,5 +409,18 @@ def test_fold_is_crc32(spark):
     assert all(r["f"] == plain.fold(r["doc_id"], 5) for r in df.collect())
 
 
+@pytest.mark.parametrize("hot_rows", [1000, 5])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_counted(spark, how, hot_rows):
+    """Rows of hot, rare, unknown and null keys get what facts knows of theirs, on either way."""
+    keys = [None] * 7 + [1] * 60 + [2] * 3 + [3] + [9] * 20
+    rows = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k long, n long")
+    facts = spark.createDataFrame([(1, 60, "a", None), (2, 3, "b", 5), (3, 1, None, 6)], "of long, _n long, x string, y long")
+    known = {1: ("a", None), 2: ("b", 5), 3: (None, 6)}
+    expected = Counter((k, n, *known.get(k, (None, None))) for n, k in enumerate(keys) if how == "left" or k in known)
+    same(join_counted(rows, facts, "k", how, hot_keys=10, hot_rows=hot_rows), ["k", "n", "x", "y"], expected)
+    same(join_counted(rows, facts.limit(0), "k", how), ["k", "n", "x", "y"], Counter((k, n, None, None) for n, k in enumerate(keys) if how == "left"))
+
+
 def test_registered():
     assert [q.split("_")[0] for q in queries.QUERIES] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]
