@@ -2,27 +2,41 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.geometry import overlap_area
 
 
-def grid_size(a: DataFrame, b: DataFrame, grow: float = 0) -> float:
-    """The edge of a grid cell for a join of two layers of boxes: the larger of their mean edges and of twice the reach;
-    of layers of points without reach, the edge that holds about one of them."""
-    c = F.col
-    edge = F.greatest(c("x2") - c("x1"), c("y2") - c("y1"))
-    sides = [df.agg(F.avg(edge).alias("edge"), F.count(F.lit(1)).alias("n"), ((F.max("x2") - F.min("x1")) * (F.max("y2") - F.min("y1"))).alias("area")) for df in (a, b)]
-    rows = sides[0].unionByName(sides[1]).collect()
-    size = max([2.0 * grow] + [float(r["edge"] or 0) for r in rows])
-    return size or max(float(r["area"] or 0) / max(1, r["n"]) for r in rows) ** 0.5 or 1.0
+def _edge(grow: float = 0) -> Column:
+    """The longer edge of a box, grown."""
+    return F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) + 2 * grow
+
+
+def _doublings(edge: Column) -> Column:
+    """The least power of two that is no less than an edge."""
+    return F.ceil(F.log2(F.greatest(edge.cast("double"), F.lit(1e-9)))).cast("int")
+
+
+def grid(a: DataFrame, b: DataFrame, grow: float = 0, size: float | None = None) -> tuple[float, list[int], list[int]]:
+    """The edge of a grid cell for a join of two layers of boxes, and the levels that each layer's boxes are on.
+
+    Unless given, the edge is the larger of the layers' mean edges and of twice the reach; of layers of points without
+    reach that which holds about one of them. It is rounded up to a power of two. One pass over the boxes alone; what
+    comes back is a row a layer with some dozens of levels at most, whatever the data.
+    """
+    facts = lambda df, by, nth: df.agg(F.lit(nth).alias("nth"), F.avg(_edge()).alias("edge"), F.count(F.lit(1)).alias("n"), ((F.max("x2") - F.min("x1")) * (F.max("y2") - F.min("y1"))).cast("double").alias("area"), F.collect_set(_doublings(_edge(by))).alias("powers"))
+    rows = sorted(facts(a, grow, 0).unionByName(facts(b, 0, 1)).collect(), key=lambda r: r["nth"])
+    wanted = size or max([2.0 * grow] + [float(r["edge"] or 0) for r in rows]) or max(float(r["area"] or 0) / max(1, r["n"]) for r in rows) ** 0.5 or 1.0
+    power = math.ceil(math.log2(wanted))
+    return 2.0**power, *(sorted({max(0, p - power) for p in r["powers"]}) for r in rows)
 
 
 def level(size: float, grow: float = 0) -> Column:
-    """How often a cell's edge must be doubled until a box, grown, meets at most two cells each way."""
-    edge = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) + 2 * grow
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(edge / size, F.lit(1e-9)))).cast("int"))
+    """How often a cell's edge, a power of two, must be doubled until a box, grown, meets at most two cells each way."""
+    return F.greatest(F.lit(0), _doublings(_edge(grow)) - int(math.log2(size)))
 
 
 def cells(df: DataFrame, size: float, grow: float = 0, levels: list[int] = ()) -> DataFrame:
@@ -47,9 +61,7 @@ def box_join(a: DataFrame, b: DataFrame, size: float | None = None, grow: float
     data) and, unless given, the cell's edge are found in a pass over the boxes alone. Cells with very many rows are
     left to AQE, which splits them.
     """
-    size = size or grid_size(a, b, grow)
-    found = lambda df, by: sorted(r[0] for r in df.select(level(size, by)).distinct().collect() if r[0] is not None)
-    of_a, of_b = found(a, grow), found(b, 0)
+    size, of_a, of_b = grid(a, b, grow, size)
     own = ("home", "lv", "cx", "cy")
     pack = lambda df, name: df.select("lv", "cx", "cy", *[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("home").alias(f"{name}_home"), F.struct(*[c for c in df.columns if c not in own]).alias(name))
     left, right = pack(cells(a, size, grow, of_b), "a"), pack(cells(b, size, 0, of_a), "b")

@@ -213,13 +213,14 @@ def _sides(strips: str) -> Column:
 
 
 def _by_cell(size: float, of_line: bool):
-    def run(group: pa.Table) -> pa.Table:
-        fid, cx, cy = (group.column(k)[0].as_py() for k in ("fid", "cx", "cy"))
-        own = np.array(group.column("own")[0].as_py(), float).reshape(-1, 2 if of_line else 4)
-        others = [np.array(x, float).reshape(-1, 4) for x in group.column("other").to_pylist()]
-        window = (cx * size, cy * size, (cx + 1) * size, (cy + 1) * size)
-        value = covered_length(own, others, window) if of_line else strips_area(union_strips(own, others, window))
-        return pa.table({"fid": [fid], "part": [float(value)]})
+    def run(batches):
+        for batch in batches:
+            out = []
+            for cx, cy, own, other in zip(*(batch.column(k).to_pylist() for k in ("cx", "cy", "own", "other"))):
+                mine, others = np.array(own, float).reshape(-1, 2 if of_line else 4), [np.array(x, float).reshape(-1, 4) for x in other]
+                window = (cx * size, cy * size, (cx + 1) * size, (cy + 1) * size)
+                out.append(float(covered_length(mine, others, window) if of_line else strips_area(union_strips(mine, others, window))))
+            yield pa.RecordBatch.from_arrays([batch.column("fid"), pa.array(out, pa.float64())], names=["fid", "part"])
 
     return run
 
@@ -230,12 +231,14 @@ def covered(probes: DataFrame, others: DataFrame, of_line: bool = False) -> Data
     a, b = lines(probes) if of_line else polygons(probes), polygons(others)
     own = F.transform("path", lambda v: F.array(v["x"], v["y"])) if of_line else _sides("flat")
     a, b = a.select("fid", *BOX, own.alias("own")), b.select("fid", *BOX, _sides("flat").alias("other"))
-    size = 2 * r.grid_size(a, b)
+    size = 2 * r.grid(a, b)[0]
     both = lambda k, f, n: F.floor(f(c(f"a.{k}{n}"), c(f"b.{k}{n}")) / size)
     span = lambda k: F.sequence(both(k, F.greatest, 1), both(k, F.least, 2))
     pairs = r.box_join(a, b).withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
     rows = pairs.select(c("a.fid").alias("fid"), "cx", "cy", c("a.own").alias("own"), c("b.other").alias("other"))
-    parts = rows.groupBy("fid", "cx", "cy").applyInArrow(_by_cell(size, of_line), f"{_type(probes)}, part double")
+    # a list holds what meets one probe in one cell
+    met = rows.groupBy("fid", "cx", "cy").agg(F.first("own").alias("own"), F.collect_list("other").alias("other"))
+    parts = met.mapInArrow(_by_cell(size, of_line), f"{_type(probes)}, part double")
     return parts.groupBy("fid").agg(F.sum("part").alias("covered"))
 
 
@@ -285,7 +288,7 @@ def union_pieces(layer: DataFrame) -> DataFrame:
     """The union of a layer as strips that share no area: x1, x2, and the lower and upper y at either. Each cell of the
     grid is dissolved by itself; cells are as large as polygons mostly are."""
     shapes = polygons(layer).select("fid", *BOX, _sides("flat").alias("other"))
-    size = 2 * r.grid_size(shapes, shapes)
+    size = 2 * r.grid(shapes, shapes)[0]
     span = lambda k: F.sequence(F.floor(c(f"{k}1") / size), F.floor(c(f"{k}2") / size))
     rows = shapes.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y"))).select("cx", "cy", "other")
     return rows.groupBy("cx", "cy").applyInArrow(_union_of_cell(size), "x1 double, x2 double, low1 double, high1 double, low2 double, high2 double")
