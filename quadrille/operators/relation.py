@@ -123,3 +123,14 @@ def spacing(points: DataFrame, required: Column, reach: int) -> DataFrame:
     d = F.sqrt(F.pow(c("a.x") - c("b.x"), 2) + F.pow(c("a.y") - c("b.y"), 2))
     found = box_join(as_boxes(points), as_boxes(points), size=2 * reach, grow=reach, condition=(c("a.fid") < c("b.fid")) & (d > 0) & (d < required))
     return found.select(F.col("a.fid").alias("fid"), F.col("b.fid").alias("related_fid"), F.round(d, 6).alias("measure"))
+
+
+def name_mismatches(bridges: DataFrame, rivers: DataFrame, reach: float) -> DataFrame:
+    """fid, related_fid, bridge_name, river_name: boxes with a name of which the first box of rivers (by fid) that has a
+    name and lies within reach has another; case and outer blanks do not matter."""
+    c = F.col
+    named = lambda df: df.filter(F.trim("name") != "")
+    gap = lambda k: F.greatest(c(f"b.{k}1") - c(f"a.{k}2"), c(f"a.{k}1") - c(f"b.{k}2"), F.lit(0))
+    near = box_join(named(bridges), named(rivers), grow=reach, condition=F.pow(gap("x"), 2) + F.pow(gap("y"), 2) <= reach * reach)
+    first = near.groupBy(c("a.fid").alias("fid"), c("a.name").alias("bridge_name")).agg(F.min(F.struct(c("b.fid").alias("fid"), c("b.name").alias("name"))).alias("river"))
+    return first.select("fid", c("river.fid").alias("related_fid"), "bridge_name", c("river.name").alias("river_name")).filter(F.lower(F.trim("bridge_name")) != F.lower(F.trim("river_name")))

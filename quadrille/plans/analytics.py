@@ -130,9 +130,6 @@ query("SELECT event_id FROM events ORDER BY ts, event_id LIMIT 25 OFFSET 50", "p
 query("SELECT o_orderkey, (SELECT count(*) FROM orders) AS total, (SELECT (count(*) + 19) // 20 FROM orders) AS pages FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40", "page_results")(lambda spark, sf_dir: (o := L.read(spark, sf_dir, "orders")).orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(20).select("o_orderkey").join(F.broadcast(o.agg(F.count(F.lit(1)).alias("total"), F.expr("(count(1) + 19) div 20").alias("pages")))))
 query(f"SELECT event_id, {RANK_SQL} AS severity FROM events", "severity_sort")(lambda spark, sf_dir: errors(spark, sf_dir).select("event_id", rank().alias("severity")).orderBy("severity", "event_id"))
 query(f"SELECT event_id, {RANK_SQL} AS severity FROM (SELECT * FROM events ORDER BY event_id LIMIT 500)", "sort_priority")(lambda spark, sf_dir: errors(spark, sf_dir).orderBy("event_id").limit(500).select("event_id", rank().alias("severity")).orderBy("severity", "event_id"))
-query("SELECT event_id, CASE event_type WHEN 'error' THEN 'spatial' WHEN 'click' THEN 'attribute' ELSE 'other' END AS category FROM events", "error_category")(lambda spark, sf_dir: errors(spark, sf_dir).select("event_id", F.when(F.col("event_type") == "error", "spatial").when(F.col("event_type") == "click", "attribute").otherwise("other").alias("category")))
-_SEVERE = "CASE WHEN event_type = 'error' AND value > 50 THEN 'Critical' WHEN event_type = 'error' OR event_type = 'click' AND value > 80 THEN 'Error' ELSE 'Warning' END"
-query(f"SELECT event_id, {_SEVERE} AS severity FROM events", "severity_classify")(lambda spark, sf_dir: errors(spark, sf_dir).select("event_id", F.expr(_SEVERE).alias("severity")))
 query("SELECT event_id, 'error' AS source FROM events WHERE event_type = 'error' UNION ALL SELECT o_orderkey, 'warning' FROM orders WHERE o_orderstatus = 'P'", "set_union_errors")(lambda spark, sf_dir: errors(spark, sf_dir).filter("event_type = 'error'").select("event_id", F.lit("error").alias("source")).unionByName(L.read(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("event_id"), F.lit("warning").alias("source"))))
 query("SELECT DISTINCT user_id FROM events EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 90", "set_except")(lambda spark, sf_dir: (e := errors(spark, sf_dir)).select("user_id").subtract(e.filter("event_type = 'error' AND value > 90").select("user_id")))
 query("SELECT event_id FROM events WHERE event_id % 3 <> 0", "set_invert_selection")(lambda spark, sf_dir: (e := errors(spark, sf_dir)).join(e.filter("event_id % 3 = 0").select(F.col("event_id").alias("_id")), F.col("event_id") == F.col("_id"), "left_anti").select("event_id"))
@@ -150,12 +147,21 @@ def win_rolling_median(spark, sf_dir):
     return errors(spark, sf_dir).select("event_id", F.round(F.percentile("value", 0.5).over(w), 6).alias("median"))
 
 
-@query()
+_ORDERED = "SELECT user_id, value, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
+_ALPHA = "CASE WHEN {k} < 5 OR {k} < 0.2 * {n} THEN 0.2 WHEN {k} < 0.7 * {n} THEN 0.1 ELSE 0.05 END"
+
+
+@query(f"WITH RECURSIVE o AS ({_ORDERED}), s AS (SELECT user_id, k, n, value AS smoothed FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, o.n, {_ALPHA.format(k='o.k', n='o.n')} * o.value + (1 - {_ALPHA.format(k='o.k', n='o.n')}) * s.smoothed FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1) SELECT user_id, round(smoothed, 6) AS smoothed FROM s WHERE k = n")
 def win_ewma(spark, sf_dir):
-    """Smoothed values of each run in time order: s = a x + (1 - a) s."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
-    smooth = F.aggregate("v", F.lit(None).cast("double"), lambda s, x: F.coalesce(0.2 * x["value"] + 0.8 * s, x["value"]))
-    return errors(spark, sf_dir).groupBy("user_id").agg(ordered.alias("v")).select("user_id", F.round(smooth, 6).alias("smoothed"))
+    """Smoothed values of each run in time order: s = a x + (1 - a) s, with a of 0.2 at first, then 0.1 and 0.05 as the run
+    goes on. Each value's weight is its own a times what later ones leave over, so sums over a window do, and no run's
+    history lies in one row."""
+    run = Window.partitionBy("user_id")
+    ordered = errors(spark, sf_dir).select("user_id", "value", F.row_number().over(run.orderBy("ts", "event_id")).alias("k"), F.count(F.lit(1)).over(run).alias("n"))
+    alpha = F.when(F.col("k") == 1, 1.0).when((F.col("k") < 5) | (F.col("k") < 0.2 * F.col("n")), 0.2).when(F.col("k") < 0.7 * F.col("n"), 0.1).otherwise(0.05)
+    later = F.coalesce(F.sum(F.log(1 - F.col("a"))).over(run.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = ordered.withColumn("a", alpha).withColumn("weight", F.col("a") * F.exp(later))
+    return left.groupBy("user_id").agg(F.round(F.sum(F.col("weight") * F.col("value")), 6).alias("smoothed"))
 
 
 @query("SELECT user_id, round(greatest(0.1, least(1.0, CASE WHEN count(*) >= 5 THEN 0.6 ELSE 0.3 END + CASE WHEN stddev_pop(value) / avg(value) < 0.35 THEN 0.2 ELSE 0 END)), 6) AS confidence FROM events GROUP BY 1")

@@ -139,7 +139,10 @@ def layer_catalog(spark, sf_dir):
     return schema.layer_catalog({n: L.read(spark, sf_dir, n) for n in ("part", "supplier", "region")})
 
 
-@query()
+_SCHEMA_ROWS = "SELECT table_name AS tab, column_name AS col, CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT') THEN 'INTEGER' WHEN data_type IN ('DOUBLE', 'FLOAT') OR data_type LIKE 'DECIMAL%' THEN 'REAL' WHEN data_type = 'DATE' OR data_type LIKE 'TIMESTAMP%' THEN 'DATE' ELSE 'TEXT' END AS actual, true AS nullable FROM duckdb_columns() WHERE table_name IN ('part', 'supplier')"
+
+
+@query(_SCHEMA_ROWS)
 def table_schema(spark, sf_dir):
     return schema.snapshot(spark, {n: L.read(spark, sf_dir, n) for n in ("part", "supplier")})
 

@@ -115,19 +115,17 @@ def rel_attr_spatial_mismatch(spark, sf_dir):
 GAP2 = "pow(greatest(b.x1 - a.x2, 0, a.x1 - b.x2), 2) + pow(greatest(b.y1 - a.y2, 0, a.y1 - b.y2), 2)"
 
 
-@query(AB + f"SELECT fid, related_fid FROM (SELECT a.fid, min(b.fid) AS related_fid FROM boxes_a a JOIN boxes_b b ON {GAP2} <= 4 GROUP BY a.fid) WHERE fid % 3 <> related_fid % 3")
-def rel_bridge_river_name(spark, sf_dir):
-    """The first river by id within reach has another name."""
-    near = r.box_join(L.boxes_a(spark, sf_dir), L.boxes_b(spark, sf_dir), grow=2, condition=F.expr(f"{GAP2} <= 4"))
-    return near.groupBy(F.col("a.fid").alias("fid")).agg(F.min("b.fid").alias("related_fid")).filter("fid % 3 <> related_fid % 3")
+#: Names of bridges and rivers, some blank.
+_NAMES = "n AS (SELECT fid, CASE WHEN fid % 7 = 0 THEN '  ' ELSE upper(brand) END AS name FROM boxes_a), m AS (SELECT s_suppkey AS fid, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 5 = 1 THEN '' ELSE 'brand#1' || (s_suppkey % 3 + 1) END AS name FROM supplier)"
 
 
-@query(AB + "SELECT b.fid, min(a.fid) AS related_fid FROM boxes_b b JOIN boxes_a a ON a.x2 - a.x1 = b.x2 - b.x1 AND a.y2 - a.y1 = b.y2 - b.y1 GROUP BY b.fid")
-def rel_hole_duplicate(spark, sf_dir):
-    """Features of a hole's shape: joined on the shape, first match by id."""
-    shape = lambda df, n: df.select(F.col("fid").alias(n), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
-    holes = shape(L.boxes_a(spark, sf_dir), "related_fid").groupBy("w", "h").agg(F.min("related_fid").alias("related_fid"))
-    return shape(L.boxes_b(spark, sf_dir), "fid").join(holes, ["w", "h"]).select("fid", "related_fid")
+@query(AB + f", {_NAMES}, f AS (SELECT a.fid, arg_min(m.name, b.fid) AS river_name, min(b.fid) AS related_fid FROM boxes_a a JOIN boxes_b b ON {GAP2} <= 4 JOIN m ON m.fid = b.fid AND trim(coalesce(m.name, '')) <> '' GROUP BY a.fid) SELECT f.fid, related_fid, n.name AS bridge_name, river_name FROM f JOIN n ON n.fid = f.fid WHERE trim(n.name) <> '' AND lower(trim(n.name)) <> lower(trim(river_name))")
+def rel_bridge_river_name(spark, sf_dir):
+    """The first river by id that has a name and is within reach has another name than the bridge; blank names are passed over."""
+    k = F.col("fid")
+    bridges = L.boxes_a(spark, sf_dir).withColumn("name", F.when(k % 7 == 0, "  ").otherwise(F.upper("brand")))
+    rivers = L.boxes_b(spark, sf_dir).withColumn("name", F.when(k % 5 == 0, None).when(k % 5 == 1, "").otherwise(F.concat(F.lit("brand#1"), (k % 3 + 1).cast("string"))))
+    return r.name_mismatches(bridges, rivers, 2)
 
 
 @query(A + "SELECT count(*) AS n, min(x1) AS x1, max(x2) AS x2, count(*) * (50 + 16 * 5) + 200 AS bytes, least(30, greatest(1, ceil((count(*) * (50 + 16 * 5) + 200) / 10000.0))) AS splits FROM boxes_a")

@@ -17,13 +17,6 @@ CORNERS = "CASE WHEN fid % 11 = 0 THEN x1 + 100 ELSE x2 END - x1"
 RINGS = A + ", q AS (SELECT fid, CASE WHEN fid % 11 = 0 THEN 100.0 ELSE x2 - x1 END AS w, CASE WHEN fid % 11 = 0 THEN 0.0078125 ELSE y2 - y1 END AS h, fid % 7 <> 0 AS closed FROM boxes_a) "
 
 
-@query(A + "SELECT fid, related_fid, nth FROM (SELECT fid, min(fid) OVER w AS related_fid, row_number() OVER w AS nth FROM (SELECT fid, (x2 - x1) AS w, (y2 - y1) AS h FROM boxes_a) WINDOW w AS (PARTITION BY w, h ORDER BY fid)) WHERE nth > 1")
-def geom_duplicate(spark, sf_dir):
-    own = Window.partitionBy("w", "h").orderBy("fid")  # shapes moved to the origin, so that some are equal
-    shapes = L.boxes_a(spark, sf_dir).select("fid", (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
-    return shapes.select("fid", F.min("fid").over(own).alias("related_fid"), F.row_number().over(own).alias("nth")).filter("nth > 1")
-
-
 @query(A + f"SELECT a.fid, b.fid AS related_fid, {AREA} AS measure FROM boxes_a a JOIN boxes_a b ON a.fid < b.fid WHERE {AREA} > 0")
 def geom_overlap(spark, sf_dir):
     a = L.boxes_a(spark, sf_dir)
@@ -259,6 +252,13 @@ def search_near(spark, sf_dir):
     return L.pts(spark, sf_dir).filter("x BETWEEN 450 AND 550 AND y BETWEEN 50 AND 150").withColumn("distance", F.round(d, 6)).filter(d <= 50).select("fid", "distance").orderBy("distance", "fid")
 
 
-@query(P + f"SELECT fid, {' + '.join(f'((x >> {k}) & 1) * {4**k} + ((y >> {k}) & 1) * {2 * 4**k}' for k in range(10))} AS code FROM pts")
+_U = {k: f"least(65535, greatest(0, floor(({k} - min({k}) OVER ()) * 65535.0 / nullif(max({k}) OVER () - min({k}) OVER (), 0))))::BIGINT" for k in "xy"}
+
+
+@query(P + f"SELECT fid, {' + '.join(f'((u >> {k}) & 1) * {4**k} + ((v >> {k}) & 1) * {2 * 4**k}' for k in range(16))} AS code FROM (SELECT fid, {_U['x']} AS u, {_U['y']} AS v FROM pts)")
 def sort_by_zorder(spark, sf_dir):
-    return L.pts(spark, sf_dir).select("fid", g.morton(F.col("x"), F.col("y"), 10).alias("code"))
+    """Points in the order of a curve through the layer's box: places from 0 to 65535 each way, their bits interleaved."""
+    p = L.pts(spark, sf_dir)
+    box = p.agg(*[f(k).alias(f"{k}_{f.__name__}") for k in "xy" for f in (F.min, F.max)]).first()  # one row
+    at = lambda k: F.floor((F.col(k) - box[f"{k}_min"]) * 65535.0 / max(1, box[f"{k}_max"] - box[f"{k}_min"]))
+    return p.select("fid", g.morton(at("x"), at("y"), 16).alias("code")).orderBy("code", "fid")

@@ -42,6 +42,8 @@ def _shape_sql(n: str, table: str, key: str, x: str, y: str) -> str:
 
 LAYER_SQL["kinds"] = f"kinds(kind, ring, nth, dx, dy) AS (VALUES {_VERTICES})"
 LAYER_SQL["shapes_a"] = _shape_sql("a", "part", "p_partkey", "p_partkey % 100 * 10", "p_partkey // 100 * 10")
+#: Outlines as sets of sides, whichever way they run: of shapes_a and of copies of every third.
+LAYER_SQL["twins"] = "twins AS (SELECT fid, list_sort(list((least((px, py), (qx, qy)), greatest((px, py), (qx, qy))))) AS outline FROM (SELECT fid, px, py, qx, qy FROM ea UNION ALL SELECT fid + 1000000, qx, qy, px, py FROM ea WHERE fid % 3 = 0) GROUP BY fid)"
 LAYER_SQL["shapes_b"] = _shape_sql("b", "supplier", "s_suppkey", "s_suppkey * 37 % 1000", "s_suppkey * 53 % 200")
 
 
@@ -142,6 +144,23 @@ def shapes_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shapes(read(spark, sf_dir, "supplier"), "s_suppkey", k * 37 % 1000, k * 53 % 200)
 
 
+def twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shapes_a, and of every third a copy that runs the other way from another vertex on."""
+    a = shapes_a(spark, sf_dir)
+    moved = lambda ring: F.concat(F.slice(F.reverse(ring), 2, F.size(ring) - 1), F.slice(F.reverse(ring), 2, 1))
+    copies = a.filter("fid % 3 = 0").select((F.col("fid") + 1_000_000).alias("fid"), F.transform("rings", moved).alias("rings"))
+    return a.select("fid", "rings").unionByName(copies)
+
+
+def plugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes as large as the holes of shapes_a: every other one in its place, the rest beside it."""
+    k = F.col("p_partkey")
+    beside = (k % 2).cast("double")
+    holed = read(spark, sf_dir, "part").filter(k % len(KINDS) == 2)
+    ring = [point(k % 100 * 10 + beside + x, F.floor(k / 100) * 10 + y) for x, y in [*KINDS[2][1][2:], *KINDS[2][1][:3]]]
+    return holed.select(k.alias("fid"), F.array(F.array(*ring)).alias("rings"))
+
+
 def with_ring(boxes: DataFrame) -> DataFrame:
     """Boxes with their outline as a closed ring."""
     at = lambda a, b: point(F.col(a), F.col(b))
@@ -167,3 +186,16 @@ def rules(spark: SparkSession, path: str) -> DataFrame:
     first = df.columns[0]
     df = df.withColumnRenamed(first, first.lstrip("﻿")).filter(~F.col(f"`{first.lstrip(chr(0xFEFF))}`").startswith("#"))
     return df.filter(F.upper("Enabled") == "Y") if "Enabled" in df.columns else df
+
+
+def active(table: DataFrame) -> DataFrame:
+    """The rows of a rule table (rule_id, enabled) that are enabled and no comments."""
+    return table.filter((F.upper("enabled") == "Y") & ~F.startswith("rule_id", F.lit("#")))
+
+
+def table_exists(layers: dict[str, DataFrame], name: str) -> bool:
+    return name.lower() in map(str.lower, layers)
+
+
+def field_exists(layers: dict[str, DataFrame], name: str, field: str) -> bool:
+    return any(n.lower() == name.lower() and field.lower() in map(str.lower, df.columns) for n, df in layers.items())
