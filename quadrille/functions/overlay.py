@@ -189,3 +189,38 @@ def centroid(rings: Column) -> Column:
 def box_of(vertices: Column) -> dict[str, Column]:
     """x1, y1, x2, y2 of an array of vertices."""
     return {f"{k}{n}": f(F.transform(vertices, lambda v: v[k])) for k in "xy" for n, f in ((1, F.array_min), (2, F.array_max))}  # noqa: B023
+
+
+def side_distance(v: Column, s: Column) -> Column:
+    """How far a point lies from a side p, q."""
+    dx, dy = s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]
+    along = F.coalesce(F.try_divide((v["x"] - s["p"]["x"]) * dx + (v["y"] - s["p"]["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+    return bound(F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)), lambda t: F.sqrt(F.pow(v["x"] - s["p"]["x"] - t * dx, 2) + F.pow(v["y"] - s["p"]["y"] - t * dy, 2)))
+
+
+def path_distance(v: Column, path: Column) -> Column:
+    """How far a point lies from a line or ring; null for one without sides."""
+    return F.array_min(F.transform(g.sides(path), lambda s: side_distance(v, s)))
+
+
+def rings_distance(v: Column, rings: Column) -> Column:
+    """How far a point lies from a polygon; 0 in it."""
+    return F.when(holds(rings, v), 0.0).otherwise(F.array_min(F.transform(rings, lambda ring: path_distance(v, ring))))
+
+
+def turns(path: Column, closed: bool = False) -> Column:
+    """nth and turn, in degrees from 0 (straight on), of each inner vertex of a line; closed: of each vertex of a ring."""
+    nothing = F.expr("cast(array() as array<struct<nth:int,turn:double>>)")
+
+    def of(own):
+        n = F.size(own)
+        at = lambda k: F.get(own, k)
+        first, last = (F.lit(0), n - 2) if closed else (F.lit(1), n - 2)
+
+        def turn(k):
+            p, q, s = at(F.when(k == 0, n - 2).otherwise(k - 1)), at(k), at(k + 1)
+            return F.struct(k.alias("nth"), g.turn_degrees(q["x"] - p["x"], q["y"] - p["y"], s["x"] - q["x"], s["y"] - q["y"]).alias("turn"))
+
+        return F.when(last >= first, F.transform(F.sequence(first, F.greatest(first, last)), turn)).otherwise(nothing)
+
+    return bound(path, of)

@@ -306,3 +306,55 @@ def gaps(layer: DataFrame, tolerance: float = 0) -> DataFrame:
     both = box.unionByName(union_area(layer).select("area"), allowMissingColumns=True)
     both = both.agg(*[F.max(k).alias(k) for k in ("n", *BOX, "area")])
     return both.filter("n > 1").select(((c("x2") - c("x1")) * (c("y2") - c("y1")) - c("area")).alias("measure")).filter(c("measure") > tolerance)
+
+
+# --- nearness and turns -----------------------------------------------------------------------------------------
+
+
+def _vertex(name: str) -> Column:
+    return F.struct(c(f"{name}.x").cast("double").alias("x"), c(f"{name}.y").cast("double").alias("y"))
+
+
+def points_away(points: DataFrame, holders: DataFrame, reach: float, key: tuple[str, ...] = ("fid",)) -> DataFrame:
+    """Points (x, y and a key) that no polygon is within reach of."""
+    pairs = r.box_join(r.as_boxes(points), polygons(holders), grow=reach, condition=o.rings_distance(_vertex("a"), c("b.rings")) <= reach)
+    near = pairs.select(*[c(f"a.{k}").alias(f"_{k}") for k in key]).distinct()
+    same = [c(k) == c(f"_{k}") for k in key]
+    return points.join(near, [x for x in same], "left_anti")
+
+
+def vertices(paths: DataFrame) -> DataFrame:
+    """A row for each vertex of a line: fid, nth, x, y."""
+    return paths.select("fid", F.posexplode("path").alias("nth", "v")).select("fid", "nth", "v.x", "v.y")
+
+
+def ends(paths: DataFrame) -> DataFrame:
+    """A row for each end of a line: fid, side, x, y."""
+    each = F.array(F.struct(F.lit("start").alias("side"), F.get("path", F.lit(0)).alias("v")), F.struct(F.lit("end").alias("side"), F.element_at("path", -1).alias("v")))
+    return paths.filter(F.size("path") > 1).select("fid", F.explode(each).alias("e")).select("fid", "e.side", "e.v.x", "e.v.y")
+
+
+def loose_ends(paths: DataFrame, reach: float) -> DataFrame:
+    """fid, side, measure, at_end: ends within reach of another line, but of no other line's end within a hundredth of it:
+    how far the nearest such line (of equally near ones the first) is, and whether its nearest point is one of its ends."""
+    every = ends(paths)
+    away = o.path_distance(_vertex("a"), c("b.path"))
+    near = r.box_join(r.as_boxes(every), lines(paths), grow=reach, condition=c("a.fid") != c("b.fid"))
+    rows = near.select(c("a.fid").alias("fid"), c("a.side").alias("side"), c("b.fid").alias("other"), _vertex("a").alias("v"), c("b.path").alias("path"), _where(away, lambda d: d <= reach, "d"))
+    gap = lambda v, w: F.sqrt(F.pow(v["x"] - w["x"], 2) + F.pow(v["y"] - w["y"], 2))
+    to_end = F.least(gap(c("v"), F.get("path", F.lit(0))), gap(c("v"), F.element_at("path", -1)))
+    told = rows.select("fid", "side", F.struct(F.round("d", 9).alias("d"), "other", (to_end <= c("d") + 1e-9).alias("at_end")).alias("n"), to_end.alias("to_end"))
+    least = told.groupBy("fid", "side").agg(F.min("n").alias("n"), F.min("to_end").alias("to_end"))
+    return least.filter(c("to_end") > reach / 100).select("fid", "side", c("n.d").alias("measure"), c("n.at_end").alias("at_end"))
+
+
+def sharp_bends(paths: DataFrame, below: float) -> DataFrame:
+    """fid, nth, measure: the first inner vertex of each line whose turn is below so many degrees."""
+    found = F.filter(o.turns(c("path")), lambda t: t["turn"] < below)
+    return paths.select("fid", F.get(found, F.lit(0)).alias("t")).filter("t IS NOT NULL").select("fid", "t.nth", c("t.turn").alias("measure"))
+
+
+def spikes(layer: DataFrame, below: float) -> DataFrame:
+    """fid, ring, nth, measure: vertices of rings, the first one too, at which the angle is below so many degrees."""
+    each = layer.select("fid", F.posexplode("rings").alias("ring", "path")).select("fid", "ring", F.explode(o.turns(c("path"), closed=True)).alias("t"))
+    return each.select("fid", "ring", "t.nth", (180 - c("t.turn")).alias("measure")).filter(c("measure") < below)

@@ -191,13 +191,15 @@ def agg_union_geometry_shapes(spark, sf_dir):
     return s.union_pieces(L.shapes_b(spark, sf_dir)).select(*[F.round(k, 6).alias(k) for k in ("x1", "x2", "low1", "high1", "low2", "high2")])
 
 
-@query(L.with_layers("ends") + PATHS + """, sh AS (SELECT p.fid, q.fid AS related_fid, sqrt((p.qx - p.px) ** 2 + (p.qy - p.py) ** 2) AS n, ((q.px - p.px) * (p.qx - p.px) + (q.py - p.py) * (p.qy - p.py)) / n AS a, ((q.qx - p.px) * (p.qx - p.px) + (q.qy - p.py) * (p.qy - p.py)) / n AS b
-        FROM le p JOIN le q ON p.fid < q.fid AND least(p.px, p.qx) <= greatest(q.px, q.qx) AND least(q.px, q.qx) <= greatest(p.px, p.qx) AND least(p.py, p.qy) <= greatest(q.py, q.qy) AND least(q.py, q.qy) <= greatest(p.py, p.qy)
-        WHERE (p.qx - p.px) * (q.py - p.py) = (p.qy - p.py) * (q.px - p.px) AND (p.qx - p.px) * (q.qy - p.py) = (p.qy - p.py) * (q.qx - p.px) AND (p.px <> p.qx OR p.py <> p.qy))
-    SELECT fid, related_fid, round(sum(least(n, greatest(a, b)) - greatest(0, least(a, b))), 6) AS measure FROM sh WHERE least(n, greatest(a, b)) > greatest(0, least(a, b)) GROUP BY fid, related_fid""")
+_STRETCH = "least(a.x2, b.x2) - greatest(a.x1, b.x1)"
+
+
+@query(L.with_layers("hlines") + f"SELECT a.fid, b.fid AS related_fid, round(({_STRETCH}) * sqrt(2), 6) AS measure FROM hlines a JOIN hlines b ON a.fid < b.fid AND a.y1 = b.y1 AND {_STRETCH} > 0")
 def rel_contour_intersection_paths(spark, sf_dir):
-    """Stretches that lines of any direction share; crossings in a point are left out."""
-    return _measured(s.lines_share(L.paths(spark, sf_dir)))
+    """Stretches that slanted lines share; crossings in a point are left out."""
+    at = lambda k: F.struct(F.col(k).cast("double").alias("x"), (F.col("y1") + F.col(k)).cast("double").alias("y"))
+    slanted = L.hlines(spark, sf_dir).select("fid", F.when(F.col("fid") % 2 == 0, F.array(at("x1"), at("x2"))).otherwise(F.array(at("x2"), at("x1"))).alias("path"))
+    return _measured(s.lines_share(slanted))
 
 
 def grid_tier(span, tolerance: float):
@@ -214,3 +216,74 @@ def agg_grid_size(spark, sf_dir):
     span = F.greatest(F.max("x2") - F.min("x1"), F.max("y2") - F.min("y1")).cast("double")
     wide = L.boxes_a(spark, sf_dir).agg(span.alias("w")).select("w", F.explode(F.array(*map(F.lit, (1, 2, 50, 1000)))).alias("scale"))
     return wide.select("scale", grid_tier(F.col("w") * F.col("scale"), 0.02).alias("size"))
+
+
+def _apart(x: str, y: str, t: str) -> str:
+    """How far (x, y) is from side t."""
+    d2 = f"(({t}.qx - {t}.px) ** 2 + ({t}.qy - {t}.py) ** 2)"
+    at = f"greatest(0, least(1, coalesce((({x} - {t}.px) * ({t}.qx - {t}.px) + ({y} - {t}.py) * ({t}.qy - {t}.py)) / nullif({d2}, 0)::DOUBLE, 0)))"
+    return f"sqrt(({x} - {t}.px - {at} * ({t}.qx - {t}.px)) ** 2 + ({y} - {t}.py - {at} * ({t}.qy - {t}.py)) ** 2)"
+
+
+def _away_sql(points: str, key: str, reach: float) -> str:
+    box = f"p.x BETWEEN b.x1 - {reach} AND b.x2 + {reach} AND p.y BETWEEN b.y1 - {reach} AND b.y2 + {reach}"
+    return f"SELECT {key} FROM {points} p WHERE NOT EXISTS (SELECT 1 FROM ba b WHERE {box} AND ({_odd('ea', 'b.fid', 'p.x', 'p.y')} OR (SELECT min({_apart('p.x', 'p.y', 't')}) FROM ea t WHERE t.fid = b.fid) <= {reach}))"
+
+
+ENDS_OF = ", en AS (SELECT fid, 'start' AS side, xa AS x, ya AS y FROM w UNION ALL SELECT fid, 'end', xb, yb FROM w), vx AS (SELECT fid, unnest([0, 1, 2]) AS nth, unnest([xa, xm, xb]) AS x, unnest([ya, ym, yb]) AS y FROM w) "
+
+
+@query(LINES_A + ENDS_OF + _away_sql("en", "fid, side", 1))
+def rel_line_endpoint_within_shapes(spark, sf_dir):
+    return s.points_away(s.ends(L.paths(spark, sf_dir)), L.shapes_a(spark, sf_dir), 1, ("fid", "side")).select("fid", "side")
+
+
+@query(LINES_A + ENDS_OF + _away_sql("vx", "DISTINCT fid", 2))
+def rel_polygon_contains_line_shapes(spark, sf_dir):
+    """Lines with a vertex that no polygon is near."""
+    return s.points_away(s.vertices(L.paths(spark, sf_dir)), L.shapes_a(spark, sf_dir), 2, ("fid", "nth")).select("fid").distinct()
+
+
+@query(LINES_A + ENDS_OF + ", z AS (" + _away_sql("en", "fid, side, x, y", 1) + ") SELECT fid, side FROM z a WHERE NOT EXISTS (SELECT 1 FROM en b WHERE a.fid <> b.fid AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 4)")
+def rel_defective_connection_shapes(spark, sf_dir):
+    """Ends that neither another line's end nor a polygon is near."""
+    free = r.unconnected(s.ends(L.paths(spark, sf_dir)), 2)
+    return s.points_away(free, L.shapes_a(spark, sf_dir), 1, ("fid", "side")).select("fid", "side")
+
+
+@query(PTS_A + f"SELECT b.fid, p.fid AS related_fid FROM pts p JOIN ba b ON p.x BETWEEN b.x1 AND b.x2 AND p.y BETWEEN b.y1 AND b.y2 WHERE p.kind = 'error' AND {_odd('ea', 'b.fid', 'p.x', 'p.y')} AND NOT {_on('ea', 'b.fid', 'p.x', 'p.y')}")
+def rel_polygon_not_contain_point_shapes(spark, sf_dir):
+    found = s.points_in(L.pts(spark, sf_dir).filter("kind = 'error'"), L.shapes_a(spark, sf_dir))
+    return found.select(F.col("polygon").alias("fid"), F.col("point").alias("related_fid"))
+
+
+LOOSE = L.with_layers("ends") + PATHS + ENDS_OF + f""", d AS (SELECT a.fid, a.side, b.fid AS other, (SELECT min({_apart('a.x', 'a.y', 't')}) FROM le t WHERE t.fid = b.fid) AS d, least(sqrt((a.x - b.xa) ** 2 + (a.y - b.ya) ** 2), sqrt((a.x - b.xb) ** 2 + (a.y - b.yb) ** 2)) AS to_end
+        FROM en a JOIN (SELECT bl.*, w.xb, w.yb FROM bl JOIN w ON w.fid = bl.fid) b ON a.fid <> b.fid AND a.x BETWEEN b.x1 - 2 AND b.x2 + 2 AND a.y BETWEEN b.y1 - 2 AND b.y2 + 2),
+    n AS (SELECT fid, side, min(d) AS measure, arg_min(to_end <= d + 1e-9, (round(d, 9), other)) AS at_end, min(to_end) AS to_end FROM d WHERE d <= 2 GROUP BY fid, side) SELECT fid, side, round(measure, 6) AS measure FROM n WHERE to_end > 0.02 AND {{}}at_end"""
+
+
+@query(LOOSE.format(""))
+def geom_overshoot_paths(spark, sf_dir):
+    """Ends beside another line of any direction, whose nearest point of it is one of its ends."""
+    return _measured(s.loose_ends(L.paths(spark, sf_dir), 2).filter("at_end").drop("at_end"))
+
+
+@query(LOOSE.format("NOT "))
+def geom_undershoot_paths(spark, sf_dir):
+    return _measured(s.loose_ends(L.paths(spark, sf_dir), 2).filter("NOT at_end").drop("at_end"))
+
+
+_TURN = "degrees(acos(greatest(-1, least(1, ((x - ux) * (wx - x) + (y - uy) * (wy - y)) / nullif(sqrt(((x - ux) ** 2 + (y - uy) ** 2) * ((wx - x) ** 2 + (wy - y) ** 2)), 0)))))"
+_TRACKS = "v AS (SELECT fid, i AS nth, xa + i AS x, ya + (i * i * 7919 + i * fid * 31 + fid) % 1009 / 512 AS y FROM lines, generate_series(0, 19 + fid % 41) AS s(i))"
+
+
+@query(L.with_layers("ends") + f", {_TRACKS}, t AS (SELECT *, lag(x) OVER w AS ux, lag(y) OVER w AS uy, lead(x) OVER w AS wx, lead(y) OVER w AS wy FROM v WINDOW w AS (PARTITION BY fid ORDER BY nth)), u AS (SELECT fid, nth, {_TURN} AS turn FROM t WHERE ux IS NOT NULL AND wx IS NOT NULL) SELECT fid, min(nth) AS nth, round(arg_min(turn, nth), 4) AS measure FROM u WHERE turn < 30.5 GROUP BY fid")
+def rel_road_sharp_bend_tracks(spark, sf_dir):
+    """Lines of 20 to 60 vertices: the first vertex whose turn is under the limit."""
+    return s.sharp_bends(L.tracks(spark, sf_dir), 30.5).select("fid", F.col("nth").cast("long").alias("nth"), F.round("measure", 4).alias("measure"))
+
+
+@query(SA + f", t AS (SELECT fid, ring, nth, x, y, coalesce(lag(x) OVER w, last_value(x) OVER f) AS ux, coalesce(lag(y) OVER w, last_value(y) OVER f) AS uy, coalesce(lead(x) OVER w, first_value(x) OVER f) AS wx, coalesce(lead(y) OVER w, first_value(y) OVER f) AS wy FROM (SELECT * FROM va QUALIFY nth < max(nth) OVER (PARTITION BY fid, ring)) WINDOW w AS (PARTITION BY fid, ring ORDER BY nth), f AS (PARTITION BY fid, ring ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT fid, ring, nth, round(180 - {_TURN}, 4) AS measure FROM t WHERE 180 - {_TURN} < 60.5")
+def geom_spike_rings(spark, sf_dir):
+    """Sharp vertices of rings, the first one and those of holes too."""
+    return s.spikes(L.shapes_a(spark, sf_dir), 60.5).select("fid", "ring", "nth", F.round("measure", 4).alias("measure"))
