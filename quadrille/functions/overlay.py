@@ -150,7 +150,7 @@ def sides_share(s: Column, t: Column) -> Column:
     size = F.sqrt(dx * dx + dy * dy)
     at = lambda v: ((v["x"] - s["p"]["x"]) * dx + (v["y"] - s["p"]["y"]) * dy) / size
     common = F.least(size, F.greatest(at(t["p"]), at(t["q"]))) - F.greatest(F.lit(0.0), F.least(at(t["p"]), at(t["q"])))
-    return F.when((size > 0) & (_side_of(s, t["p"]) == 0) & (_side_of(s, t["q"]) == 0) & (common > 0), common).otherwise(0.0)
+    return F.when((size > 0) & (_side_of(s, t["p"]) == 0) & (_side_of(s, t["q"]) == 0) & (common > ZERO), common).otherwise(0.0)
 
 
 def path_meets(path: Column, rings: Column) -> Column:
