@@ -30,28 +30,81 @@ def not_changed(df: DataFrame, column: str = "change", excluded: tuple[str, ...]
     return df.filter(F.col(column).isNull() | ~F.col(column).isin(*excluded)) if column.lower() in map(str.lower, df.columns) else df
 
 
-_CLAUSE = re.compile(r"^\s*(\w+)\s+(NOT\s+IN|IN)\s*\(([^)]*)\)\s*$|^\s*(\w+)\s*(=|<>|!=|<=|>=|<|>)\s*('?)([^']*)\6\s*$", re.I)
+_CLAUSE = re.compile(r"^\s*(\w+)\s+(NOT\s+IN|IN)\s*\((.*)\)\s*$|^\s*(\w+)\s*(=|<>|!=|<=|>=|<|>)\s*('?)(.*?)\6\s*$", re.I | re.S)
+_QUOTED = re.compile(r"'[^']*'")
+_MASK = "\x00"
+
+
+def clauses(text: str) -> list[str]:
+    """The clauses that AND joins; an AND within quotes joins nothing."""
+    held: list[str] = []
+    bare = _QUOTED.sub(lambda m: held.append(m[0]) or _MASK, text.strip())
+    back = iter(held)
+    return [re.sub(_MASK, lambda m: next(back), part) for part in re.split(r"\s+AND\s+", bare, flags=re.I)]
+
+
+def items(text: str) -> list[str]:
+    """The items of a list, quoted or not, between commas or bars; those within quotes are kept whole."""
+    return [(m[1] if m[1] is not None else m[2]).strip() for m in re.finditer(r"\s*(?:'([^']*)'|\"?([^,|'\"]+)\"?)\s*(?:[,|]|$)", text)]
+
+
+def number(c: str) -> Column:
+    """A value as a number, blanks and thousands separators allowed; null where it is none."""
+    return F.regexp_replace(F.trim(F.col(c).cast("string")), ",", "").try_cast("double")
 
 
 def parsed(df: DataFrame, text: str, null_passes: bool = True) -> Column:
     """A filter text of clauses joined by AND. Items may be unquoted and split by | or ,; a clause on a field that the
-    table lacks drops the whole filter."""
+    table lacks drops the whole filter. ValueError for what is no clause, and for an order with what is no number."""
     out = F.lit(True)
-    known = {c.lower() for c in df.columns}
-    for clause in re.split(r"\s+AND\s+", text.strip(), flags=re.I):
+    known = {c.lower(): c for c in df.columns}
+    orders = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
+    for clause in clauses(text):
         m = _CLAUSE.match(clause)
         if not m:
             raise ValueError(f"not a filter clause: {clause}")
-        field = m[1] or m[4]
-        if field.lower() not in known:
+        field = known.get((m[1] or m[4]).lower())
+        if field is None:
             return F.lit(True)
         if m[2]:
-            values = [v.strip().strip("'\"") for v in re.split(r"[|,]", m[3])]
-            out &= value_not_in(field, values, null_passes) if m[2].upper().startswith("NOT") else value_in(field, values)
+            out &= value_not_in(field, items(m[3]), null_passes) if m[2].upper().startswith("NOT") else value_in(field, items(m[3]))
         elif m[5] == "=":
             out &= equals(field, m[7].strip())
         elif m[5] in ("<>", "!="):
             out &= differs(field, m[7].strip())
         else:
-            out &= F.coalesce(F.expr(f"try_cast({field} as double) {m[5]} {float(m[7])}"), F.lit(False))
+            out &= F.coalesce(orders[m[5]](number(field), float(m[7].replace(",", ""))), F.lit(False))
     return out
+
+
+def normalised(text: str) -> str:
+    """A filter text as SQL: list items and values of an equation in quotes, unless they are numbers."""
+
+    def value(v: str) -> str:
+        try:
+            float(v)
+            return v
+        except ValueError:
+            return "'" + v + "'"
+
+    out = []
+    for clause in clauses(text):
+        m = _CLAUSE.match(clause)
+        if not m:
+            raise ValueError(f"not a filter clause: {clause}")
+        if m[2]:
+            out.append(f"{m[1]} {' '.join(m[2].upper().split())} ({', '.join(f'{chr(39)}{v}{chr(39)}' for v in items(m[3]))})")
+        else:
+            out.append(f"{m[4]} {m[5]} {value(m[7].strip())}")
+    return " AND ".join(out)
+
+
+def options(text: str) -> tuple[list[str], dict[str, list[str]]]:
+    """Fields and options of a rule's field text: `a|b|c;name=value;other=x,y`."""
+    first, *rest = [part.strip() for part in (text or "").split(";")]
+    given = {}
+    for part in rest:
+        name, sign, value = part.partition("=")
+        if sign and name.strip():
+            given[name.strip().lower()] = [v.strip() for v in value.split(",") if v.strip()]
+    return [f.strip() for f in first.split("|") if f.strip()], given
