@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import join_counted, shared_dir
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+#: Links that one task of a round holds at least; small tables are not spread over hundreds of files.
+TASK_LINKS = 20_000
+
+
+def _kept(df: DataFrame, rows: int) -> DataFrame:
+    """df cut off from its lineage, in as many parts as rows fill."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(1, min(parts, max(4, rows // TASK_LINKS)))).checkpoint()
+
+
+def _star(links: DataFrame, large: bool, rows: int) -> DataFrame:
     """Large star: each node's larger neighbours move to its smallest one. Small star: so do its smaller neighbours and itself."""
     seen = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         seen = seen.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         seen = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = seen.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_n")).withColumnRenamed("u", "of").checkpoint()
+    least = _kept(seen.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_n")).withColumnRenamed("u", "of"), rows)
     joined = join_counted(seen, least, "u")  # a hub's links are dealt over all tasks
     moved = joined.filter("v > u" if large else "v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.unionByName(least.filter("of <> m").select(F.col("of").alias("a"), F.col("m").alias("b")))
-    return moved.filter("a <> b").distinct().checkpoint()
+    return _kept(moved.filter("a <> b").distinct(), rows)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,9 +40,9 @@ def components(links: DataFrame) -> DataFrame:
     links = links.filter("a <> b").select("a", "b").distinct().checkpoint()
     mark = None
     while True:
-        links = _star(_star(links, True), False)
         now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == mark:
             break
         mark = now
+        links = _star(_star(links, True, now[0]), False, now[0])
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

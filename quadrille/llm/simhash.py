@@ -343,7 +343,8 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int = 5, similarity:
     small_batches(docs.sparkSession)
     known = sets.select("doc_id", "n", F.element_at("bands", BANDS + 1).alias("bits"), F.slice("bands", 1, BANDS).alias("bands"))
     alike = known.groupBy(F.col("bits").alias("of")).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
-    cells = known.select("bits", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("cell"), F.col("bits").alias("fp")).distinct()
+    cells = known.select("bits", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("cell"), F.col("bits").alias("fp"))
+    cells = cells.repartition("cell").dropDuplicates(["cell", "fp"])  # dealt once, for the distinct rows and for the cells
     loose = components(cell_links(cells, LOOSE_BITS))
     named = alike.join(loose, F.col("of") == F.col("node"), "left").select("of", "_n", F.coalesce("root", "of").alias("grp")).checkpoint()
     dealt = join_counted(known.select("doc_id", "n", "bits"), named, "bits").select("doc_id", "n", "grp").checkpoint()
