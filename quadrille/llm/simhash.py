@@ -372,7 +372,12 @@ def drop_near_copies(docs: DataFrame, shingle: int = 4, bits: int = 4, words: in
     worded = numbered.filter(F.col("own.text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("row").alias("doc_id"), F.col("own.text").alias("text"))
     sketches = staged(texts(worded).mapInArrow(_sketches(shingle, words), "doc_id long, fp long, n long, same binary, bands array<long>"), "sketches")
     sets = sketches.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"), F.first("bands").alias("bands")).checkpoint()
-    near = grouped(sketches.select("doc_id", "fp"), bits).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    prints = sketches.groupBy(F.col("fp").alias("of")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_n")).checkpoint()
+    same_print = join_counted(sketches.select(F.col("doc_id").alias("a"), "fp"), prints, "fp").select("a", F.col("least").alias("b"))
+    # links of fingerprints as links of rows: many of them may lead to one, so that side's links are counted
+    found = links(prints.select(F.col("of").alias("fp")), bits).checkpoint()
+    hubs = found.groupBy(F.col("b").alias("of")).agg(F.count(F.lit(1)).alias("_n")).join(prints.select("of", "least"), "of").checkpoint()
+    near = join_counted(found, hubs, "b").select("a", F.col("least").alias("first")).join(prints, F.col("a") == F.col("of")).select(F.col("least").alias("a"), F.col("first").alias("b")).unionByName(same_print)
     equal = join_counted(sketches.select(F.col("doc_id").alias("a"), "same"), sets.select(F.col("same").alias("of"), "_n", F.col("doc_id").alias("b")), "same").select("a", "b")
     groups = components(near.unionByName(equal).unionByName(similar_links(worded, sets, words, similarity)))
     ids = numbered.select(F.col("row").alias("member"), F.col("own.doc_id").alias("id"))
