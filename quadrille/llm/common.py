@@ -83,16 +83,16 @@ HOT_KEYS = 1000
 HOT_ROWS = 1000
 
 
-def join_counted(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", hot_keys: int = HOT_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", hot_keys: int = HOT_KEYS, hot_rows: int = HOT_ROWS, totals: tuple | None = None) -> DataFrame:
     """rows and what facts knows of their key: facts has one row a key (`of`), the number `_n` of its rows and values.
 
     Keys that have over one in hot_keys of all rows (and over hot_rows), and so fewer keys than hot_keys, are broadcast,
     and their rows are dealt over all tasks by number; the other keys' rows meet them by a shuffle, where none has more
     than that share. Rows must be numbered alike whenever they are read again, as staged, checkpointed and scanned
-    tables are. A null key, and one that facts lacks, has null values (how = "left") or no row ("inner").
+    tables are. A null key, and one that facts lacks, has null values (how = "left") or no row ("inner"). totals: sum and greatest of `_n`, where they are known.
     """
     values = [c for c in facts.columns if c not in ("of", "_n")]
-    total, top = facts.agg(F.sum("_n"), F.max("_n")).first()
+    total, top = totals or facts.agg(F.sum("_n"), F.max("_n")).first()
     often_from = max(hot_rows, int(total or 0) // hot_keys)
     if (top or 0) <= often_from and how == "inner":
         told = facts.select(F.col("of").alias("_of"), F.struct(*values).alias("_known"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import join_counted, shared_dir
@@ -12,37 +12,46 @@ from quadrille.llm.common import join_counted, shared_dir
 TASK_LINKS = 20_000
 
 
-def _kept(df: DataFrame, rows: int) -> DataFrame:
-    """df cut off from its lineage, in as many parts as rows fill."""
+def _mark() -> tuple[Column, Column]:
+    """How many links there are and a sum over them, alike for equal links only."""
+    return F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
+
+
+def _kept(df: DataFrame, rows: int, *totals: Column) -> tuple[DataFrame, tuple]:
+    """df cut off from its lineage, in as many parts as rows fill, and totals of it that the same job takes."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(max(1, min(parts, max(4, rows // TASK_LINKS)))).checkpoint()
+    seen = Observation()
+    kept = df.observe(seen, *(t.alias(f"_{k}") for k, t in enumerate(totals))).coalesce(max(1, min(parts, max(4, rows // TASK_LINKS)))).checkpoint()
+    return kept, tuple(seen.get[f"_{k}"] for k in range(len(totals)))
 
 
-def _star(links: DataFrame, large: bool, rows: int) -> DataFrame:
-    """Large star: each node's larger neighbours move to its smallest one. Small star: so do its smaller neighbours and itself."""
+def _star(links: DataFrame, large: bool, rows: int) -> tuple[DataFrame, tuple]:
+    """Large star: each node's larger neighbours move to its smallest one. Small star: so do its smaller neighbours and
+    itself. Links and their mark: how many they are and a sum over them."""
     seen = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         seen = seen.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         seen = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = _kept(seen.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_n")).withColumnRenamed("u", "of"), rows)
-    joined = join_counted(seen, least, "u")  # a hub's links are dealt over all tasks
+    least, totals = _kept(seen.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_n")).withColumnRenamed("u", "of"), rows, F.sum("_n"), F.max("_n"))
+    joined = join_counted(seen, least, "u", totals=totals)  # a hub's links are dealt over all tasks
     moved = joined.filter("v > u" if large else "v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.unionByName(least.filter("of <> m").select(F.col("of").alias("a"), F.col("m").alias("b")))
-    return _kept(moved.filter("a <> b").distinct(), rows)
+    return _kept(moved.filter("a <> b").distinct(), rows, *_mark())
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root for each node of links (a, b): root is the smallest node that it reaches. Rounds go on until none
     changes a link; each is cut off by a checkpoint, and hubs are aggregated before they are joined."""
     shared_dir(links.sparkSession)
-    links = links.filter("a <> b").select("a", "b").distinct().checkpoint()
-    mark = None
-    while True:
-        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    seen = Observation()
+    links = links.filter("a <> b").select("a", "b").distinct().observe(seen, *(t.alias(f"_{k}") for k, t in enumerate(_mark()))).checkpoint()
+    mark = tuple(seen.get[f"_{k}"] for k in range(2))
+    while mark[0]:
+        links, _ = _star(links, True, mark[0])
+        links, now = _star(links, False, mark[0])
         if now == mark:
             break
         mark = now
-        links = _star(_star(links, True, now[0]), False, now[0])
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

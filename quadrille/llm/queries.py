@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import decontamination, exact_dedup, language_id, secrets, sentencepiece_codec, sharding, simhash, token_files, toxicity, warc
+from quadrille.llm import decontamination, exact_dedup, language_id, minhash, secrets, sentencepiece_codec, sharding, simhash, token_files, toxicity, warc
 from quadrille.llm.common import table
 
 
@@ -64,13 +64,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit_profiles(docs.filter(~held_out))).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_token_files, op4_sharding, op5_warc, op6_toxicity, op7_exact_dedup, op8_decontamination, op9_secrets, op10_language, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_token_files, op4_sharding, op5_warc, op6_toxicity, op7_exact_dedup, op8_decontamination, op9_secrets, op10_language, op13_minhash, pipeline)}
 
 #: SimHash, language profiles, token files, checksums (crc32), base 32 and the classifiers are beyond DuckDB's SQL.
 ORACLE_SQL = {
@@ -79,4 +83,17 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)
     """,
+    "op13_minhash": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 3 THEN list_filter([array_to_string(words, ' ')], lambda x: x <> '') ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingle
+            FROM w
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+        FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, n
+    """,
 }

@@ -258,3 +258,19 @@ def label_model(rows, share, rounds=30):
         odds = [math.log(share / (1 - share)) + sum(w * told[r[a], a] for a, w in own.items()) for r, own in zip(rows, weight)]
         post = [1 / (1 + math.exp(-max(-30.0, min(30.0, o)))) for o in odds]
     return post
+
+
+def op13(docs, size=3, part=85, whole=100):
+    own = [shingles(t, size) for _, t in docs]
+    group = list(range(len(docs)))
+    for k, s in enumerate(own):
+        for j, t in enumerate(own[:k]):
+            if s and t and whole * len(s & t) >= part * len(s | t):
+                old, new = max(group[k], group[j]), min(group[k], group[j])
+                group = [new if x == old else x for x in group]
+    out = []
+    for k, (doc_id, _) in enumerate(docs):
+        ids = [d for j, (d, _) in enumerate(docs) if group[j] == group[k] and d is not None]
+        least = min(ids) if ids else None
+        out.append((doc_id, len(own[k]), least, doc_id == least))
+    return out
