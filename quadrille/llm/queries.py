@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import decontamination, exact_dedup, language_id, minhash, secrets, sentencepiece_codec, sharding, simhash, token_files, toxicity, warc
+from quadrille.llm import decontamination, exact_dedup, language_id, merkle, minhash, secrets, sentencepiece_codec, sharding, simhash, token_files, toxicity, warc
 from quadrille.llm.common import table
 
 
@@ -64,6 +64,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit_profiles(docs.filter(~held_out))).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(changed, merkle.leaf_of(n_chars=F.col("n_chars") + 1)).otherwise(merkle.leaf_of())
+    proofs = merkle.manifest(docs, start=tampered).proofs()
+    found = proofs.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"), merkle.folded(F.col("start"), F.col("proof")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -74,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_token_files, op4_sharding, op5_warc, op6_toxicity, op7_exact_dedup, op8_decontamination, op9_secrets, op10_language, op13_minhash, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_token_files, op4_sharding, op5_warc, op6_toxicity, op7_exact_dedup, op8_decontamination, op9_secrets, op10_language, op12_manifest, op13_minhash, pipeline)}
 
 #: SimHash, language profiles, token files, checksums (crc32), base 32 and the classifiers are beyond DuckDB's SQL.
 ORACLE_SQL = {
@@ -83,6 +92,52 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)
     """,
+    "op12_manifest": r"""
+        WITH RECURSIVE crc AS (
+            SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc % 2 = 1 THEN xor(acc // 2, 3988292384) ELSE acc // 2 END) AS inverted
+            FROM documents
+        ),
+        d AS (
+            SELECT documents.*, coalesce(xor(inverted, 4294967295) % 7 = 0, false) AS changed FROM documents LEFT JOIN crc ON crc.doc_id = documents.doc_id
+        ),
+        leaves AS (
+            SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, sha256(before || coalesce(octet_length(encode((n_chars)::VARCHAR)) || ':' || (n_chars)::VARCHAR, '-') || after) AS leaf,
+                sha256(before || coalesce(octet_length(encode((CASE WHEN changed THEN n_chars + 1 ELSE n_chars END)::VARCHAR)) || ':' || (CASE WHEN changed THEN n_chars + 1 ELSE n_chars END)::VARCHAR, '-') || after) AS start
+            FROM (SELECT *, coalesce(octet_length(encode((doc_id)::VARCHAR)) || ':' || (doc_id)::VARCHAR, '-') || coalesce(octet_length(encode((source)::VARCHAR)) || ':' || (source)::VARCHAR, '-') || coalesce(octet_length(encode((lang)::VARCHAR)) || ':' || (lang)::VARCHAR, '-') AS before, coalesce(octet_length(encode((text)::VARCHAR)) || ':' || (text)::VARCHAR, '-') AS after FROM d)
+        ),
+        level AS (
+            SELECT lang, 0 AS height, pos, leaf AS digest, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+            UNION ALL
+            SELECT lang, height + 1, pos // 2, sha256(digest || coalesce(next, '')), (n + 1) // 2
+            FROM (SELECT *, lead(digest) OVER (PARTITION BY lang, height ORDER BY pos) AS next FROM level WHERE n > 1)
+            WHERE pos % 2 = 0
+        ),
+        subroots AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS nth FROM level WHERE n = 1),
+        upper AS (
+            SELECT 0 AS height, nth AS pos, subroot AS digest, count(*) OVER () AS n FROM subroots
+            UNION ALL
+            SELECT height + 1, pos // 2, sha256(digest || coalesce(next, '')), (n + 1) // 2 FROM (SELECT *, lead(digest) OVER (PARTITION BY height ORDER BY pos) AS next FROM upper WHERE n > 1) WHERE pos % 2 = 0
+        ),
+        climb AS (
+            SELECT doc_id, leaf, lang, 0 AS height, pos, '' AS proof, start AS folded, (SELECT max(n) FROM level WHERE level.lang IS NOT DISTINCT FROM leaves.lang AND level.height = 0) AS n FROM leaves
+            UNION ALL
+            SELECT doc_id, leaf, climb.lang, climb.height + 1, climb.pos // 2, proof || coalesce(level.digest, ''),
+                sha256(CASE WHEN climb.pos % 2 = 1 THEN level.digest || folded ELSE folded || coalesce(level.digest, '') END), (climb.n + 1) // 2
+            FROM climb LEFT JOIN level ON level.lang IS NOT DISTINCT FROM climb.lang AND level.height = climb.height AND level.pos = xor(climb.pos, 1)
+            WHERE climb.n > 1
+        ),
+        final AS (
+            SELECT doc_id, leaf, subroot, 0 AS height, nth AS pos, proof, folded, (SELECT count(*) FROM subroots) AS n FROM climb JOIN subroots ON climb.lang IS NOT DISTINCT FROM subroots.lang WHERE climb.n = 1
+            UNION ALL
+            SELECT doc_id, leaf, subroot, final.height + 1, final.pos // 2, proof || coalesce(upper.digest, ''),
+                sha256(CASE WHEN final.pos % 2 = 1 THEN upper.digest || folded ELSE folded || coalesce(upper.digest, '') END), (final.n + 1) // 2
+            FROM final LEFT JOIN upper ON upper.height = final.height AND upper.pos = xor(final.pos, 1)
+            WHERE final.n > 1
+        )
+        SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified
+        FROM final, (SELECT digest FROM upper WHERE n = 1) WHERE final.n = 1
+    """,
     "op13_minhash": r"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
         s AS (

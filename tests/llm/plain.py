@@ -274,3 +274,38 @@ def op13(docs, size=3, part=85, whole=100):
         least = min(ids) if ids else None
         out.append((doc_id, len(own[k]), least, doc_id == least))
     return out
+
+
+def op12(rows):
+    """rows: doc_id, source, lang, n_chars, text."""
+
+    def h(*parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def leaf(row):
+        return h(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([h(*out[-1][i : i + 2]) for i in range(0, len(out[-1]), 2)])
+        return out
+
+    def siblings(tree, pos):
+        return [(pos >> k & 1, (level[(pos >> k) ^ 1 : ((pos >> k) ^ 1) + 1] or [None])[0]) for k, level in enumerate(tree[:-1])]
+
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    groups = [sorted((r for r in rows if r[2] == lang), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for lang in langs]
+    trees = [levels([leaf(r) for r in g]) for g in groups]
+    over = levels([t[-1][0] for t in trees])
+    out = []
+    for k, (g, tree) in enumerate(zip(groups, trees)):
+        for pos, r in enumerate(g):
+            path = siblings(tree, pos) + siblings(over, k)
+            changed = r[0] is not None and r[3] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0
+            folded = leaf(r[:3] + (r[3] + 1,) + r[4:]) if changed else leaf(r)
+            for right, other in path:
+                folded = h(folded) if other is None else h(other, folded) if right else h(folded, other)
+            root = over[-1][0]
+            out.append((r[0], leaf(r), tree[-1][0], root, h(*(o for _, o in path if o)), folded, folded == root))
+    return out
