@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import decontamination, exact_dedup, language_id, merkle, minhash, secrets, sentencepiece_codec, sharding, simhash, token_files, toxicity, warc
+from quadrille.llm import decontamination, exact_dedup, language_id, merkle, minhash, search, secrets, sentencepiece_codec, sharding, simhash, token_files, toxicity, warc
 from quadrille.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit_profiles(docs.filter(~held_out))).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -83,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_token_files, op4_sharding, op5_warc, op6_toxicity, op7_exact_dedup, op8_decontamination, op9_secrets, op10_language, op12_manifest, op13_minhash, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_token_files, op4_sharding, op5_warc, op6_toxicity, op7_exact_dedup, op8_decontamination, op9_secrets, op10_language, op11_search, op12_manifest, op13_minhash, pipeline)}
 
 #: SimHash, language profiles, token files, checksums (crc32), base 32 and the classifiers are beyond DuckDB's SQL.
 ORACLE_SQL = {
@@ -92,6 +96,24 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)
     """,
+    "op11_search": r"""
+        WITH d AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+        ),
+        q AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ),
+        whole AS (SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_terms FROM d),
+        lengths AS (SELECT doc_id, 75 + (25 * count(*) * n_docs) // n_terms AS m FROM d, whole GROUP BY doc_id, n_docs, n_terms),
+        times AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+        weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM times, whole GROUP BY term, n_docs),
+        scores AS (
+            SELECT item_id, doc_id, sum(asked * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+            FROM (SELECT item_id, term, count(*) AS asked FROM q GROUP BY item_id, term) JOIN times USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id)
+            GROUP BY item_id, doc_id
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 20
+    """,
     "op12_manifest": r"""
         WITH RECURSIVE crc AS (
             SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),

@@ -309,3 +309,20 @@ def op12(rows):
             root = over[-1][0]
             out.append((r[0], leaf(r), tree[-1][0], root, h(*(o for _, o in path if o)), folded, folded == root))
     return out
+
+
+def op11(docs, items, k=20):
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    own = [(d, Counter(terms(t))) for d, t in docs if terms(t)]
+    n_docs, total = len(own), sum(sum(c.values()) for _, c in own)
+    df = Counter(w for _, c in own for w in c)
+    out = []
+    for item, text in items:
+        asked, found = Counter(terms(text)), []
+        for doc_id, c in own:
+            m = 75 + (25 * sum(c.values()) * n_docs) // total
+            score = sum(n * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * ((1_000_000_000 * c[w]) // (1000 * c[w] + 12 * m)) for w, n in asked.items() if w in c)
+            if score:
+                found.append((-score, doc_id is None, doc_id or 0, doc_id))
+        out += [(item, rank, f[3], -f[0]) for rank, f in enumerate(sorted(found, key=lambda f: f[:3])[:k], 1)]
+    return out
