@@ -203,6 +203,19 @@ def path_distance(v: Column, path: Column) -> Column:
     return F.array_min(F.transform(g.sides(path), lambda s: side_distance(v, s)))
 
 
+def path_nearest(v: Column, path: Column) -> Column:
+    """d, x, y: how far a point lies from a line or ring, to nine digits, and the nearest point of it (of several the
+    first by x and y); null for one without sides."""
+
+    def of(s):
+        dx, dy = s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]
+        along = F.coalesce(F.try_divide((v["x"] - s["p"]["x"]) * dx + (v["y"] - s["p"]["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+        at = bound(F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)), lambda t: F.struct((s["p"]["x"] + t * dx).alias("x"), (s["p"]["y"] + t * dy).alias("y")))
+        return bound(at, lambda n: F.struct(F.round(F.sqrt(F.pow(v["x"] - n["x"], 2) + F.pow(v["y"] - n["y"], 2)), 9).alias("d"), n["x"].alias("x"), n["y"].alias("y")))
+
+    return F.array_min(F.transform(g.sides(path), of))
+
+
 def rings_distance(v: Column, rings: Column) -> Column:
     """How far a point lies from a polygon; 0 in it."""
     return F.when(holds(rings, v), 0.0).otherwise(F.array_min(F.transform(rings, lambda ring: path_distance(v, ring))))

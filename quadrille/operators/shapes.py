@@ -334,18 +334,19 @@ def ends(paths: DataFrame) -> DataFrame:
     return paths.filter(F.size("path") > 1).select("fid", F.explode(each).alias("e")).select("fid", "e.side", "e.v.x", "e.v.y")
 
 
-def loose_ends(paths: DataFrame, reach: float) -> DataFrame:
-    """fid, side, measure, at_end: ends within reach of another line, but of no other line's end within a hundredth of it:
-    how far the nearest such line (of equally near ones the first) is, and whether its nearest point is one of its ends."""
+def loose_ends(paths: DataFrame, reach: float, joined: float = 0.001) -> DataFrame:
+    """fid, side, measure, at_end: of each line the first end (start before end) that lies nearer than reach to another
+    line, but joins none: its distance from the nearest line (of equally near ones the first), and whether the nearest
+    point of that is one of its ends (an overshoot; else an undershoot). What is nearer than `joined` is joined, at an
+    end or anywhere else on a line."""
     every = ends(paths)
-    away = o.path_distance(_vertex("a"), c("b.path"))
     near = r.box_join(r.as_boxes(every), lines(paths), grow=reach, condition=c("a.fid") != c("b.fid"))
-    rows = near.select(c("a.fid").alias("fid"), c("a.side").alias("side"), c("b.fid").alias("other"), _vertex("a").alias("v"), c("b.path").alias("path"), _where(away, lambda d: d <= reach, "d"))
     gap = lambda v, w: F.sqrt(F.pow(v["x"] - w["x"], 2) + F.pow(v["y"] - w["y"], 2))
-    to_end = F.least(gap(c("v"), F.get("path", F.lit(0))), gap(c("v"), F.element_at("path", -1)))
-    told = rows.select("fid", "side", F.struct(F.round("d", 9).alias("d"), "other", (to_end <= c("d") + 1e-9).alias("at_end")).alias("n"), to_end.alias("to_end"))
-    least = told.groupBy("fid", "side").agg(F.min("n").alias("n"), F.min("to_end").alias("to_end"))
-    return least.filter(c("to_end") > reach / 100).select("fid", "side", c("n.d").alias("measure"), c("n.at_end").alias("at_end"))
+    found = near.select(c("a.fid").alias("fid"), c("a.side").alias("side"), c("b.fid").alias("other"), c("b.path").alias("path"), _where(o.path_nearest(_vertex("a"), c("b.path")), lambda n: n["d"] < reach, "n"))
+    at_end = F.least(gap(c("n"), F.get("path", F.lit(0))), gap(c("n"), F.element_at("path", -1))) < joined
+    least = found.groupBy("fid", "side").agg(F.min(F.struct(c("n.d").alias("d"), "other", at_end.alias("at_end"))).alias("n"))
+    first = least.filter(c("n.d") >= joined).groupBy("fid").agg(F.max_by(F.struct("side", "n"), "side").alias("e"))  # 'start' comes after 'end' by letters
+    return first.select("fid", "e.side", c("e.n.d").alias("measure"), c("e.n.at_end").alias("at_end"))
 
 
 def sharp_bends(paths: DataFrame, below: float) -> DataFrame:

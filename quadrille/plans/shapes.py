@@ -257,14 +257,21 @@ def rel_polygon_not_contain_point_shapes(spark, sf_dir):
     return found.select(F.col("polygon").alias("fid"), F.col("point").alias("related_fid"))
 
 
-LOOSE = L.with_layers("ends") + PATHS + ENDS_OF + f""", d AS (SELECT a.fid, a.side, b.fid AS other, (SELECT min({_apart('a.x', 'a.y', 't')}) FROM le t WHERE t.fid = b.fid) AS d, least(sqrt((a.x - b.xa) ** 2 + (a.y - b.ya) ** 2), sqrt((a.x - b.xb) ** 2 + (a.y - b.yb) ** 2)) AS to_end
-        FROM en a JOIN (SELECT bl.*, w.xb, w.yb FROM bl JOIN w ON w.fid = bl.fid) b ON a.fid <> b.fid AND a.x BETWEEN b.x1 - 2 AND b.x2 + 2 AND a.y BETWEEN b.y1 - 2 AND b.y2 + 2),
-    n AS (SELECT fid, side, min(d) AS measure, arg_min(to_end <= d + 1e-9, (round(d, 9), other)) AS at_end, min(to_end) AS to_end FROM d WHERE d <= 2 GROUP BY fid, side) SELECT fid, side, round(measure, 6) AS measure FROM n WHERE to_end > 0.02 AND {{}}at_end"""
+def _nearest(x: str, y: str, t: str) -> str:
+    """The distance of (x, y) from side t and the point of t that has it."""
+    at = f"greatest(0, least(1, coalesce((({x} - {t}.px) * ({t}.qx - {t}.px) + ({y} - {t}.py) * ({t}.qy - {t}.py)) / nullif(({t}.qx - {t}.px) ** 2 + ({t}.qy - {t}.py) ** 2, 0)::DOUBLE, 0)))"
+    return f"{{{{d: round({_apart(x, y, t)}, 9), x: {t}.px + {at} * ({t}.qx - {t}.px), y: {t}.py + {at} * ({t}.qy - {t}.py)}}}}"
+
+
+LOOSE = L.with_layers("ends") + PATHS + ENDS_OF + f""", d AS (SELECT a.fid, a.side, b.fid AS other, b.xa, b.ya, b.xb, b.yb, (SELECT min({_nearest('a.x', 'a.y', 't')}) FROM le t WHERE t.fid = b.fid) AS n
+        FROM en a JOIN (SELECT bl.*, w.xa, w.ya, w.xb, w.yb FROM bl JOIN w ON w.fid = bl.fid) b ON a.fid <> b.fid AND a.x BETWEEN b.x1 - 2 AND b.x2 + 2 AND a.y BETWEEN b.y1 - 2 AND b.y2 + 2),
+    s AS (SELECT fid, side, n.d AS measure, least(sqrt((n.x - xa) ** 2 + (n.y - ya) ** 2), sqrt((n.x - xb) ** 2 + (n.y - yb) ** 2)) < 0.001 AS at_end FROM d QUALIFY row_number() OVER (PARTITION BY fid, side ORDER BY n.d, other) = 1),
+    f AS (SELECT * FROM s WHERE measure >= 0.001 AND measure < 2 QUALIFY row_number() OVER (PARTITION BY fid ORDER BY side DESC) = 1) SELECT fid, side, round(measure, 6) AS measure FROM f WHERE {{}}at_end"""
 
 
 @query(LOOSE.format(""))
 def geom_overshoot_paths(spark, sf_dir):
-    """Ends beside another line of any direction, whose nearest point of it is one of its ends."""
+    """Ends that join no other line, beside one whose nearest point is one of its ends."""
     return _measured(s.loose_ends(L.paths(spark, sf_dir), 2).filter("at_end").drop("at_end"))
 
 

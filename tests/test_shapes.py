@@ -191,3 +191,17 @@ def test_grid_join_of_unlike_boxes(spark):
     got = {(x["a"]["fid"], x["b"]["fid"]) for x in r.box_join(small, big, size=8).filter("b.fid < -1").collect()}
     expected = {(x["fid"], -3) for x in small.filter("x1 <= 90000 AND x2 >= 3000 AND y1 <= 2000 AND y2 >= 2000").collect()}
     assert got == expected and r.box_join(small, big, size=8).filter("b.fid = -1").count() == 100_000
+
+
+def test_loose_ends(spark):
+    at = lambda *v: [{"x": float(x), "y": float(y)} for x, y in v]
+    rows = [
+        (1, at((0, 0), (10, 0))), (2, at((5, 0), (5, 5))),  # a T-junction: joined
+        (3, at((100, 0), (110, 0))), (4, at((105, 0.5), (105, 9))),  # half a unit short of a line's middle
+        (5, at((200, 0), (210, 0))), (6, at((210.4, 0.3), (220, 0))),  # beside a line's end
+        (7, at((300, 0), (310, 0))), (8, at((310, 0), (320, 0))),  # end to end
+        (9, at((400, 0), (401.5, 0))), (10, at((399, 0), (395, 0))), (11, at((402, 0), (406, 0))),  # both ends loose: the start counts
+    ]
+    found = s.loose_ends(spark.createDataFrame(rows, "fid long, path array<struct<x:double,y:double>>"), 2)
+    got = {r["fid"]: (r["side"], round(r["measure"], 6), r["at_end"]) for r in found.collect()}
+    assert got == {4: ("start", 0.5, False), 5: ("end", 0.5, True), 6: ("start", 0.5, True), 9: ("start", 1.0, True), 10: ("start", 1.0, True), 11: ("start", 0.5, True)}
