@@ -44,6 +44,7 @@ LAYER_SQL["kinds"] = f"kinds(kind, ring, nth, dx, dy) AS (VALUES {_VERTICES})"
 LAYER_SQL["shapes_a"] = _shape_sql("a", "part", "p_partkey", "p_partkey % 100 * 10", "p_partkey // 100 * 10")
 #: Outlines as sets of sides, whichever way they run: of shapes_a and of copies of every third.
 LAYER_SQL["twins"] = "twins AS (SELECT fid, list_sort(list((least((px, py), (qx, qy)), greatest((px, py), (qx, qy))))) AS outline FROM (SELECT fid, px, py, qx, qy FROM ea UNION ALL SELECT fid + 1000000, qx, qy, px, py FROM ea WHERE fid % 3 = 0) GROUP BY fid)"
+LAYER_SQL["forks"] = "forks AS (SELECT p_partkey AS fid, p_partkey % 100 * 10 AS x, p_partkey // 100 * 10 AS y FROM part), prongs AS (SELECT dx, dy FROM generate_series(0, 11) AS a(dx), generate_series(0, 11) AS b(dy) WHERE dy < 3 OR dx < 4 OR dx >= 8)"
 LAYER_SQL["shapes_b"] = _shape_sql("b", "supplier", "s_suppkey", "s_suppkey * 37 % 1000", "s_suppkey * 53 % 200")
 
 
@@ -139,6 +140,13 @@ def shapes_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shapes(read(spark, sf_dir, "part"), "p_partkey", k % 100 * 10, F.floor(k / 100) * 10, F.col("p_brand").alias("brand"))
 
 
+def forks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fork of two prongs for each part, over its neighbours; `prongs` has its unit squares."""
+    k = F.col("p_partkey")
+    at = [point(k % 100 * 10 + x, F.floor(k / 100) * 10 + y) for x, y in [*KINDS[4][0], KINDS[4][0][0]]]
+    return read(spark, sf_dir, "part").select(k.alias("fid"), F.array(F.array(*at)).alias("rings"))
+
+
 def shapes_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     return _shapes(read(spark, sf_dir, "supplier"), "s_suppkey", k * 37 % 1000, k * 53 % 200)
