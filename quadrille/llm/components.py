@@ -12,46 +12,42 @@ from quadrille.llm.common import join_counted, shared_dir
 TASK_LINKS = 20_000
 
 
-def _mark() -> tuple[Column, Column]:
-    """How many links there are and a sum over them, alike for equal links only."""
-    return F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
+def kept(df: DataFrame, rows: int | None = None, *more: Column) -> tuple[DataFrame, tuple]:
+    """df cut off from its lineage, and what the same job finds: sum and greatest of `_n`, then more. With rows, in as
+    many parts as these fill."""
+    seen = Observation()
+    totals = (F.sum("_n"), F.max("_n"), *more)
+    df = df.observe(seen, *(t.alias(f"_{k}") for k, t in enumerate(totals)))
+    if rows is not None:
+        df = df.coalesce(max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(4, rows // TASK_LINKS))))
+    df = df.checkpoint()
+    return df, tuple(seen.get[f"_{k}"] or 0 for k in range(len(totals)))
 
 
-def _kept(df: DataFrame, rows: int, *totals: Column) -> tuple[DataFrame, tuple]:
-    """df cut off from its lineage, in as many parts as rows fill, and totals of it that the same job takes."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = Observation()
-    kept = df.observe(seen, *(t.alias(f"_{k}") for k, t in enumerate(totals))).coalesce(max(1, min(parts, max(4, rows // TASK_LINKS)))).checkpoint()
-    return kept, tuple(seen.get[f"_{k}"] for k in range(len(totals)))
-
-
-def _star(links: DataFrame, large: bool, rows: int) -> tuple[DataFrame, tuple]:
-    """Large star: each node's larger neighbours move to its smallest one. Small star: so do its smaller neighbours and
-    itself. Links and their mark: how many they are and a sum over them."""
-    seen = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if large:
-        seen = seen.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    else:
-        seen = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least, totals = _kept(seen.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_n")).withColumnRenamed("u", "of"), rows, F.sum("_n"), F.max("_n"))
-    joined = join_counted(seen, least, "u", totals=totals)  # a hub's links are dealt over all tasks
-    moved = joined.filter("v > u" if large else "v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    if not large:
-        moved = moved.unionByName(least.filter("of <> m").select(F.col("of").alias("a"), F.col("m").alias("b")))
-    return _kept(moved.filter("a <> b").distinct(), rows, *_mark())
+def _least(seen: DataFrame, rows: int, *more: Column) -> tuple[DataFrame, tuple]:
+    return kept(seen.groupBy(F.col("u").alias("of")).agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_n")), rows, *more)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root for each node of links (a, b): root is the smallest node that it reaches. Rounds go on until none
-    changes a link; each is cut off by a checkpoint, and hubs are aggregated before they are joined."""
-    shared_dir(links.sparkSession)
-    seen = Observation()
-    links = links.filter("a <> b").select("a", "b").distinct().observe(seen, *(t.alias(f"_{k}") for k, t in enumerate(_mark()))).checkpoint()
-    mark = tuple(seen.get[f"_{k}"] for k in range(2))
-    while mark[0]:
-        links, _ = _star(links, True, mark[0])
-        links, now = _star(links, False, mark[0])
-        if now == mark:
+    """node, root for each node of links (a, b): root is the smallest node that it reaches.
+
+    A round is a large star (each node's larger neighbours move to its smallest one) and a small star (so do its smaller
+    neighbours and itself). Rounds go on until links are stars: until no node has a smaller neighbour beside another
+    one. Each step is cut off by a checkpoint, and hubs are aggregated before they are joined.
+    """
+    spark = links.sparkSession
+    shared_dir(spark)
+    links, (rows, _) = kept(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().withColumn("_n", F.lit(1)))
+    while True:
+        seen = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least, (total, top, between) = _least(seen, rows, F.count_if((F.col("m") < F.col("of")) & (F.col("_n") > 1)))
+        if not between:
             break
-        mark = now
+        seen = join_counted(seen, least, "u", totals=(total, top)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        seen, _ = kept(seen.withColumn("_n", F.lit(1)), rows)  # as many links as before, equal ones among them
+        seen = seen.select("u", "v")
+        least, totals = _least(seen, rows)
+        moved = join_counted(seen, least, "u", totals=totals).filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        moved = moved.unionByName(least.select(F.col("of").alias("a"), F.col("m").alias("b")))
+        links, (rows, _) = kept(moved.distinct().withColumn("_n", F.lit(1)), rows)
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import join_counted, small_batches, staged, texts
-from quadrille.llm.components import components
+from quadrille.llm.components import components, kept
 
 ROWS = 6  # coordinates of a band
 _SCATTER, _TURN, _LAST, _MIX = np.random.default_rng(13).integers(1 << 62, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
@@ -173,11 +173,11 @@ def similar_links(rows: DataFrame, sets: DataFrame, words: int, similarity: tupl
     task of its own; only members of loose groups move their shingles.
     """
     cells = sets.select("row", F.explode("cells").alias("cell"))
-    shared = cells.groupBy(F.col("cell").alias("of")).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").checkpoint()
-    chained = join_counted(cells, shared, "cell").filter("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    shared, totals = kept(cells.groupBy(F.col("cell").alias("of")).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    chained = join_counted(cells, shared, "cell", totals=totals).filter("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
     members = components(chained).join(sets.select("row", "n"), F.col("node") == F.col("row")).select("row", "n", F.col("root").alias("grp")).checkpoint()
-    sizes = members.groupBy(F.col("grp").alias("of")).agg(F.count(F.lit(1)).alias("_n"), F.ceil(F.sum(F.col("n") + 50) / block_shingles).cast("int").alias("blocks")).checkpoint()
-    dealt = join_counted(members, sizes, "grp").select(F.col("row").alias("member"), "grp", "blocks")
+    sizes, totals = kept(members.groupBy(F.col("grp").alias("of")).agg(F.count(F.lit(1)).alias("_n"), F.ceil(F.sum(F.col("n") + 50) / block_shingles).cast("int").alias("blocks")))
+    dealt = join_counted(members, sizes, "grp", totals=totals).select(F.col("row").alias("member"), "grp", "blocks")
     whole = rows.join(dealt, F.col("row") == F.col("member")).select("row", "grp", "blocks", "text").mapInArrow(_sets(words), "row long, grp long, blocks int, shingles array<long>")
     own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     pair = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j) + 1))
@@ -202,8 +202,8 @@ def near_groups(docs: DataFrame, words: int = 3, similarity: tuple[int, int] = (
     sets = sketches.filter("n > 0").groupBy("same").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"), F.first("cells").alias("cells")).checkpoint()
     roots = components(similar_links(numbered.select("row", "text"), sets, words, similarity, block_shingles))
     rooted = sets.select("same", "row", "least", F.col("_n").alias("times")).join(roots, F.col("row") == F.col("node"), "left").select("same", "least", "times", F.coalesce("root", "row").alias("root")).checkpoint()
-    named = rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_n")).checkpoint()
-    known = join_counted(rooted, named, "root").select(F.col("same").alias("of"), F.col("times").alias("_n"), "component_id", F.lit(True).alias("found")).checkpoint()
-    told = join_counted(sketches.select("doc_id", "n", "same"), known, "same", "left")  # large groups of copies are dealt over all tasks
+    named, totals = kept(rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_n")))
+    known, totals = kept(join_counted(rooted, named, "root", totals=totals).select(F.col("same").alias("of"), F.col("times").alias("_n"), "component_id", F.lit(True).alias("found")))
+    told = join_counted(sketches.select("doc_id", "n", "same"), known, "same", "left", totals=totals)  # large groups of copies are dealt over all tasks
     own = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
     return told.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))

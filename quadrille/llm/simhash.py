@@ -8,45 +8,27 @@ Rows of a cell meet by an equi-join's shuffle and their fingerprints are compare
 of a spanning forest, not all pairs, so groups of many near copies stay in proportion to their rows.
 
 The grid serves a few bits only. Texts of a similarity (Jaccard, sets of shingles of five words) of 0.8 lie about ten
-bits apart, and further where they repeat shingles differently often, so `similar_links` finds them otherwise: min-hash
-bands of the sets give cells, cells and a wide bound on one bit of each of 64 min-hashes give loose groups, and within
-each loose group the sets of shingles are compared exactly. Fingerprints have no part in it.
+bits apart, and further where they repeat shingles differently often, so the pipeline's stage finds those through
+min-hash bands (see minhash): fingerprints have no part in that.
 """
 
 from __future__ import annotations
 
-import hashlib
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import join_counted, shared_dir, small_batches, staged, texts
-from quadrille.llm.components import components
+from quadrille.llm.components import components, kept
+from quadrille.llm.minhash import cells_of, digest_of, shingle_hashes, similar_links
 
 SEGMENTS = 16  # of two bits, in each half
 _POW = 3 ** np.arange(SEGMENTS, dtype=np.int64)
 _HALF = 3**SEGMENTS
 _SHORT = 24
-BANDS, BAND_ROWS = 24, 4  # a pair of similarity 0.8 shares no band once in 300,000
-LOOSE_BITS = 20  # of 64 min-hash bits, each of which differs with a chance of (1 - similarity) / 2: at 0.8 more differ once in two million
-_SEEDS = np.random.default_rng(42).integers(1, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
-
-
-def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
-    """XXH64 of each shingle, repeats included. Fewer than `shingle` words: one shingle; no word: none."""
-    words = (text or "").encode().lower().split()  # white space here is \x20 and \x09-\x0D
-    if not words:
-        return np.zeros(0, np.uint64)
-    h, joined = xxhash.xxh64_intdigest, b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([h(joined, seed)], np.uint64)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    return np.array([h(joined[i:j], seed) for i, j in zip((ends - size).tolist(), ends[shingle - 1 :].tolist())], np.uint64)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -62,23 +44,6 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return majority(shingle_hashes(text, shingle, seed))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One number a band, of the least values of hashes under BAND_ROWS orders; then one of a bit each of the first 64 least values."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(hashes), 1 << 14):
-        part = hashes[k : k + (1 << 14)]
-        for i, (flip, by) in enumerate(_SEEDS.T):
-            least[i] = min(least[i], ((part ^ flip) * by).min())
-    out = np.zeros(BANDS, np.uint64)
-    for row in least.reshape(BANDS, BAND_ROWS).T:
-        out = (out ^ (row >> np.uint64(29)) ^ row) * _SEEDS[1, 0]
-    mixed = least[:64]
-    for by in _SEEDS[1, :2]:
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * by
-    bits = ((mixed >> np.uint64(63)) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64)
-    return np.append(out, bits).view(np.int64)
-
-
 def _fingerprints(shingle: int, seed: int):
     def run(batches):
         for batch in batches:
@@ -88,17 +53,16 @@ def _fingerprints(shingle: int, seed: int):
     return run
 
 
-def _sketches(shingle: int, words: int = 5):
-    """fp: of shingles of `shingle` words; n, same, bands: size, digest and bands of the set of shingles of `words` words."""
+def _sketches(shingle: int, words: int, bands: int):
+    """fp: of shingles of `shingle` words; n, same, cells: size, digest and bands of the set of shingles of `words` words."""
 
     def run(batches):
         for batch in batches:
             own = batch.column("text").to_pylist()
             prints = np.array([fingerprint(t, shingle) for t in own], np.uint64).view(np.int64)
             sets = [np.unique(shingle_hashes(t, words)) for t in own]
-            sizes = pa.array([len(h) for h in sets], pa.int64())
-            same = pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints), sizes, same, pa.array([bands(h) for h in sets], pa.list_(pa.int64()))], names=["doc_id", "fp", "n", "same", "bands"])
+            columns = [pa.array([len(h) for h in sets], pa.int64()), pa.array([digest_of(h) for h in sets], pa.binary()), pa.array([cells_of(h, bands) for h in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(prints), *columns], names=["row", "fp", "n", "same", "cells"])
 
     return run
 
@@ -247,139 +211,34 @@ def grouped(prints: DataFrame, bits: int) -> DataFrame:
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).checkpoint()
     roots = components(links(distinct, bits))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rows", "least", F.coalesce("root", "fp").alias("root")).checkpoint()
-    named = rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_n")).checkpoint()
-    named = join_counted(rooted, named, "root").select(F.col("fp").alias("of"), F.col("rows").alias("_n"), "component_id").checkpoint()
-    return join_counted(prints, named, "fp").select("doc_id", "fp", "component_id")
-
-
-def _sets(words: int):
-    def run(batches):
-        for batch in batches:
-            sets = pa.array([np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "grp", "blocks")] + [sets], names=["doc_id", "grp", "blocks", "shingles"])
-
-    return run
-
+    named, totals = kept(rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_n")))
+    named, totals = kept(join_counted(rooted, named, "root", totals=totals).select(F.col("fp").alias("of"), F.col("rows").alias("_n"), "component_id"))
+    return join_counted(prints, named, "fp", totals=totals).select("doc_id", "fp", "component_id")
 
-def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that join exactly what pairs of a similarity of at least `similarity` join: a member and its group's first one.
 
-    Sets are ordered from their rarest shingle on. Two sets of that similarity share one of the first
-    size - ceil(similarity * size) + 1 of each, so only sets that do are compared.
-    """
-    size = np.array([len(x) for x in sets])
-    starts = np.concatenate([[0], np.cumsum(size)])
-    _, flat, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(times), np.int64)
-    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
-    owner = np.repeat(np.arange(len(sets)), size)
-    flat = rank[flat]
-    flat = flat[np.lexsort((flat, owner))]
-    head = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
-    heads = np.arange(len(flat)) - starts[owner] < head[owner]
-    order = np.argsort(flat[heads], kind="stable")
-    posted, at = owner[heads][order], np.searchsorted(flat[heads][order], np.arange(len(times) + 1))
-
-    def spans(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-
-    mark, left, out = np.zeros(len(times), bool), np.ones(len(sets), bool), []
-    n_left = len(sets)
-    for first in range(len(sets)):
-        if not left[first]:
-            continue
-        left[first] = False
-        n_left -= 1
-        edge = [first]
-        while edge and n_left:
-            x = edge.pop()
-            own = flat[starts[x] : starts[x + 1]]
-            tokens = own[: head[x]]
-            near = np.unique(posted[spans(at[tokens], at[tokens + 1] - at[tokens])])
-            near = near[left[near] & (np.minimum(size[near], size[x]) >= similarity * np.maximum(size[near], size[x]) - 1e-9)]
-            if not len(near):
-                continue
-            mark[own] = True
-            shared = np.add.reduceat(mark[flat[spans(starts[near], size[near])]], np.concatenate([[0], np.cumsum(size[near])[:-1]]), dtype=np.int64)
-            mark[own] = False
-            near = near[shared >= similarity * (size[near] + size[x] - shared) - 1e-9]
-            out += [(int(ids[y]), int(ids[first])) for y in near]
-            edge += near.tolist()
-            left[near] = False
-            n_left -= len(near)
-    return out
-
-
-def _verified(similarity: float):
-    def of(rows):
-        pairs = similar_forest(np.array([r[0] for r in rows]), [r[1] for r in rows], similarity)
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    def run(batches):
-        at, held = None, []
-        for batch in batches:
-            sets = batch.column("shingles")
-            for k, (cell, doc_id) in enumerate(zip(batch.column("cell").to_pylist(), batch.column("doc_id").to_pylist())):
-                if cell != at and len(held) > 1:
-                    yield of(held)
-                if cell != at:
-                    at, held = cell, []
-                held.append((doc_id, sets[k].values.to_numpy(zero_copy_only=False)))
-        if len(held) > 1:
-            yield of(held)
-
-    return run
-
-
-def similar_links(docs: DataFrame, sets: DataFrame, words: int = 5, similarity: float = 0.8, block_shingles: int = 1_000_000) -> DataFrame:
-    """a, b: links of doc_ids whose components are those of all pairs with a similarity of at least `similarity`.
-
-    sets has one row for each set of shingles that occurs: doc_id (of one of its texts in docs), its size n and bands;
-    so however many texts share a set, one of them stands for all. A pair of similarity 0.8 is not found once in
-    260,000 (see BANDS and LOOSE_BITS), one of 0.9 practically always; how often texts repeat a shingle does not matter.
-    Loose groups that hold more than block_shingles shingles are cut into blocks, and each pair of blocks meets in a
-    task of its own. Only members of loose groups move their texts' shingles.
-    """
-    small_batches(docs.sparkSession)
-    known = sets.select("doc_id", "n", F.element_at("bands", BANDS + 1).alias("bits"), F.slice("bands", 1, BANDS).alias("bands"))
-    alike = known.groupBy(F.col("bits").alias("of")).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
-    cells = known.select("bits", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("cell"), F.col("bits").alias("fp"))
-    cells = cells.repartition("cell").dropDuplicates(["cell", "fp"])  # dealt once, for the distinct rows and for the cells
-    loose = components(cell_links(cells, LOOSE_BITS))
-    named = alike.join(loose, F.col("of") == F.col("node"), "left").select("of", "_n", F.coalesce("root", "of").alias("grp")).checkpoint()
-    dealt = join_counted(known.select("doc_id", "n", "bits"), named, "bits").select("doc_id", "n", "grp").checkpoint()
-    sizes = dealt.groupBy(F.col("grp").alias("of")).agg(F.count(F.lit(1)).alias("_n"), F.ceil(F.sum(F.col("n") + 50) / block_shingles).cast("int").alias("blocks")).filter("_n > 1").checkpoint()
-    members = join_counted(dealt, sizes, "grp").select(F.col("doc_id").alias("member"), "grp", "blocks").checkpoint()
-    whole = texts(docs).join(members, F.col("doc_id") == F.col("member")).select("doc_id", "grp", "blocks", "text").mapInArrow(_sets(words), "doc_id long, grp long, blocks int, shingles array<long>").filter(F.size("shingles") > 0)
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    pair = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j) + 1))
-    met = whole.select("doc_id", "shingles", "grp", F.explode(pair).alias("pair")).select(F.xxhash64("grp", "pair").alias("cell"), "doc_id", "shingles")
-    return met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verified(similarity), "a long, b long")
-
-
-def drop_near_copies(docs: DataFrame, shingle: int = 4, bits: int = 4, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 4, bits: int = 4, words: int = 5, similarity: tuple[int, int] = (4, 5), bands: int = 64) -> DataFrame:
     """docs with one row of each group of near copies, that with the smallest doc_id; columns as they are, whatever their names.
 
     Near copies are texts whose fingerprints (shingles of `shingle` words) differ in at most `bits` bits, or whose sets
-    of shingles of `words` words have a similarity (Jaccard) of at least `similarity`. Each row is judged by its own
-    text, also where rows share a doc_id. Rows without a doc_id are grouped like others, but count among themselves: of
-    a group's rows without a doc_id one stays, beside the one of the smallest doc_id. Of equal ids any one stays. Rows
-    without words (null, empty, white space) stay; an empty table gives no rows. docs is staged once with a number for
-    each row.
+    of shingles of `words` words have a similarity (Jaccard) of at least `similarity`, a fraction. Each row is judged by
+    its own text, also where rows share a doc_id. Rows without a doc_id are grouped like others, but count among
+    themselves: of a group's rows without a doc_id one stays, beside the one of the smallest doc_id. Of equal ids any one
+    stays. Rows without words (null, empty, white space) stay; an empty table gives no rows. docs is staged once with a
+    number for each row.
     """
     small_batches(docs.sparkSession)
     numbered = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("own")), "rows")
-    worded = numbered.filter(F.col("own.text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("row").alias("doc_id"), F.col("own.text").alias("text"))
-    sketches = staged(texts(worded).mapInArrow(_sketches(shingle, words), "doc_id long, fp long, n long, same binary, bands array<long>"), "sketches")
-    sets = sketches.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"), F.first("bands").alias("bands")).checkpoint()
-    prints = sketches.groupBy(F.col("fp").alias("of")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_n")).checkpoint()
-    same_print = join_counted(sketches.select(F.col("doc_id").alias("a"), "fp"), prints, "fp").select("a", F.col("least").alias("b"))
+    worded = numbered.filter(F.col("own.text").rlike(r"[^\x20\x09-\x0D]")).select("row", F.col("own.text").cast("string").alias("text"))
+    sketches = staged(worded.mapInArrow(_sketches(shingle, words, bands), "row long, fp long, n long, same binary, cells array<long>"), "sketches")
+    sets, set_totals = kept(sketches.groupBy("same").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"), F.first("cells").alias("cells")))
+    prints, print_totals = kept(sketches.groupBy(F.col("fp").alias("of")).agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("_n")))
+    same_print = join_counted(sketches.select(F.col("row").alias("a"), "fp"), prints, "fp", totals=print_totals).select("a", F.col("least").alias("b"))
     # links of fingerprints as links of rows: many of them may lead to one, so that side's links are counted
     found = links(prints.select(F.col("of").alias("fp")), bits).checkpoint()
-    hubs = found.groupBy(F.col("b").alias("of")).agg(F.count(F.lit(1)).alias("_n")).join(prints.select("of", "least"), "of").checkpoint()
-    near = join_counted(found, hubs, "b").select("a", F.col("least").alias("first")).join(prints, F.col("a") == F.col("of")).select(F.col("least").alias("a"), F.col("first").alias("b")).unionByName(same_print)
-    equal = join_counted(sketches.select(F.col("doc_id").alias("a"), "same"), sets.select(F.col("same").alias("of"), "_n", F.col("doc_id").alias("b")), "same").select("a", "b")
-    groups = components(near.unionByName(equal).unionByName(similar_links(worded, sets, words, similarity)))
+    hubs, hub_totals = kept(found.groupBy(F.col("b").alias("of")).agg(F.count(F.lit(1)).alias("_n")).join(prints.select("of", "least"), "of"))
+    near = join_counted(found, hubs, "b", totals=hub_totals).select("a", F.col("least").alias("first")).join(prints, F.col("a") == F.col("of")).select(F.col("least").alias("a"), F.col("first").alias("b"))
+    equal = join_counted(sketches.select(F.col("row").alias("a"), "same"), sets.select(F.col("same").alias("of"), "_n", F.col("row").alias("b")), "same", totals=set_totals).select("a", "b")
+    groups = components(near.unionByName(same_print).unionByName(equal).unionByName(similar_links(worded, sets, words, similarity)))
     ids = numbered.select(F.col("row").alias("member"), F.col("own.doc_id").alias("id"))
     members = groups.join(ids, F.col("node") == F.col("member")).select("member", "root", "id").checkpoint()
     stay = members.groupBy("root", F.col("id").isNull()).agg(F.min(F.struct("id", "member"))["member"].alias("stays"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadrille.llm import decontamination, exact_dedup, simhash, toxicity
+from quadrille.llm import decontamination, exact_dedup, minhash, simhash, toxicity
 from tests.llm import plain
 
 SF = "/root/testdata/sf0.001"
@@ -61,9 +61,10 @@ def test_near_copies_of_similarity(spark):
     rows = spark.createDataFrame(docs, "doc_id long, text string")
     expected = sorted(plain.near_kept(docs))
     assert len(expected) < len(docs) and ids(simhash.drop_near_copies(rows)) == expected
-    sketches = rows.mapInArrow(simhash._sketches(4), "doc_id long, fp long, n long, same binary, bands array<long>").dropDuplicates(["same"])
-    whole = simhash.similar_links(rows, sketches).filter("a <> b")
-    cut = simhash.similar_links(rows, sketches, block_shingles=900).filter("a <> b")  # groups in blocks
+    rows = rows.withColumnRenamed("doc_id", "row")
+    sketches = rows.mapInArrow(simhash._sketches(4, 5, 64), "row long, fp long, n long, same binary, cells array<long>").dropDuplicates(["same"]).checkpoint()
+    whole = minhash.similar_links(rows, sketches, 5, (4, 5))
+    cut = minhash.similar_links(rows, sketches, 5, (4, 5), block_shingles=900)  # groups in blocks
     assert simhash.components(whole).filter("node <> root").count() == simhash.components(cut).filter("node <> root").count() > 0
 
 
@@ -129,15 +130,7 @@ def test_similar_forest_is_exact():
         for _ in range(rng.integers(1, 5)):
             sets.append(np.unique(np.where(rng.random(len(base)) < 0.08, rng.integers(0, 2000, len(base)), base)))
     near = [(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
-    assert near and groups(simhash.similar_forest(np.arange(len(sets)), sets, 0.8), len(sets)) == groups(near, len(sets))
-
-
-def test_min_hash_bits_differ_as_stated():
-    rng = np.random.default_rng(4)
-    for n in (5, 40, 300):  # of similarity 0.8: one set lacks a fifth of the other
-        whole = rng.integers(0, 1 << 63, (300, n), dtype=np.uint64)
-        off = [int(np.bitwise_count(np.bitwise_xor(*(simhash.bands(x).view(np.uint64)[-1] for x in (w, w[: n * 4 // 5]))))) for w in whole]
-        assert 5.5 < np.mean(off) < 7.3 and max(off) <= simhash.LOOSE_BITS
+    assert near and groups(minhash.similar_forest(np.arange(len(sets)), sets, (4, 5)), len(sets)) == groups(near, len(sets))
 
 
 def groups(pairs, n):
