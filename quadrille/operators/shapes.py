@@ -300,14 +300,6 @@ def union_area(layer: DataFrame) -> DataFrame:
     return union_pieces(layer).agg(F.count(F.lit(1)).alias("pieces"), F.coalesce(F.sum(area), F.lit(0.0)).alias("area"))
 
 
-def gaps(layer: DataFrame, tolerance: float = 0) -> DataFrame:
-    """measure: one row where the box of all polygons (two at least) has more than the tolerance that none covers."""
-    box = polygons(layer).agg(F.count(F.lit(1)).alias("n"), *[f(k).alias(k) for k, f in zip(BOX, (F.min, F.min, F.max, F.max))])
-    both = box.unionByName(union_area(layer).select("area"), allowMissingColumns=True)
-    both = both.agg(*[F.max(k).alias(k) for k in ("n", *BOX, "area")])
-    return both.filter("n > 1").select(((c("x2") - c("x1")) * (c("y2") - c("y1")) - c("area")).alias("measure")).filter(c("measure") > tolerance)
-
-
 # --- nearness and turns -----------------------------------------------------------------------------------------
 
 

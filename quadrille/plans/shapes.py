@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quadrille.operators import dissolve
 from quadrille.operators import relation as r
 from quadrille.operators import shapes as s
 from quadrille.plans.registry import query
@@ -176,7 +177,7 @@ def rel_polygon_within_polygon_union(spark, sf_dir):
 
 @query(BOXES + ", " + UNIT.format("boxes_a", "boxes_b") + " SELECT CAST((max(a.x2) - min(a.x1)) * (max(a.y2) - min(a.y1)) - (SELECT count(*) FROM (SELECT DISTINCT x, y FROM q)) AS DOUBLE) AS measure FROM boxes_a a")
 def topo_must_not_have_gaps(spark, sf_dir):
-    return _measured(s.gaps(s.boxes(L.boxes_a(spark, sf_dir))))
+    return _measured(dissolve.gaps(s.boxes(L.boxes_a(spark, sf_dir))))
 
 
 @query(BOXES + ", " + UNIT.format("boxes_b", "boxes_a") + " SELECT CAST(count(*) AS DOUBLE) AS area FROM (SELECT DISTINCT x, y FROM q)")

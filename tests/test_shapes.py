@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.functions import overlay as o
+from quadrille.operators import dissolve
 from quadrille.operators import relation as r
 from quadrille.operators import shapes as s
 
@@ -141,8 +142,8 @@ def test_unions(drawn):
     assert abs(s.union_area(db).first()["area"] - float(slab_area(others, union))) < 1e-6
     every = [(int(v["x"]), int(v["y"])) for _, x in b for v in x[0]]
     box = (max(x for x, _ in every) - min(x for x, _ in every)) * (max(y for _, y in every) - min(y for _, y in every))
-    assert abs(s.gaps(db).first()["measure"] - (box - float(slab_area(others, union)))) < 1e-6
-    assert s.gaps(db.filter("fid = 10")).isEmpty() and s.gaps(db.filter("fid in (10, 11)")).isEmpty()
+    assert abs(dissolve.gaps(db).first()["measure"] - (box - float(slab_area(others, union)))) < 1e-6
+    assert dissolve.gaps(db.filter("fid = 10")).isEmpty() and dissolve.gaps(db.filter("fid in (10, 11)")).isEmpty()
     # two neighbours cover jointly what neither does alone
     probe = db.sparkSession.createDataFrame([(1, [ring((4, 3), (8, 3), (8, 5), (4, 5))])], f"fid long, rings {RINGS}")
     assert s.polygons_within(probe, db.filter("fid in (10, 11)")).isEmpty() and not s.polygons_within(probe, db.filter("fid = 10")).isEmpty()
@@ -174,7 +175,7 @@ def test_points_and_touching(spark, drawn):
 def test_null_and_empty_shapes(spark):
     rows = spark.createDataFrame([(1, None), (2, []), (3, [[]]), (4, [ring((0, 0), (4, 0), (4, 4))])], f"fid long, rings {RINGS}")
     assert [tuple(x) for x in s.overlaps(rows, rows).collect()] == [(4, 4, 8.0)]
-    assert s.overlaps(rows.filter("fid < 4"), rows).isEmpty() and s.gaps(rows.limit(0)).isEmpty()
+    assert s.overlaps(rows.filter("fid < 4"), rows).isEmpty() and dissolve.gaps(rows.limit(0)).isEmpty()
     assert {x["fid"]: x["measure"] for x in s.uncovered(rows, rows.limit(0)).collect()}[4] == 8.0
 
 
