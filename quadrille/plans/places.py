@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from quadrille.functions import crs
+from quadrille.operators import cluster
 from quadrille.plans.registry import query
 from quadrille.sources import layers as L
 
@@ -44,3 +45,25 @@ def crs_transform(spark, sf_dir):
     wide = crs.transform_layer(points, 5186, 5179).select("fid", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
     degrees = crs.transform_layer(points, 5186, 4737).select(F.col("fid").alias("_fid"), F.round("x", 8).alias("lon"), F.round("y", 8).alias("lat"))
     return wide.join(degrees, F.col("fid") == F.col("_fid")).select("fid", "lon", "lat", "x", "y")
+
+
+@query(
+    L.with_layers("pts").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, e AS (SELECT fid AS nth, x::DOUBLE AS x, y::DOUBLE AS y, kind AS type, CASE fid % 7 WHEN 0 THEN 'CRIT' WHEN 1 THEN 'MAJOR' WHEN 2 THEN 'odd' WHEN 3 THEN 'MINOR' ELSE 'INFO' END AS severity FROM pts),
+    scan AS (
+        SELECT min(nth) AS nth, [{nth: min(nth), x: arg_min(x, nth), y: arg_min(y, nth)}] AS seeds FROM e
+        UNION ALL
+        SELECT n.nth, list_append(seeds, {nth: n.nth, x: n.x, y: n.y}) FROM scan, LATERAL (SELECT min(e.nth) AS nth, arg_min(e.x, e.nth) AS x, arg_min(e.y, e.nth) AS y FROM e WHERE e.nth > scan.nth AND len(list_filter(seeds, lambda s: sqrt((s.x - e.x) ** 2 + (s.y - e.y) ** 2) <= 60)) = 0) AS n
+        WHERE n.nth IS NOT NULL),
+    seeds AS (SELECT unnest(seeds, recursive := true) FROM (SELECT seeds FROM scan ORDER BY len(seeds) DESC LIMIT 1)),
+    told AS (SELECT e.*, (SELECT min(s.nth) FROM seeds s WHERE sqrt((s.x - e.x) ** 2 + (s.y - e.y) ** 2) <= 60) AS cluster FROM e),
+    kinds AS (SELECT cluster, type, count(*) AS n, min(nth) AS first FROM told GROUP BY ALL)
+    SELECT cluster, count(*) AS size, round(avg(x), 6) AS x, round(avg(y), 6) AS y, (SELECT type FROM kinds k WHERE k.cluster = told.cluster ORDER BY n DESC, first LIMIT 1) AS type,
+        arg_max(severity, (coalesce(list_position(['INFO', 'MINOR', 'MAJOR', 'CRIT'], severity), 0), -nth)) AS severity FROM told GROUP BY cluster"""
+)
+def cluster_greedy(spark, sf_dir):
+    """Clusters of errors within 60 units of seeds in the order of their number."""
+    k = F.col("fid")
+    severity = F.when(k % 7 == 0, "CRIT").when(k % 7 == 1, "MAJOR").when(k % 7 == 2, "odd").when(k % 7 == 3, "MINOR").otherwise("INFO")
+    errors = L.pts(spark, sf_dir).select(k.alias("nth"), "x", "y", F.col("kind").alias("type"), severity.alias("severity"))
+    return cluster.cluster_greedy(errors, 60).withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
