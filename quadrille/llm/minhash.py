@@ -7,7 +7,7 @@ what such chains join are loose groups, and within each loose group whole sets a
 from full sets alone and a signature only decides what is compared.
 
 A pair of similarity s shares no band with a chance of (1 - s**rows)**bands (`missed`): one in 8e9 for 0.85 with 48 bands
-of 6 rows, one in 3e8 for 0.8 with 64. That chance has no exact way behind it.
+of 6 rows, one in 8e6 for 0.8 with 40 of 5. That chance has no exact way behind it.
 """
 
 from __future__ import annotations

@@ -56,4 +56,4 @@ def test_signatures_estimate_similarity():
 
 
 def test_chance_of_a_miss():
-    assert minhash.missed(0.85, 48) < 2e-10 and minhash.missed(0.8, 64) < 5e-9
+    assert minhash.missed(0.85, 48) < 2e-10 and minhash.missed(0.8, 40, 5) < 1.4e-7 and minhash.missed(0.9, 40, 5) < 1e-15

@@ -62,7 +62,7 @@ def test_near_copies_of_similarity(spark):
     expected = sorted(plain.near_kept(docs))
     assert len(expected) < len(docs) and ids(simhash.drop_near_copies(rows)) == expected
     rows = rows.withColumnRenamed("doc_id", "row")
-    sketches = rows.mapInArrow(simhash._sketches(4, 5, 64), "row long, fp long, n long, same binary, cells array<long>").dropDuplicates(["same"]).checkpoint()
+    sketches = rows.mapInArrow(simhash._sketches(4, 5, 40, 5), "row long, fp long, n long, same binary, cells array<long>").dropDuplicates(["same"]).checkpoint()
     whole = minhash.similar_links(rows, sketches, 5, (4, 5))
     cut = minhash.similar_links(rows, sketches, 5, (4, 5), block_shingles=900)  # groups in blocks
     assert simhash.components(whole).filter("node <> root").count() == simhash.components(cut).filter("node <> root").count() > 0
