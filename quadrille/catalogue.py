@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.operators import attribute
-from quadrille.plans import analytics, attributes, errors, lines, overlays, places, polygons, relations, shapes  # noqa: F401  (they register their queries)
+from quadrille.plans import analytics, attributes, errors, lines, overlays, places, polygons, relations, shapes, stores  # noqa: F401  (they register their queries)
 from quadrille.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 from quadrille.sources import layers
 
