@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from quadrille.operators import stages
 from quadrille.plans.registry import query
 from quadrille.sources import layers as L
 from quadrille.sources import store
@@ -72,3 +73,23 @@ def sink_statistics(spark, sf_dir):
 def sink_read_back(spark, sf_dir):
     """One run's errors without a place, read back from the sink."""
     return sinks.read_errors(spark, _sunk(spark, sf_dir), "r1", placed=False).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+_STAGE = """d AS (SELECT DISTINCT c_mktsegment AS table_id, 'EPSG:5186' AS crs, 'POLYGON' AS geometry_type FROM customer),
+    a AS (SELECT DISTINCT c_nationkey AS dataset, lower(c_mktsegment) AS name, CASE WHEN c_nationkey % 4 = 1 AND c_mktsegment < 'C' THEN 'EPSG:4326' ELSE 'EPSG:5186' END AS actual_crs,
+        CASE WHEN c_nationkey % 4 IN (1, 2) AND c_mktsegment > 'F' THEN NULL ELSE 'POLYGON' END AS actual_type FROM customer WHERE c_nationkey % 4 <> 3 OR c_mktsegment <> 'BUILDING'),
+    n AS (SELECT dataset, (SELECT count(*) FROM d) - count(*) AS missing, count(*) FILTER (WHERE actual_crs IS DISTINCT FROM crs) AS crs, count(*) FILTER (WHERE actual_type IS DISTINCT FROM geometry_type) AS types FROM a JOIN d ON name = lower(table_id) GROUP BY dataset)"""
+
+
+@query(f"""WITH {_STAGE} SELECT dataset, 1 AS nth, 'table_list' AS "check", CASE WHEN missing > 0 THEN 'failed' ELSE 'passed' END AS status, missing AS errors FROM n
+    UNION ALL SELECT dataset, 2, 'coordinate_system', CASE WHEN missing > 0 THEN 'skipped' WHEN crs > 0 THEN 'failed' ELSE 'passed' END, CASE WHEN missing = 0 THEN crs END FROM n
+    UNION ALL SELECT dataset, 3, 'geometry_type', CASE WHEN missing > 0 OR crs > 0 THEN 'skipped' WHEN types > 0 THEN 'failed' ELSE 'passed' END, CASE WHEN missing = 0 AND crs = 0 THEN types END FROM n""")
+def table_stage(spark, sf_dir):
+    """Checks of tables by dataset, in their order, each dataset up to its first failure."""
+    customers = L.read(spark, sf_dir, "customer")
+    k, segment = F.col("c_nationkey"), F.col("c_mktsegment")
+    declared = customers.select(segment.alias("table_id"), segment.alias("table_name"), F.lit("EPSG:5186").alias("crs"), F.lit("POLYGON").alias("geometry_type")).distinct()
+    actual = customers.filter((k % 4 != 3) | (segment != "BUILDING")).select(
+        k.alias("dataset"), F.lower(segment).alias("name"), F.when((k % 4 == 1) & (segment < "C"), "EPSG:4326").otherwise("EPSG:5186").alias("actual_crs"), F.when(~(k % 4).isin(1, 2) | (segment <= "F"), "POLYGON").alias("actual_type")
+    )
+    return stages.table_stage(declared, actual.distinct())
