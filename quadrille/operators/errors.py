@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.functions import filters
 from quadrille.functions import overlay as o
-from quadrille.operators import attribute, shapes
+from quadrille.operators import attribute, relation, shapes, topology
 
 c = F.col
 SCHEMA = "rule_id string, case_type string, table_id string, feature_id long, related_table_id string, related_feature_id long, field_name string, actual_value string, expected_value string, measure double, x double, y double, message string"
@@ -44,65 +46,197 @@ def located(found: DataFrame, layer: DataFrame, kind: str, geometry: str) -> Dat
 CASES: dict[str, Callable[..., DataFrame]] = {}
 
 
-def case_type(name: str, kind: str = "polygon", geometry: str = "rings"):
-    """Registers a check of (main layer, related layer, tolerance) that gives fid and maybe related_fid and measure."""
+@dataclass
+class Rule:
+    """What a check may need of its rule: a distance, area or angle, and the fields and options of its field text."""
+
+    tolerance: float = 0.0
+    fields: tuple[str, ...] = ()
+    options: dict[str, list[str]] = field(default_factory=dict)
+
+
+def case_type(name: str, kind: str = "polygon", geometry: str | None = "rings"):
+    """Registers a check of (main layer, related layer, rule) that gives fid and maybe related_fid and measure; without a
+    geometry it gives x and y too."""
 
     def add(f):
-        CASES[name.lower()] = lambda main, related, tolerance: located(f(main, related, tolerance), main, kind, geometry)
+        CASES[name.lower()] = lambda main, related, rule: f(main, related, rule) if geometry is None else located(f(main, related, rule), main, kind, geometry)
         return f
 
     return add
 
 
 @case_type("PolygonNotOverlap")
-def _not_overlap(main, related, tolerance):
-    return shapes.overlaps(main, related, tolerance)
+def _not_overlap(main, related, rule):
+    return shapes.overlaps(main, related, rule.tolerance)
 
 
 @case_type("PolygonNotIntersectLine")
-def _not_intersect_line(main, related, tolerance):
+def _not_intersect_line(main, related, rule):
     return shapes.lines_meet(main, related)
 
 
 @case_type("PolygonMissingLine")
-def _missing_line(main, related, tolerance):
+def _missing_line(main, related, rule):
     met = shapes.lines_meet(main, related).select(c("fid").alias("_met"))
     return main.join(met, c("fid") == c("_met"), "left_anti").select("fid")
 
 
 @case_type("PolygonWithinPolygon")
-def _within(main, related, tolerance):
-    return shapes.polygons_within(main, related, tolerance)
+def _within(main, related, rule):
+    return shapes.polygons_within(main, related, rule.tolerance)
 
 
 @case_type("PolygonNotContainPoint")
-def _not_contain_point(main, related, tolerance):
+def _not_contain_point(main, related, rule):
     return shapes.points_in(related, main).select(c("polygon").alias("fid"), c("point").alias("related_fid"))
 
 
 @case_type("LineWithinPolygon", "line", "path")
-def _line_within(main, related, tolerance):
-    return shapes.lines_within(main, related, tolerance)
+def _line_within(main, related, rule):
+    return shapes.lines_within(main, related, rule.tolerance)
 
 
 @case_type("ContourIntersection", "line", "path")
-def _contour(main, related, tolerance):
+def _contour(main, related, rule):
     return shapes.lines_share(main)
 
 
+@case_type("PointInsidePolygon")
+def _point_inside(main, related, rule):
+    """Polygons without a point."""
+    return shapes.points_and_polygons(related, main).filter("side = 'polygon'").select("fid")
+
+
+@case_type("BuildingCenterPoints")
+def _centre(main, related, rule):
+    """Polygons that hold no centre of the other layer's."""
+    return shapes.points_and_polygons(shapes.centre_points(related), main).filter("side = 'polygon'").select("fid")
+
+
+@case_type("PolygonNotWithinPolygon")
+def _not_within(main, related, rule):
+    """Polygons that lie in one of the others, or over its outline."""
+    return shapes.contained(main, related).select(c("related_fid").alias("fid"), c("fid").alias("related_fid"))
+
+
+@case_type("PolygonContainsObjects")
+def _contains(main, related, rule):
+    return shapes.contained(related, main).select("fid", "related_fid")
+
+
+@case_type("PolygonIntersectionWithAttribute")
+def _same_attribute(main, related, rule):
+    return shapes.overlaps(main, related, rule.tolerance, keys=rule.fields)
+
+
+@case_type("HoleDuplicateCheck", geometry=None)
+def _holes(main, related, rule):
+    return located(hole_duplicates(related, main), related, "polygon", "rings")
+
+
+@case_type("PolygonContainsLine", "line", "path")
+def _vertices_within(main, related, rule):
+    """Lines with a vertex that no polygon is near."""
+    return shapes.points_away(shapes.vertices(main), related, rule.tolerance, ("fid", "nth")).select("fid").distinct()
+
+
+@case_type("LineIntersectionWithAttribute", "line", "path")
+def _lines_same_attribute(main, related, rule):
+    return shapes.lines_share(main, keys=rule.fields)
+
+
+@case_type("RoadSharpBend", geometry=None)
+@case_type("ContourSharpBend", geometry=None)
+def _bends(main, related, rule):
+    """The first inner vertex of a line whose turn is below the limit, at its place."""
+    found = shapes.sharp_bends(main, rule.tolerance)
+    at = main.select(c("fid").alias("_fid"), "path")
+    return found.join(at, c("fid") == c("_fid")).select("fid", "measure", F.get("path", c("nth"))["x"].alias("x"), F.get("path", c("nth"))["y"].alias("y"))
+
+
+def _ends(layer: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
+    own = layer.select(c("fid").alias("_fid"), *fields)
+    return shapes.ends(layer).join(own, c("fid") == c("_fid")).drop("_fid") if fields else shapes.ends(layer)
+
+
+@case_type("LineEndpointWithinPolygon", geometry=None)
+def _ends_within(main, related, rule):
+    return shapes.points_away(shapes.ends(main), related, rule.tolerance, ("fid", "side")).select("fid", "x", "y")
+
+
+@case_type("LineDisconnection", geometry=None)
+def _disconnected(main, related, rule):
+    return relation.unconnected(_ends(main), rule.tolerance).select("fid", "x", "y")
+
+
+@case_type("LineDisconnectionWithAttribute", geometry=None)
+def _disconnected_attribute(main, related, rule):
+    """Ends without an end of another line of the same values near."""
+    return relation.unconnected(_ends(main, rule.fields), rule.tolerance, keys=rule.fields).select("fid", "x", "y")
+
+
+@case_type("DefectiveConnection", geometry=None)
+def _defective(main, related, rule):
+    """Ends that neither another line's end nor a polygon is near."""
+    free = relation.unconnected(_ends(main), rule.tolerance)
+    return shapes.points_away(free, related, rule.tolerance, ("fid", "side")).select("fid", "x", "y")
+
+
+@case_type("ConnectedLinesSameAttribute", geometry=None)
+def _connected_same(main, related, rule):
+    """Ends near each other whose lines have different values: numbers by more than a hundredth, else as text."""
+    number = lambda v: v.try_cast("double")
+    differ = F.lit(False)
+    for f in rule.fields:
+        a, b = c(f"a.{f}"), c(f"b.{f}")
+        differ |= F.coalesce(F.abs(number(a.cast("string")) - number(b.cast("string"))) > 0.01, ~a.cast("string").eqNullSafe(b.cast("string")))
+    pairs = relation.near_ends(_ends(main, rule.fields), rule.tolerance, condition=(c("a.fid") < c("b.fid")) & differ)
+    return pairs.groupBy(c("a.fid").alias("fid"), c("b.fid").alias("related_fid")).agg(F.min(F.struct("a.x", "a.y")).alias("at")).select("fid", "related_fid", "at.x", "at.y")
+
+
+@case_type("PointSpacingCheck", geometry=None)
+def _spacing(main, related, rule):
+    found = relation.spacing(main, F.lit(rule.tolerance), rule.tolerance)
+    at = main.select(c("fid").alias("_fid"), "x", "y")
+    return found.join(at, c("fid") == c("_fid")).select("fid", "related_fid", "measure", "x", "y")
+
+
+@case_type("PolygonBoundaryMatch", "line", "path")
+def _boundary(main, related, rule):
+    """Lines that have no polygon about them, or a vertex that no vertex of an outline is near."""
+    outlines = related.select("fid", F.get("rings", F.lit(0)).alias("ring"))
+    boxed = lambda df, of: df.withColumns(o.box_of(c(of)))
+    found = topology.boundary_mismatch(boxed(main.select("fid", "path"), "path"), boxed(outlines, "ring"), rule.tolerance)
+    return found.select("fid", c("first_vertex").cast("double").alias("measure"))
+
+
 RULE = "rule_id string, case_type string, main_table string, related_table string, tolerance double, enabled string"
 
 
+def _narrowed(layers: list[DataFrame], text: str | None) -> tuple[list[DataFrame], Rule]:
+    """Layers that a field text filters, or the fields and options that it names."""
+    try:
+        return [df.filter(filters.parsed(df, text)) if text else df for df in layers], Rule()
+    except ValueError:
+        fields, given = filters.options(text)
+        return layers, Rule(fields=tuple(fields), options=given)
+
+
 def run_relations(layers: dict[str, DataFrame], rules: DataFrame) -> DataFrame:
-    """The errors of a rule table (RULE) over layers. Rules that are not enabled, whose id begins with #, of an unknown case
-    type or a layer that is not there are passed over. A rule table is configuration: some dozens of rows."""
+    """The errors of a rule table (RULE, and maybe field_filter) over layers. Rules that are not enabled, whose id begins
+    with #, of an unknown case type or a layer that is not there are passed over. A field text that is a filter narrows
+    both layers; one that names fields and options goes to the check. A rule table is configuration: some dozens of
+    rows."""
     known = {k.lower(): v for k, v in layers.items()}
     out = None
     for rule in rules.filter("upper(enabled) = 'Y' AND NOT startswith(rule_id, '#')").orderBy("rule_id").collect():
         check, main, related = CASES.get(rule["case_type"].lower()), known.get(rule["main_table"].lower()), known.get((rule["related_table"] or "").lower())
         if check is None or main is None or related is None:
             continue
-        found = check(main, related, rule["tolerance"] or 0.0).withColumnRenamed("fid", "feature_id")
+        (main, related), own = _narrowed([main, related], rule["field_filter"] if "field_filter" in rules.columns else None)
+        own.tolerance = rule["tolerance"] or 0.0
+        found = check(main, related, own).withColumnRenamed("fid", "feature_id")
         found = found.withColumnRenamed("related_fid", "related_feature_id")
         rows = errors(found, rule_id=rule["rule_id"], case_type=rule["case_type"], table_id=rule["main_table"], related_table_id=rule["related_table"], message=rule["case_type"])
         out = rows if out is None else out.unionByName(rows)

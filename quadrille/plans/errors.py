@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quadrille.functions import codec
@@ -12,6 +14,8 @@ from quadrille.operators import shapes as s
 from quadrille.plans.registry import query
 from quadrille.plans.shapes import AREAS, LINE_MEETS, LINES_A, SAB, slabs
 from quadrille.sources import layers as L
+from quadrille.sources import rules
+from quadrille.sources.staging import shared_dir
 
 c = F.col
 
@@ -59,6 +63,19 @@ def rules_to_relation_errors(spark, sf_dir):
     return rows.select(*[F.round(k, 6).alias(k) if k in ("measure", "x", "y") else c(k) for k in rows.columns])
 
 
+@query(RELATED + "SELECT rule_id, case_type, table_id, count(*) AS n, count(DISTINCT feature_id) AS features, round(sum(measure), 4) AS measure FROM r GROUP BY ALL")
+def rules_csv_to_errors(spark, sf_dir):
+    """The rule table as a CSV file with a comment and rules that are off, read, validated and run; errors by rule."""
+    path = f"{shared_dir(spark).rstrip('/')}/rules-{uuid.uuid4().hex}"
+    lacking = {n: F.lit(None).cast("string") for n in ("main_name", "related_name", "field_filter", "note")}
+    rules.write(_rules(spark).withColumns(lacking), path, "relation")
+    table = rules.read(spark, path, "relation")
+    wrong = rules.problems(table, "relation", tuple(e.CASES)).select("rule")
+    layers = {"a": L.shapes_a(spark, sf_dir), "b": L.shapes_b(spark, sf_dir), "LINES": L.paths(spark, sf_dir)}
+    found = e.run_relations(layers, rules.active(table).join(wrong, c("rule_id") == c("rule"), "left_anti"))
+    return found.groupBy("rule_id", "case_type", "table_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("feature_id").alias("features"), F.round(F.sum("measure"), 4).alias("measure"))
+
+
 @query(RELATED + "SELECT rule_id, table_id, count(*) AS n, count(DISTINCT feature_id) AS features, round(min(x), 6) AS min_x, round(min(y), 6) AS min_y, round(max(x), 6) AS max_x, round(max(y), 6) AS max_y FROM r GROUP BY rule_id, table_id")
 def agg_error_relation(spark, sf_dir):
     found = e.counts(_found(spark, sf_dir), "rule_id", "table_id")
