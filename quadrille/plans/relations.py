@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import geometry as g
 from quadrille.operators import relation as r
+from quadrille.operators import runs
 from quadrille.plans.registry import query
 from quadrille.sources import layers as L
 
@@ -262,3 +263,12 @@ def sort_by_zorder(spark, sf_dir):
     box = p.agg(*[f(k).alias(f"{k}_{f.__name__}") for k in "xy" for f in (F.min, F.max)]).first()  # one row
     at = lambda k: F.floor((F.col(k) - box[f"{k}_min"]) * 65535.0 / max(1, box[f"{k}_max"] - box[f"{k}_min"]))
     return p.select("fid", g.morton(at("x"), at("y"), 16).alias("code")).orderBy("code", "fid")
+
+
+_CODE = " + ".join(f"((u >> {k}) & 1) * {4**k} + ((v >> {k}) & 1) * {2 * 4**k}" for k in range(16))
+
+
+@query(P + f"SELECT fid, code, row_number() OVER w - 1 AS place, ntile(16) OVER w - 1 AS run FROM (SELECT fid, {_CODE} AS code FROM (SELECT fid, {_U['x']} AS u, {_U['y']} AS v FROM pts)) WINDOW w AS (ORDER BY code, fid)")
+def sort_by_zorder_runs(spark, sf_dir):
+    """That order cut into 16 runs of equal length, each point with its place."""
+    return runs.equal_runs(sort_by_zorder(spark, sf_dir), ["code", "fid"], 16)
