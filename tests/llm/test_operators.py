@@ -4,6 +4,7 @@ import json
 import shutil
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -312,6 +313,35 @@ def test_secrets_by_reference(use):
     assert "kJ8s92bQzL1xvQ7" not in literal_texts(f"BASE=kJ8s92bQzL1xvQ7\n{use.replace('BASE', 'OTHER')}\n")
 
 
+S = "kJ8s92bQzL1xvQ7"
+TRIPLE = "'" * 3
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f'os.environ["API_KEY"] = "{S}"', f"config['db']['password'] = '{S}'", f'<add key="Password" value="{S}"/>', f'<add value="{S}" name="apiKey" />', f"<password>{S}</password>", f'<string name="api_key"> {S} </string>',
+        f'apiKey = """{S}"""', f"token = r{TRIPLE}{S}{TRIPLE}", f"const apiKey = `{S}`;", f'password: str = "{S}"', f'String secretKey = @"{S}";', f'os.getenv("API_KEY", "{S}")', f"props.setProperty('client.secret', '{S}')",
+        f"curl --password {S} http://x", f"run --api-key={S}", f"Authorization: Bearer {S}", f'headers = {{"Authorization": "Bearer {S}"}}', f"-H 'Authorization: Token {S}'", f"secret: |\n  {S}\n\n  more\nother: 1", f"  - token: >-\n      {S}\n",
+        f'# password = "{S}"', f'/* secret: "{S}" */', f'<!-- <token>{S}</token> -->', f'{{"a": {{"private_key": "{S}"}}}}', f'[a]\nbase = "{S}"\npassword = base', f'base = "{S}"\n[a]\npassword = ${{base}}', f"API_KEY={S}", f"apiKey: {S}",
+    ],
+)
+def test_secrets_of_many_syntaxes(text):
+    assert S in {t.removeprefix("Bearer ").removeprefix("Token ") for t in literal_texts(text)}
+
+
+@pytest.mark.parametrize("text", [f'colour["API"] = "{S}"', f'<add key="colour" value="{S}"/>', f'colour = """{S}"""', f'get("colour", "{S}")', f"--colour {S}", f"<b>{S}</b>", f"colour: |\n  {S}\n", f'[a]\nbase = "{S}"\n[b]\npassword = base', f"base: {S}\n---\npassword: ${{base}}"])
+def test_secrets_leave_other_names_alone(text):
+    assert S not in literal_texts(text)
+
+
+@pytest.mark.parametrize("unit", ['"""', TRIPLE + "x", "`", "<a b=", "<a>", "--a ", "a[", '("a",', "a: |\n", "Bearer ", "[a\n", "a=", 'a="', "${a", "a:b=", "- a: >\n ", "a: b[", " \n"])
+def test_secrets_of_hostile_texts_end(unit):
+    began = time.time()
+    secrets.scan("password " + unit * (120_000 // len(unit)))
+    assert time.time() - began < 10
+
+
 def test_secrets_of_many_parts_and_long_names():
     parts = [f"kJ{k:03}s92bQzL1xvQ7" for k in range(200)]
     text = "key_text = " + " + ".join(f'"{p}"' for p in parts) + "\npassword = key_text\n"
