@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import decontamination, exact_dedup, language_id, merkle, minhash, search, secrets, sentencepiece_codec, sharding, simhash, token_files, toxicity, warc
@@ -40,10 +40,15 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.normalise_archives(files), with_payload=False).drop("url", "payload")
 
 
+def _held_out(folds: int, fold: int) -> Column:
+    """A document's fold is held out; one without a doc_id has no fold and is not."""
+    return F.coalesce(language_id.fold(F.col("doc_id"), folds) == fold, F.lit(False))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (language_id.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = language_id.fold(F.col("doc_id"), 3) == 1
+    held_out = _held_out(3, 1)
     return language_id.predict(docs, language_id.fit_profiles(docs.filter(~held_out))).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
 
 

@@ -326,3 +326,14 @@ def op11(docs, items, k=20):
                 found.append((-score, doc_id is None, doc_id or 0, doc_id))
         out += [(item, rank, f[3], -f[0]) for rank, f in enumerate(sorted(found, key=lambda f: f[:3])[:k], 1)]
     return out
+
+
+def op4(docs, shards=24):
+    rows = sorted(((d, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8) for d, t in docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    total, before, out, slots = sum(r[2] for r in rows), 0, [], Counter()
+    for doc_id, crc, size in rows:
+        shard = min(shards - 1, (2 * before + size) * shards // (2 * total))  # where the row's middle byte lies
+        out.append((doc_id, size, crc, "bytes", shard, slots[shard], None))
+        slots[shard] += 1
+        before += size
+    return out

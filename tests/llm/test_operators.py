@@ -182,6 +182,18 @@ def test_sharding(docs):
         assert len(by) == 24 and max(sizes) - min(sizes) <= 2 * max(r["size"] for r in rows)
 
 
+def test_shards_and_slots(docs):
+    same(sharding.balanced_shards(docs), ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"], plain.op4(pairs(docs)))
+
+
+def test_rows_without_doc_id_are_not_held_out(spark, monkeypatch, odd, small):
+    rows = small.select("doc_id", "text", "lang").unionByName(odd.filter("doc_id IS NULL").select("doc_id", "text", "lang"))
+    tables = {"documents": rows, "labels": spark.read.parquet(f"{SF}/labels.parquet")}
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: tables[name])
+    for name in ("op6_toxicity", "op10_language"):
+        assert [r["held_out"] for r in queries.QUERIES[name](spark, "").filter("doc_id IS NULL").collect()] == [False]
+
+
 def test_warc(spark):
     pages = [(1, "http://a/ü x\r\ny", "<p>a</p>"), (2, None, None), (3, "u", ""), (4, "u", "<p>a</p>"), (7, "v", "<p>a</p>"), (5, "w", "\r\n\r\nWARC/1.1\r\n\r\n" * 3), (6, "w", "é" * 100_000), (None, "n", "<p>a</p>"), (None, "n", "alone"), (8, "r", "<p>twice</p>"), (8, "r", "<p>twice</p>"), (9, "s", "<p>tie</p>"), (9, "t", "<p>tie</p>"), (3, "x", "<p>tie</p>"), (None, None, None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("refers_to", F.lit(2))
@@ -453,4 +465,4 @@ def test_join_counted(spark, how, hot_rows):
 
 
 def test_registered():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [*(f"op{n}" for n in range(1, 14)), "pipeline"]
