@@ -53,15 +53,15 @@ def as_boxes(points: DataFrame) -> DataFrame:
     return points.withColumns({"x1": F.col("x"), "y1": F.col("y"), "x2": F.col("x"), "y2": F.col("y")})
 
 
-def box_join(a: DataFrame, b: DataFrame, size: float | None = None, grow: float = 0, condition: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+def box_join(a: DataFrame, b: DataFrame, size: float | None = None, grow: float = 0, condition: Column | None = None, keys: tuple[str, ...] = (), points: bool = False) -> DataFrame:
     """Pairs of rows, as structs a and b, whose boxes meet when a's is grown; each pair once, from the cell that has
     the lower left corner of what the boxes share. keys: columns that must be equal too.
 
     A pair meets on the grid of the coarser of its two levels. Which levels occur (some dozens at most, whatever the
-    data) and, unless given, the cell's edge are found in a pass over the boxes alone. Cells with very many rows are
-    left to AQE, which splits them.
+    data) and, unless given, the cell's edge are found in a pass over the boxes alone; points: both layers are points and the
+    size is at least twice the reach, so that none is needed. Cells with very many rows are left to AQE, which splits them.
     """
-    size, of_a, of_b = grid(a, b, grow, size)
+    size, of_a, of_b = (2.0 ** math.ceil(math.log2(max(size, 2 * grow))), [0], [0]) if points else grid(a, b, grow, size)
     own = ("home", "lv", "cx", "cy")
     pack = lambda df, name: df.select("lv", "cx", "cy", *[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("home").alias(f"{name}_home"), F.struct(*[c for c in df.columns if c not in own]).alias(name))
     left, right = pack(cells(a, size, grow, of_b), "a"), pack(cells(b, size, 0, of_a), "b")
@@ -103,25 +103,32 @@ def ends(lines: DataFrame) -> DataFrame:
     return lines.withColumn("e", F.explode(sides)).select(*[c for c in lines.columns if c not in ("xa", "ya", "xb", "yb")], "e.side", "e.x", "e.y")
 
 
-def near_ends(all_ends: DataFrame, reach: int, keys: tuple[str, ...] = (), condition: Column | None = None) -> DataFrame:
+def near_ends(all_ends: DataFrame, reach: float, keys: tuple[str, ...] = (), condition: Column | None = None) -> DataFrame:
     """Pairs of ends of different lines within reach, as structs a and b, both ways round."""
     c = F.col
     apart = F.pow(c("a.x") - c("b.x"), 2) + F.pow(c("a.y") - c("b.y"), 2)
     own = (c("a.fid") != c("b.fid")) & (apart <= reach * reach)
-    return box_join(as_boxes(all_ends), as_boxes(all_ends), size=max(8, 2 * reach), grow=reach, condition=own if condition is None else own & condition, keys=keys)
+    return box_join(as_boxes(all_ends), as_boxes(all_ends), size=max(8, 2 * reach), grow=reach, condition=own if condition is None else own & condition, keys=keys, points=True)
 
 
-def unconnected(all_ends: DataFrame, reach: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Ends that no end of another line is near."""
-    joined = near_ends(all_ends, reach, keys).select(F.col("a.fid").alias("_fid"), F.col("a.side").alias("_side")).distinct()
-    return all_ends.join(joined, (F.col("fid") == F.col("_fid")) & (F.col("side") == F.col("_side")), "left_anti")
+def unconnected(all_ends: DataFrame, reach: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Ends that no end of another line is near. Pairs are not formed: an end is in at most four cells, and stays there
+    where one other end is near. Ends have no extent, so the grid needs no pass over them."""
+    size = 2.0 ** math.ceil(math.log2(max(8, 2 * reach)))
+    own = ("fid", "side")
+    mine = cells(as_boxes(all_ends), size, reach).select("cx", "cy", "x", "y", *own, *keys)
+    others = cells(as_boxes(all_ends), size).select(*[F.col(k).alias(f"_{k}") for k in ("cx", "cy", "x", "y", "fid", *keys)])
+    meet = [F.col(k) == F.col(f"_{k}") for k in ("cx", "cy", *keys)]
+    near = (F.col("fid") != F.col("_fid")) & (F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2) <= reach * reach)
+    joined = mine.join(others, [*meet, near], "left_semi").select(*[F.col(k).alias(f"_{k}") for k in own]).distinct()
+    return all_ends.join(joined, [F.col(k) == F.col(f"_{k}") for k in own], "left_anti")
 
 
-def spacing(points: DataFrame, required: Column, reach: int) -> DataFrame:
+def spacing(points: DataFrame, required: Column, reach: float) -> DataFrame:
     """Pairs of points nearer than required (an expression on structs a and b of at most reach), but not in one place."""
     c = F.col
     d = F.sqrt(F.pow(c("a.x") - c("b.x"), 2) + F.pow(c("a.y") - c("b.y"), 2))
-    found = box_join(as_boxes(points), as_boxes(points), size=2 * reach, grow=reach, condition=(c("a.fid") < c("b.fid")) & (d > 0) & (d < required))
+    found = box_join(as_boxes(points), as_boxes(points), size=2 * reach, grow=reach, condition=(c("a.fid") < c("b.fid")) & (d > 0) & (d < required), points=True)
     return found.select(F.col("a.fid").alias("fid"), F.col("b.fid").alias("related_fid"), F.round(d, 6).alias("measure"))
 
 
