@@ -125,10 +125,10 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(k.alias("fid"), shape.alias("rings"))
 
 
-def _shapes(table: DataFrame, key: str, x, y, *more) -> DataFrame:
+def _shapes(table: DataFrame, key: str, x, y, *more, kinds=KINDS) -> DataFrame:
     ring = lambda at: F.array(*[point(x + a, y + b) for a, b in [*at, at[0]]])
-    rings, kind = None, F.col(key) % len(KINDS)
-    for n, outline in enumerate(KINDS):
+    rings, kind = None, F.col(key) % len(kinds)
+    for n, outline in enumerate(kinds):
         own = F.array(*map(ring, outline))
         rings = F.when(kind == n, own) if rings is None else rings.when(kind == n, own)
     return table.select(F.col(key).alias("fid"), rings.alias("rings"), *more)
@@ -147,6 +147,24 @@ def forks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(k.alias("fid"), F.array(F.array(*at)).alias("rings"))
 
 
+#: Squares whose holes touch the shell and each other, by fid % 4.
+LINKED = (
+    [[(0, 0), (8, 0), (8, 8), (0, 8)], [(0, 4), (4, 2), (8, 4), (4, 6)]],
+    [[(0, 0), (8, 0), (8, 8), (0, 8)], [(1, 4), (2, 2), (4, 4), (2, 6)], [(4, 4), (6, 2), (7, 4), (6, 6)]],
+    [[(0, 0), (8, 0), (8, 8), (0, 8)], [(0, 4), (2, 2), (4, 4), (2, 6)], [(4, 4), (6, 2), (8, 4), (6, 6)]],
+    [[(0, 0), (8, 0), (8, 8), (0, 8)], [(2, 2), (3, 5), (5, 3)]],
+)
+_LINKED = ", ".join(f"({k}, {n}, {i}, {x}, {y})" for k, rings in enumerate(LINKED) for n, ring in enumerate(rings) for i, (x, y) in enumerate([*ring, ring[0]]))
+LAYER_SQL["linked"] = f"""lkinds(kind, ring, nth, dx, dy) AS (VALUES {_LINKED}), v AS (SELECT p_partkey AS fid, ring, nth, p_partkey % 100 * 10 + dx AS x, p_partkey // 100 * 10 + dy AS y FROM part JOIN lkinds ON kind = p_partkey % 4),
+    e AS (SELECT fid, ring, x AS px, y AS py, lead(x) OVER w AS qx, lead(y) OVER w AS qy FROM v WINDOW w AS (PARTITION BY fid, ring ORDER BY nth) QUALIFY qx IS NOT NULL)"""
+
+
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares with holes that touch."""
+    k = F.col("p_partkey")
+    return _shapes(read(spark, sf_dir, "part"), "p_partkey", k % 100 * 10, F.floor(k / 100) * 10, kinds=LINKED)
+
+
 def shapes_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     return _shapes(read(spark, sf_dir, "supplier"), "s_suppkey", k * 37 % 1000, k * 53 % 200)
