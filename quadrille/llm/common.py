@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,49 @@ def block_count(df: DataFrame, column: str, block_bytes: int) -> int:
     return max(1, -(-int(total) // block_bytes))
 
 
+#: Facts about rows lie in a folder for each 2**CHUNK_BITS row numbers in a row, so what a task reads of them is bounded.
+CHUNK_BITS = 16
+
+
+def beside(facts: DataFrame, name: str) -> str:
+    """Writes facts (row, a long, each once; other columns) by chunks of row numbers, for tasks that pass over the rows
+    themselves (facts_of): large rows then stay where they are instead of being shuffled to a few facts."""
+    path = f"{shared_dir(facts.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    facts.withColumn("chunk", F.shiftright("row", CHUNK_BITS)).repartition("chunk").write.partitionBy("chunk").parquet(path)
+    return path
+
+
+def facts_of(path: str):
+    """For a task: a function from row numbers to a mask of those that have facts, and these facts in the same order (None
+    where no chunk has any). Only the chunks of the rows asked for last are held."""
+    import pyarrow as pa
+    from pyarrow import fs, parquet
+
+    there, place = store(path)
+    held: dict[int, pa.Table | None] = {}
+
+    def read(chunk: int) -> pa.Table | None:
+        files = there.get_file_info(fs.FileSelector(f"{place}/chunk={chunk}", allow_not_found=True))
+        found = [parquet.ParquetFile(there.open_input_file(f.path)).read() for f in files if f.path.endswith(".parquet")]
+        return pa.concat_tables(found).sort_by("row") if found else None
+
+    def of(rows: np.ndarray) -> tuple[np.ndarray, pa.Table | None]:
+        chunks = np.unique(rows >> CHUNK_BITS).tolist()
+        for chunk in set(held).difference(chunks):
+            del held[chunk]
+        for chunk in set(chunks).difference(held):
+            held[chunk] = read(chunk)
+        if not (found := [held[c] for c in chunks if held[c] is not None]):
+            return np.zeros(len(rows), bool), None
+        facts = pa.concat_tables(found)  # chunks ascend, and so do rows in each
+        known = facts.column("row").to_numpy()
+        at = np.minimum(np.searchsorted(known, rows), len(known) - 1)
+        has = known[at] == rows
+        return has, facts.take(pa.array(at[has]))
+
+    return of
+
+
 #: Joins by counted keys broadcast the keys that have over one in so many of all rows, and over a task's worth of them:
 #: fewer keys than this.
 HOT_KEYS = 1000

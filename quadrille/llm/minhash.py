@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import join_counted, small_batches, staged, texts
-from quadrille.llm.components import components, kept
+from quadrille.llm.common import beside, facts_of, join_counted, small_batches, staged, texts
+from quadrille.llm.components import components, fitted, kept
 
 ROWS = 6  # coordinates of a band
 _SCATTER, _TURN, _LAST, _MIX = np.random.default_rng(13).integers(1 << 62, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
@@ -143,6 +143,21 @@ def _sets(words: int):
     return run
 
 
+def _sets_beside(words: int, path: str):
+    """_sets of the rows (row, text) that have facts (grp, blocks) in path."""
+
+    def met(batches):
+        known = facts_of(path)
+        for batch in batches:
+            has, facts = known(batch.column("row").to_numpy())
+            if facts is not None and len(facts):
+                own = batch.filter(pa.array(has))
+                columns = [own.column("row"), *(facts.column(c).combine_chunks() for c in ("grp", "blocks")), own.column("text")]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "grp", "blocks", "text"])
+
+    return lambda batches: _sets(words)(met(batches))
+
+
 def _verified(similarity: tuple[int, int]):
     def of(held):
         pairs = similar_forest(np.array([r[0] for r in held]), [r[1] for r in held], similarity)
@@ -164,21 +179,28 @@ def _verified(similarity: tuple[int, int]):
     return run
 
 
-def similar_links(rows: DataFrame, sets: DataFrame, words: int, similarity: tuple[int, int], block_shingles: int = 1_000_000) -> DataFrame:
+def similar_links(rows: DataFrame, sets: DataFrame, words: int, similarity: tuple[int, int], block_shingles: int = 1_000_000, in_place: bool = False, n_sets: int | None = None) -> DataFrame:
     """a, b: links of rows whose components are those of all pairs with at least that similarity (a fraction).
 
     rows (row, text) has the texts. sets (checkpointed) has one row for each set of shingles that occurs, not empty: row
     (of one of its texts), its size n and its cells; so however many texts share a set, one of them stands for all.
     Loose groups that hold more than block_shingles shingles are cut into blocks, and each pair of blocks meets in a
-    task of its own; only members of loose groups move their shingles.
+    task of its own; only members of loose groups move their shingles. in_place: rows come from a staged table whose numbers
+    ascend, and its tasks read the groups that lie beside it, so no text is shuffled. n_sets: how many sets there are,
+    where that is known; small tables are then kept in as few parts as they fill.
     """
     cells = sets.select("row", F.explode("cells").alias("cell"))
-    shared, totals = kept(cells.groupBy(F.col("cell").alias("of")).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    shared, totals = kept(cells.groupBy(F.col("cell").alias("of")).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), n_sets)
     chained = join_counted(cells, shared, "cell", totals=totals).filter("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
-    members = components(chained).join(sets.select("row", "n"), F.col("node") == F.col("row")).select("row", "n", F.col("root").alias("grp")).checkpoint()
-    sizes, totals = kept(members.groupBy(F.col("grp").alias("of")).agg(F.count(F.lit(1)).alias("_n"), F.ceil(F.sum(F.col("n") + 50) / block_shingles).cast("int").alias("blocks")))
+    members = fitted(components(chained, n_sets).join(sets.select("row", "n"), F.col("node") == F.col("row")).select("row", "n", F.col("root").alias("grp")), n_sets).checkpoint()
+    sizes, totals = kept(members.groupBy(F.col("grp").alias("of")).agg(F.count(F.lit(1)).alias("_n"), F.ceil(F.sum(F.col("n") + 50) / block_shingles).cast("int").alias("blocks")), n_sets)
     dealt = join_counted(members, sizes, "grp", totals=totals).select(F.col("row").alias("member"), "grp", "blocks")
-    whole = rows.join(dealt, F.col("row") == F.col("member")).select("row", "grp", "blocks", "text").mapInArrow(_sets(words), "row long, grp long, blocks int, shingles array<long>")
+    kinds = "row long, grp long, blocks int, shingles array<long>"
+    if in_place:
+        path = beside(dealt.select(F.col("member").alias("row"), "grp", "blocks"), "loose-groups")
+        whole = rows.select("row", "text").mapInArrow(_sets_beside(words, path), kinds)
+    else:
+        whole = rows.join(dealt, F.col("row") == F.col("member")).select("row", "grp", "blocks", "text").mapInArrow(_sets(words), kinds)
     own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     pair = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j) + 1))
     met = whole.select("row", "shingles", "grp", F.explode(pair).alias("pair")).select(F.xxhash64("grp", "pair").alias("cell"), "row", "shingles")

@@ -18,11 +18,11 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import join_counted, shared_dir, small_batches, staged, texts
-from quadrille.llm.components import components, kept
+from quadrille.llm.common import beside, facts_of, join_counted, shared_dir, small_batches, staged, texts
+from quadrille.llm.components import components, fitted, kept
 from quadrille.llm.minhash import cells_of, digest_of, shingle_hashes, similar_links
 
 SEGMENTS = 16  # of two bits, in each half
@@ -67,6 +67,18 @@ def _sketches(shingle: int, words: int, bands: int, band_rows: int):
     return run
 
 
+def _without(path: str):
+    """Rows that have no facts in path, with all their columns."""
+
+    def run(batches):
+        known = facts_of(path)
+        for batch in batches:
+            has, _ = known(batch.column("row").to_numpy())
+            yield batch.filter(pa.array(~has)) if has.any() else batch
+
+    return run
+
+
 def points(fps: np.ndarray) -> np.ndarray:
     """Counts of set bits by segment, one row a fingerprint."""
     two = np.arange(2 * SEGMENTS, dtype=np.uint64) * np.uint64(2)
@@ -225,23 +237,36 @@ def drop_near_copies(docs: DataFrame, shingle: int = 4, bits: int = 4, words: in
     its own text, also where rows share a doc_id. Rows without a doc_id are grouped like others, but count among
     themselves: of a group's rows without a doc_id one stays, beside the one of the smallest doc_id. Of equal ids any one
     stays. Rows without words (null, empty, white space) stay; an empty table gives no rows. docs is staged once with a
-    number for each row.
+    number for each row, and is not shuffled: tasks that pass over it read what is known of their rows (common.beside).
+    Links and groups are kept in as many parts as they fill, each table by a job of its own.
     """
     small_batches(docs.sparkSession)
     numbered = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("own")), "rows")
     worded = numbered.filter(F.col("own.text").rlike(r"[^\x20\x09-\x0D]")).select("row", F.col("own.text").cast("string").alias("text"))
-    sketches = staged(worded.mapInArrow(_sketches(shingle, words, bands, band_rows), "row long, fp long, n long, same binary, cells array<long>"), "sketches")
-    sets, set_totals = kept(sketches.groupBy("same").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"), F.first("cells").alias("cells")))
-    prints, print_totals = kept(sketches.groupBy(F.col("fp").alias("of")).agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("_n")))
-    same_print = join_counted(sketches.select(F.col("row").alias("a"), "fp"), prints, "fp", totals=print_totals).select("a", F.col("least").alias("b"))
+    seen = Observation()
+    sketches = worded.mapInArrow(_sketches(shingle, words, bands, band_rows), "row long, fp long, n long, same binary, cells array<long>")
+    sketches = staged(sketches.observe(seen, F.count(F.lit(1)).alias("rows")), "sketches")
+    n = seen.get["rows"] or 0
+    sets, set_totals = kept(sketches.groupBy(F.col("same").alias("of")).agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"), F.first("cells").alias("cells")), n)
+    prints, print_totals = kept(sketches.groupBy(F.col("fp").alias("of")).agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("_n")), n)
+
+    def to_least(facts: DataFrame, key: str, totals: tuple) -> DataFrame:
+        """Links of rows to the least one of their key."""
+        shared = facts.filter("_n > 1").select("of", "_n", "least")
+        led = join_counted(sketches.select(F.col("row").alias("a"), key), shared, key, totals=totals).select("a", F.col("least").alias("b"))
+        return fitted(led.filter("a <> b"), n).checkpoint()
+
+    same_print, equal = to_least(prints, "fp", print_totals), to_least(sets, "same", set_totals)
     # links of fingerprints as links of rows: many of them may lead to one, so that side's links are counted
-    found = links(prints.select(F.col("of").alias("fp")), bits).checkpoint()
-    hubs, hub_totals = kept(found.groupBy(F.col("b").alias("of")).agg(F.count(F.lit(1)).alias("_n")).join(prints.select("of", "least"), "of"))
+    found = fitted(links(prints.select(F.col("of").alias("fp")), bits), n).checkpoint()
+    hubs, hub_totals = kept(found.groupBy(F.col("b").alias("of")).agg(F.count(F.lit(1)).alias("_n")).join(prints.select("of", "least"), "of"), n)
     near = join_counted(found, hubs, "b", totals=hub_totals).select("a", F.col("least").alias("first")).join(prints, F.col("a") == F.col("of")).select(F.col("least").alias("a"), F.col("first").alias("b"))
-    equal = join_counted(sketches.select(F.col("row").alias("a"), "same"), sets.select(F.col("same").alias("of"), "_n", F.col("row").alias("b")), "same", totals=set_totals).select("a", "b")
-    groups = components(near.unionByName(same_print).unionByName(equal).unionByName(similar_links(worded, sets, words, similarity)))
+    near = fitted(near, n).checkpoint()
+    similar = similar_links(worded, sets.select(F.col("least").alias("row"), "n", "cells"), words, similarity, in_place=True, n_sets=n)
+    groups = components(near.unionByName(same_print).unionByName(equal).unionByName(similar), n)
     ids = numbered.select(F.col("row").alias("member"), F.col("own.doc_id").alias("id"))
-    members = groups.join(ids, F.col("node") == F.col("member")).select("member", "root", "id").checkpoint()
+    members = fitted(groups.join(ids, F.col("node") == F.col("member")).select("member", "root", "id"), n).checkpoint()
     stay = members.groupBy("root", F.col("id").isNull()).agg(F.min(F.struct("id", "member"))["member"].alias("stays"))
-    gone = members.join(stay, F.col("member") == F.col("stays"), "left_anti").select("member")
-    return numbered.join(gone, F.col("row") == F.col("member"), "left_anti").select("own.*")
+    gone = beside(members.join(stay, F.col("member") == F.col("stays"), "left_anti").select(F.col("member").alias("row")), "near-copies")
+    small_batches(docs.sparkSession)  # links took larger ones
+    return numbered.mapInArrow(_without(gone), numbered.schema).select("own.*")

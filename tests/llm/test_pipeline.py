@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadrille.llm import decontamination, exact_dedup, minhash, simhash, toxicity
+from quadrille.llm import common, decontamination, exact_dedup, minhash, simhash, toxicity
 from tests.llm import plain
 
 SF = "/root/testdata/sf0.001"
@@ -173,3 +173,38 @@ def test_stages_on_odd_rows_with_clashing_columns(spark):
         kept = df.collect()
         assert df.columns == rows.columns and all(r[c] == f"{c}'s" for r in kept for c in CLASHING), name
         assert {r["nth"] for r in kept} == expected[name], name
+
+
+def test_near_copies_move_no_text_and_follow_rows(spark):
+    """No stage shuffles whole documents, and a small table is not spread over all of a session's partitions."""
+    base = [" ".join(f"t{k}x{i}" for i in range(4000)) for k in range(12)]
+    docs = [(2 * k, t) for k, t in enumerate(base)] + [(2 * k + 1, t + " more") for k, t in enumerate(base[:6])] + [(40, base[0].upper()), (41, None)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    context, before = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup("near-copies", "")
+    try:
+        out = simhash.drop_near_copies(rows)
+        assert "Exchange" not in out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+        assert ids(out) == [*range(0, 24, 2), 41]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    told = context.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("near-copies") for s in told.getJobInfo(j).stageIds}
+    tasks = sum(i.numTasks for s in stages if (i := told.getStageInfo(s)) and i.numCompletedTasks)
+    assert tasks < 1000
+
+
+def test_facts_beside_rows(spark):
+    """Facts meet their rows over chunks, also where a batch has rows of several chunks or of none."""
+    step = 1 << common.CHUNK_BITS
+    told = [5, step - 1, step, 3 * step + 7, (1 << 33) + 2]
+    path = common.beside(spark.createDataFrame([(r, 10 * r) for r in told], "row long, fact long"), "facts")
+    known = common.facts_of(path)
+    for rows in ([step, 4, 5, step - 1], [2 * step], [(1 << 33) + 2, 3 * step + 7, 9], [], told[::-1]):
+        has, facts = known(np.array(rows, np.int64))
+        assert has.tolist() == [r in told for r in rows]
+        assert (facts.column("fact").to_pylist() if facts is not None else []) == [10 * r for r in rows if r in told]
