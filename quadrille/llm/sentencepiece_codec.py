@@ -4,7 +4,8 @@ A model none of whose pieces holds a whitespace marker after another character n
 a run of markers. So a text's ids are the ids of its marked words, one after the other. Documents are written once, in
 compressed blocks, to the shared folder. Each block names its distinct marked words; every word goes to one task by its
 hash, is segmented there once by the library and comes back as ids in the order asked; the block, read again, then joins
-ids to its words by position. Texts cross no shuffle, and a task that is run again finds the same blocks.
+ids to its words by position. Texts cross no shuffle, and a task that is run again finds the same blocks. In a task each
+distinct word of a block is one object, however often it occurs, so what it holds is some times the block's bytes at most.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ import hashlib
 import re
 import uuid
 import zlib
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ MARK = "▁"
 _RUN = re.compile(" +[^ ]*")
 _CROSSING = re.compile(f"[^{MARK}]{MARK}")
 _CACHE_WORDS = 400_000
+_TOLD_WORDS = 20_000  # so many words go to the library at once
 
 
 @lru_cache(maxsize=2)
@@ -105,20 +108,29 @@ def _packs(folder: str, block_bytes: int):
     return run
 
 
-def _unpacked(path: str) -> tuple[list[int | None], list[str | None]]:
-    """doc_ids and texts of a block."""
+def _unpacked(path: str) -> tuple[list[int | None], Iterator[str | None]]:
+    """doc_ids and texts of a block; the texts are made as they are asked for."""
     there, place = store(path)
     with there.open_input_stream(place, compression=None) as f:
         t = pa.ipc.open_stream(f).read_all()
-    return t.column("doc_id").to_pylist(), t.column("text").to_pylist()
+    return t.column("doc_id").to_pylist(), (x for k in range(0, t.num_rows, 64) for x in t.column("text").slice(k, 64).to_pylist())
 
 
-def _by_part(words: list[list[str]], parts: int) -> list[list[bytes]]:
-    """A block's distinct words in the order of their first place, dealt to parts by hash."""
-    split: list[list[bytes]] = [[] for _ in range(parts)]
-    for word in dict.fromkeys(chain.from_iterable(words)):
-        raw = word.encode()
-        split[zlib.crc32(raw) % parts].append(raw)
+def _distinct(texts: Iterator[str | None]) -> tuple[list[list[str]], dict[str, str]]:
+    """The words of each text, and the distinct ones in the order of their first place; equal words are one object."""
+    seen: dict[str, str] = {}
+    words = []
+    for text in texts:
+        own = words_of(text)
+        words.append(list(map(seen.setdefault, own, own)))
+    return words, seen
+
+
+def _by_part(distinct: dict[str, str], parts: int) -> list[list[str]]:
+    """A block's distinct words dealt to parts by hash."""
+    split: list[list[str]] = [[] for _ in range(parts)]
+    for word in distinct:
+        split[zlib.crc32(word.encode()) % parts].append(word)
     return split
 
 
@@ -128,10 +140,15 @@ def _requests(parts: int):
     def run(batches):
         for batch in batches:
             for block, path in zip(*(batch.column(c).to_pylist() for c in ("block", "path"))):
-                split = _by_part([words_of(t) for t in _unpacked(path)[1]], parts)
+                seen: dict[str, None] = {}
+                for text in _unpacked(path)[1]:
+                    seen.update(dict.fromkeys(words_of(text)))
+                split = _by_part(seen, parts)
+                del seen
                 for k, w in enumerate(split):
                     if w or not k:
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((block, path, k, _pack(w)), _REQUEST.types)], schema=_REQUEST)
+                        packed = _pack([x.encode() for x in w])
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((block, path, k, packed), _REQUEST.types)], schema=_REQUEST)
 
     return run
 
@@ -149,13 +166,13 @@ def _segment(path: str):
                     known.clear()
                     odd.clear()
                 new = [w for w in words if w not in known]
-                plain = [w.decode() for w in new]
-                ids = sp.encode(plain, num_threads=1) if plain else []
-                back = sp.decode(ids, num_threads=1) if plain else []
-                for raw, word, x, decoded in zip(new, plain, ids, back):
-                    known[raw] = np.array(x, "<u2").tobytes() if word else alone
-                    if word and decoded != word:
-                        odd[raw] = decoded.encode()
+                for k in range(0, len(new), _TOLD_WORDS):
+                    plain = [w.decode() for w in new[k : k + _TOLD_WORDS]]
+                    ids = sp.encode(plain, num_threads=1)
+                    for raw, word, x, decoded in zip(new[k : k + _TOLD_WORDS], plain, ids, sp.decode(ids, num_threads=1)):
+                        known[raw] = array("H", x).tobytes() if word else alone
+                        if word and decoded != word:
+                            odd[raw] = decoded.encode()
                 strange = [w for w in words if w in odd] if odd else []
                 row = (block, source, part, _pack([known[w] for w in words]), _pack(strange), _pack([odd[w] for w in strange]))
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _ANSWER.types)], schema=_ANSWER)
@@ -170,19 +187,19 @@ def _joined(path: str, parts: int, digests: bool):
         sp = _model(path)
         begin, end = (np.array([x], "<u4").tobytes() for x in (sp.bos_id(), sp.eos_id()))
         doc_ids, every = _unpacked(told.column("path")[0].as_py())
-        asked = [words_of(t) for t in every]
+        asked, seen = _distinct(every)
         del every
-        split = _by_part(asked, parts)
+        split = _by_part(seen, parts)
+        del seen
         ids: dict[str, bytes] = {}
         odd: dict[str, str] = {}
         for part, got, strange, said in zip(*(told.column(c).to_pylist() for c in ("part", "ids", "odd", "odd_text"))):
-            for word, x in zip(split[part], _unpack(got), strict=True):
-                ids[word.decode()] = np.frombuffer(x, "<u2").astype("<u4").tobytes()
+            ids.update(zip(split[part], _unpack(got), strict=True))
             odd.update((a.decode(), b.decode()) for a, b in zip(_unpack(strange), _unpack(said)))
         del split
         rows = []
         for doc_id, words in zip(doc_ids, asked):
-            raw = begin + b"".join(map(ids.__getitem__, words)) + end
+            raw = begin + np.frombuffer(b"".join(map(ids.__getitem__, words)), "<u2").astype("<u4").tobytes() + end
             decoded = " ".join([odd.get(w, w) for w in words] if odd else words)
             if digests:
                 rows.append((doc_id, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))

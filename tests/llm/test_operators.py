@@ -5,11 +5,14 @@ import shutil
 import subprocess
 import sys
 import time
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +70,27 @@ def test_sentencepiece_ids_and_text(odd):
         assert plain._sp().decode(r["ids"]) == r["decoded"]
 
 
+def test_sentencepiece_holds_each_word_once(tmp_path, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    every = [" ".join(f"w{(k * n) % 1009}" for k in range(4000)) for n in range(1, 101)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(every)), pa.int64()), pa.array(every)], names=["doc_id", "text"])
+    (packed,) = sentencepiece_codec._packs(str(tmp_path), 16 << 20)([docs])
+    sentencepiece_codec._model(SP)
+
+    def peak(step, *of):
+        tracemalloc.start()
+        out = step(*of)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 6 * sum(map(len, every)), most  # an object for each word took over eleven times the texts' bytes
+        return out
+
+    asked = peak(lambda: list(sentencepiece_codec._requests(3)([pa.RecordBatch.from_arrays([pa.array([0]), packed.column("path")], names=["block", "path"])])))
+    told = pa.Table.from_batches(sentencepiece_codec._segment(SP)(asked))
+    rows = peak(sentencepiece_codec._joined(SP, 3, True), told).to_pylist()
+    assert [tuple(r.values()) for r in rows] == plain.op1(list(enumerate(every)))
+
+
 def test_simhash(docs):
     found = simhash.near_groups(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("f"), "component_id")
     same(found, ["doc_id", "f", "component_id"], plain.op2(pairs(docs)))
