@@ -172,6 +172,18 @@ def test_token_rules_are_tried(tmp_path):
         assert np.frombuffer(token_files.ids_of(path, text), "<u2").tolist() == token_files._tokenizer(path).encode(text, add_special_tokens=False).ids
 
 
+def test_frequent_words_outlive_a_full_cache(monkeypatch):
+    learnt, learn = Counter(), token_files._learn
+    monkeypatch.setattr(token_files, "_WORDS", {})
+    monkeypatch.setattr(token_files, "_CACHE_WORDS", 30)
+    monkeypatch.setattr(token_files, "_CACHE_PARTS", 30)
+    monkeypatch.setattr(token_files, "_learn", lambda path, words, *of: (learnt.update(words), learn(path, words, *of)))
+    texts = [f"The same words, Straße again. x{'abcdefghij'[k % 10] * (k % 7 + 1)}{'klmnopqrst'[k // 10]}! it's {k} <|endoftext|>" for k in range(100)]
+    got = [np.frombuffer(token_files.ids_of(WORDS, t), "<u2").tolist() for t in texts]
+    assert got == [token_files._tokenizer(WORDS).encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(learnt) > 100 and {learnt[w] for w in "The same words, Straße again. it's".split()} == {1}
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(0)
     for n in (1, 5, 511, 512, 513, 70_000):
