@@ -184,6 +184,29 @@ def test_frequent_words_outlive_a_full_cache(monkeypatch):
     assert len(learnt) > 100 and {learnt[w] for w in "The same words, Straße again. it's".split()} == {1}
 
 
+def test_words_of_letters_digits_and_marks_take_the_rules(monkeypatch):
+    assert token_files._ruled(WORDS)
+    library, asked = token_files._tokenizer(WORDS), []
+    text = "Well-known (À-côté) 3.14 x2y33z --end-- a_b/c:d 12 <b>ÿ</b> don't it's' '' 'LL a<|endoftext|>b A<|ENDOFTEXT|>b"
+    monkeypatch.setattr(token_files, "_WORDS", {})
+    monkeypatch.setattr(token_files, "_tokenizer", lambda path: SimpleNamespace(encode=lambda x, **kw: (asked.append(x), library.encode(x, **kw))[1], model=library.model))
+    got = np.frombuffer(token_files.ids_of(WORDS, f" {text}\n"), "<u2").tolist()
+    assert got == library.encode(f" {text}\n", add_special_tokens=False).ids
+    assert sorted(asked) == sorted(x for x in text.split() if "'" in x or "<|" in x)
+
+
+def test_kept_words_take_little_memory(monkeypatch):
+    assert token_files._ruled(WORDS)
+    monkeypatch.setattr(token_files, "_WORDS", {})
+    words = ["".join(chr(97 + k // 26**i % 26) for i in range(4)) + "Ünd." for k in range(100_000)]
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    token_files.ids_of(WORDS, " ".join(words))
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert kept < 150 * len(words)
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(0)
     for n in (1, 5, 511, 512, 513, 70_000):
