@@ -64,6 +64,18 @@ NEAR_END = "a.fid <> b.fid AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 1"
 HE = H + ", he AS (SELECT fid, 'start' AS side, x1 AS x, y1 AS y, status FROM hlines UNION ALL SELECT fid, 'end', x2, y1, status FROM hlines) "
 
 
+def _ends(lines):
+    return r.ends(lines.select("fid", F.col("x1").alias("xa"), F.col("y1").alias("ya"), F.col("x2").alias("xb"), F.col("y1").alias("yb")))
+
+
+def _geometries(lines):
+    """Each geometry of the layer once, with the least and the greatest fid that has it."""
+    return lines.groupBy("x1", "y1", "x2", "y2").agg(F.min("fid").alias("lo"), F.max("fid").alias("hi"))
+
+
+OTHER = "(b.lo <> a.fid OR b.hi <> a.fid)"
+
+
 def _connectivity(lines):
     ends = r.ends(lines.select("fid", F.col("x1").alias("xa"), F.col("y1").alias("ya"), F.col("x2").alias("xb"), F.col("y1").alias("yb")))
     near = r.box_join(r.as_boxes(ends), lines, grow=1, condition=F.expr(NEAR_LINE)).select(F.col("a.fid").alias("_fid"), F.col("a.side").alias("_side")).distinct()
@@ -92,12 +104,17 @@ def _shoots(name, which):
     sql = HE + f", d AS (SELECT a.fid, a.side, {D2} AS d2, a.x <= b.x1 OR a.x >= b.x2 AS at_end, b.fid AS other FROM he a JOIN hlines b ON a.fid <> b.fid AND {D2} <= 4), n AS (SELECT fid, side, min(d2) AS d2, arg_min(at_end, (d2, other)) AS at_end FROM d GROUP BY fid, side) SELECT fid, side, round(sqrt(d2), 6) AS measure FROM n WHERE d2 > 0 AND {'' if which else 'NOT '}at_end"
 
     def run(spark, sf_dir):
+        """An end that shares its place with another line's is joined; one that lies on several lines is, too. So the rest is
+        told by the nearest geometry that the end does not lie on, and of equal ones by the least fid."""
         lines = L.hlines(spark, sf_dir)
-        ends = r.ends(lines.select("fid", F.col("x1").alias("xa"), F.col("y1").alias("ya"), F.col("x2").alias("xb"), F.col("y1").alias("yb")))
-        near = r.box_join(r.as_boxes(ends), lines, grow=2, condition=F.expr(f"a.fid <> b.fid AND {D2} <= 4"))
-        rows = near.select(F.col("a.fid").alias("fid"), F.col("a.side").alias("side"), F.struct(F.expr(D2).alias("d2"), F.col("b.fid").alias("other"), F.expr("a.x <= b.x1 OR a.x >= b.x2").alias("at_end")).alias("n"))
-        least = rows.groupBy("fid", "side").agg(F.min("n").alias("n")).filter(F.col("n.d2") > 0)
-        return least.filter(F.col("n.at_end") if which else ~F.col("n.at_end")).select("fid", "side", F.round(F.sqrt("n.d2"), 6).alias("measure"))
+        ends = _ends(lines)
+        lone = r.places(ends).filter("lo = hi").select("x", "y", F.col("lo").alias("fid"))
+        near = r.box_join(r.as_boxes(lone), _geometries(lines), grow=2, condition=F.expr(f"{OTHER} AND {D2} <= 4"))
+        rows = near.select("a.fid", "a.x", "a.y", F.struct(F.expr(D2).alias("d2"), F.col("b.lo").alias("other"), F.expr("a.x <= b.x1 OR a.x >= b.x2").alias("at_end")).alias("n"))
+        least = rows.groupBy("fid", "x", "y").agg(F.min("n").alias("n")).filter(F.col("n.d2") > 0)
+        found = least.filter(F.col("n.at_end") if which else ~F.col("n.at_end"))
+        told = ends.join(found.select(*[F.col(k).alias(f"_{k}") for k in ("fid", "x", "y")], "n"), [F.col(k) == F.col(f"_{k}") for k in ("fid", "x", "y")])
+        return told.groupBy("fid", "side").agg(F.round(F.sqrt(F.min("n.d2")), 6).alias("measure"))
 
     query(sql, name)(run)
 
