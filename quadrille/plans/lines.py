@@ -76,10 +76,16 @@ def _geometries(lines):
 OTHER = "(b.lo <> a.fid OR b.hi <> a.fid)"
 
 
+def _at(ends, places):
+    """Ends at places of their own."""
+    same = [F.col(k) == F.col(f"_{k}") for k in ("fid", "x", "y")]
+    return ends.join(places.select(*[F.col(k).alias(f"_{k}") for k in ("fid", "x", "y")]), same, "left_semi")
+
+
 def _connectivity(lines):
-    ends = r.ends(lines.select("fid", F.col("x1").alias("xa"), F.col("y1").alias("ya"), F.col("x2").alias("xb"), F.col("y1").alias("yb")))
-    near = r.box_join(r.as_boxes(ends), lines, grow=1, condition=F.expr(NEAR_LINE)).select(F.col("a.fid").alias("_fid"), F.col("a.side").alias("_side")).distinct()
-    return r.unconnected(ends, 1).join(near, (F.col("fid") == F.col("_fid")) & (F.col("side") == F.col("_side")), "left_semi").select("fid", "side")
+    ends = _ends(lines)
+    near = r.box_join(r.as_boxes(r.lone_places(ends, 1)), _geometries(lines), grow=1, condition=F.expr(NEAR_LINE.replace("a.fid <> b.fid", OTHER)))
+    return _at(ends, near.select("a.fid", "a.x", "a.y")).select("fid", "side")
 
 
 @query(HE + f"SELECT fid, side FROM he a WHERE EXISTS (SELECT 1 FROM hlines b WHERE {NEAR_LINE}) AND NOT EXISTS (SELECT 1 FROM he b WHERE {NEAR_END})")
