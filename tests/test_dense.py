@@ -42,7 +42,7 @@ def rows(query, spark, folder):
     return sorted(map(tuple, catalogue.QUERIES[query](spark, folder).collect()))
 
 
-@pytest.mark.parametrize("query,dx,dy", [("geom_overshoot", 1, 0), ("geom_undershoot", -2, 1), ("rel_line_connectivity", -2, 1)])
+@pytest.mark.parametrize("query,dx,dy", [("geom_overshoot", 1, 0), ("geom_undershoot", -2, 1), ("rel_line_connectivity", -2, 1), ("rel_line_connectivity_filter", -2, 1)])
 def test_a_line_beside_very_many_in_one_place(spark, tmp_path, query, dx, dy):
     base = next(k for k in range(SAME) if k % 9 == 8)
     lone = near(base, dx, dy)[0]
