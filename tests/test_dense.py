@@ -59,3 +59,12 @@ def test_very_many_points_in_one_place(spark, tmp_path):
     duckdb.sql(f"COPY (SELECT range * 1003 * 211 AS event_id, 'error' AS event_type FROM range(60000) UNION ALL SELECT 1003 * 211 * 5 + 1, 'error') TO '{tmp_path}/events.parquet'")
     got = dict(within(spark, 60, lambda: rows("geom_near_duplicate", spark, str(tmp_path))))
     assert len(got) == 59_999 and set(got.values()) == {0}
+
+
+def copies(tmp_path, table, columns, n, first, apart):
+    duckdb.sql(f"COPY (SELECT {first} + range * {apart} AS {columns} FROM range({n})) TO '{tmp_path}/{table}.parquet'")
+
+
+def test_a_hundred_thousand_tracks(spark, tmp_path):
+    copies(tmp_path, "orders", "o_orderkey, 'F' AS o_orderstatus, 1.0 AS o_totalprice", 100_000, 0, 1)
+    assert within(spark, 60, lambda: catalogue.QUERIES["topo_simplify_tracks"](spark, str(tmp_path)).selectExpr("count(vertices)").first()[0]) == 100_000
