@@ -71,6 +71,15 @@ def test_slanted_lines_in_one_place(spark, tmp_path, query):
     assert within(spark, 60, lambda: rows(query, spark, str(tmp_path))) == []
 
 
+@pytest.mark.parametrize("query", ["rel_contour_intersection"])
+def test_pairs_of_lines_in_one_place(spark, tmp_path, query):
+    n = 15_000
+    copies(tmp_path, "orders", "o_orderkey, 'F' AS o_orderstatus, 1.0 AS o_totalprice", n, 8, 2 * SAME)
+    df = catalogue.QUERIES[query](spark, str(tmp_path))
+    got = within(spark, 120, lambda: df.selectExpr("count(*) AS n", "count_if(fid < related_fid) AS right", "min(measure) AS m").first())
+    assert got["n"] == got["right"] == n * (n - 1) // 2 and got["m"] > 0
+
+
 def test_a_hundred_thousand_tracks(spark, tmp_path):
     copies(tmp_path, "orders", "o_orderkey, 'F' AS o_orderstatus, 1.0 AS o_totalprice", 100_000, 0, 1)
     assert within(spark, 60, lambda: catalogue.QUERIES["topo_simplify_tracks"](spark, str(tmp_path)).selectExpr("count(vertices)").first()[0]) == 100_000
