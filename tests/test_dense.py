@@ -80,6 +80,14 @@ def test_pairs_of_lines_in_one_place(spark, tmp_path, query):
     assert got["n"] == got["right"] == n * (n - 1) // 2 and got["m"] > 0
 
 
+def test_lines_in_one_place_are_clipped_once(spark, tmp_path):
+    copies(tmp_path, "orders", "o_orderkey, 'F' AS o_orderstatus, 1.0 AS o_totalprice", 300_000, 8, SAME)
+    copies(tmp_path, "part", "p_partkey", 2000, 0, 1)
+    df = catalogue.QUERIES["rel_polygon_not_intersect_line_parts"](spark, str(tmp_path))
+    got = within(spark, 60, lambda: df.selectExpr("count(*) AS n", "count(DISTINCT related_fid) AS m").first())
+    assert got["m"] == 300_000 and got["n"] % 300_000 == 0
+
+
 def test_a_hundred_thousand_tracks(spark, tmp_path):
     copies(tmp_path, "orders", "o_orderkey, 'F' AS o_orderstatus, 1.0 AS o_totalprice", 100_000, 0, 1)
     assert within(spark, 60, lambda: catalogue.QUERIES["topo_simplify_tracks"](spark, str(tmp_path)).selectExpr("count(vertices)").first()[0]) == 100_000
