@@ -80,6 +80,14 @@ def test_pairs_of_lines_in_one_place(spark, tmp_path, query):
     assert got["n"] == got["right"] == n * (n - 1) // 2 and got["m"] > 0
 
 
+def test_boxes_in_one_place_are_clipped_once(spark, tmp_path):
+    copies(tmp_path, "supplier", "s_suppkey", 100_000, 1, 221_000)
+    copies(tmp_path, "part", "p_partkey", 2000, 0, 1)
+    df = catalogue.QUERIES["rel_polygon_not_overlap_parts"](spark, str(tmp_path))
+    got = within(spark, 60, lambda: df.selectExpr("count(*) AS n", "count(DISTINCT related_fid) AS m").first())
+    assert got["m"] == 100_000 and got["n"] % 100_000 == 0
+
+
 def test_lines_in_one_place_are_clipped_once(spark, tmp_path):
     copies(tmp_path, "orders", "o_orderkey, 'F' AS o_orderstatus, 1.0 AS o_totalprice", 300_000, 8, SAME)
     copies(tmp_path, "part", "p_partkey", 2000, 0, 1)
