@@ -65,7 +65,7 @@ def copies(tmp_path, table, columns, n, first, apart):
     duckdb.sql(f"COPY (SELECT {first} + range * {apart} AS {columns} FROM range({n})) TO '{tmp_path}/{table}.parquet'")
 
 
-@pytest.mark.parametrize("query", ["geom_overshoot_paths"])
+@pytest.mark.parametrize("query", ["geom_overshoot_paths", "geom_undershoot_paths"])
 def test_slanted_lines_in_one_place(spark, tmp_path, query):
     copies(tmp_path, "orders", "o_orderkey, 'F' AS o_orderstatus, 1.0 AS o_totalprice", 30_000, 5, 997 * 499 * 420)
     assert within(spark, 60, lambda: rows(query, spark, str(tmp_path))) == []
