@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import filters
 from quadrille.functions import overlay as o
 from quadrille.operators import attribute, relation, shapes, topology
+from quadrille.sources.staging import staged
 
 c = F.col
 SCHEMA = "rule_id string, case_type string, table_id string, feature_id long, related_table_id string, related_feature_id long, field_name string, actual_value string, expected_value string, measure double, x double, y double, message string"
@@ -78,7 +79,7 @@ def _not_intersect_line(main, related, rule):
 
 @case_type("PolygonMissingLine")
 def _missing_line(main, related, rule):
-    met = shapes.lines_meet(main, related).select(c("fid").alias("_met"))
+    met = shapes.met_by_lines(main, related).select(c("fid").alias("_met"))
     return main.join(met, c("fid") == c("_met"), "left_anti").select("fid")
 
 
@@ -226,14 +227,17 @@ def _narrowed(layers: list[DataFrame], text: str | None) -> tuple[list[DataFrame
 def run_relations(layers: dict[str, DataFrame], rules: DataFrame) -> DataFrame:
     """The errors of a rule table (RULE, and maybe field_filter) over layers. Rules that are not enabled, whose id begins
     with #, of an unknown case type or a layer that is not there are passed over. A field text that is a filter narrows
-    both layers; one that names fields and options goes to the check. A rule table is configuration: some dozens of
+    both layers; one that names fields and options goes to the check. Layers that rules name are written once and read
+    by each rule from there, so the plan of many rules stays small. A rule table is configuration: some dozens of
     rows."""
-    known = {k.lower(): v for k, v in layers.items()}
-    out = None
+    known, written, out = {k.lower(): v for k, v in layers.items()}, {}, None
     for rule in rules.filter("upper(enabled) = 'Y' AND NOT startswith(rule_id, '#')").orderBy("rule_id").collect():
         check, main, related = CASES.get(rule["case_type"].lower()), known.get(rule["main_table"].lower()), known.get((rule["related_table"] or "").lower())
         if check is None or main is None or related is None:
             continue
+        for name in (rule["main_table"].lower(), rule["related_table"].lower()):
+            written[name] = written[name] if name in written else staged(known[name])
+        main, related = written[rule["main_table"].lower()], written[rule["related_table"].lower()]
         (main, related), own = _narrowed([main, related], rule["field_filter"] if "field_filter" in rules.columns else None)
         own.tolerance = rule["tolerance"] or 0.0
         found = check(main, related, own).withColumnRenamed("fid", "feature_id")

@@ -108,3 +108,8 @@ def test_the_union_of_copies_is_that_of_one(spark, tmp_path):
         copies(tmp_path / str(n), "supplier", "s_suppkey", n, 3, 1000)
         found.append(within(spark, 60, lambda n=n: rows("agg_union_geometry_shapes", spark, str(tmp_path / str(n)))))
     assert found[0] and found[0] == found[1]
+
+
+def test_the_plan_of_a_rule_table_stays_small(spark):
+    df = catalogue.QUERIES["agg_error_relation"](spark, "/root/testdata/sf0.001")
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 150_000
