@@ -71,7 +71,7 @@ def test_slanted_lines_in_one_place(spark, tmp_path, query):
     assert within(spark, 60, lambda: rows(query, spark, str(tmp_path))) == []
 
 
-@pytest.mark.parametrize("query", ["rel_contour_intersection", "rel_line_intersection_attr"])
+@pytest.mark.parametrize("query", ["rel_contour_intersection_paths", "rel_contour_intersection", "rel_line_intersection_attr"])
 def test_pairs_of_lines_in_one_place(spark, tmp_path, query):
     n = 15_000
     copies(tmp_path, "orders", "o_orderkey, 'F' AS o_orderstatus, 1.0 AS o_totalprice", n, 8, 2 * SAME)
