@@ -25,6 +25,7 @@ from quadrille.sources.staging import kept
 
 c = F.col
 RX, RY = 0.31415926535, 0.27182818284  # where in a cell its known place is, so that no vertex is likely to lie level with it
+SHAPES = 500  # so many shapes of a batch are cut at the grid together
 CELL_SIDES = 1500  # a cell with more is quartered within its task
 
 
@@ -50,8 +51,9 @@ def cut_at_grid(sides: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray]
     return np.hstack([places[:-1][same], places[1:][same]]), every[1:, 0][same].astype(np.int64)
 
 
-def spans(sides: np.ndarray, size: float) -> np.ndarray:
-    """Where the lines through columns lie in the shape: column, lower and upper y."""
+def spans(sides: np.ndarray, size: float, shape: np.ndarray | None = None) -> np.ndarray:
+    """Where the lines through columns lie in the shape: column, lower and upper y, and the shape's number where sides are
+    of several (shape has one for each side)."""
     lo, hi = np.minimum(sides[:, 0], sides[:, 2]), np.maximum(sides[:, 0], sides[:, 2])
     first, last = np.ceil(lo / size - RX), np.ceil(hi / size - RX) - 1
     times = np.maximum(0, last - first + 1).astype(np.int64)
@@ -59,25 +61,28 @@ def spans(sides: np.ndarray, size: float) -> np.ndarray:
     column = first[own] + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     x = (column + RX) * size
     y = sides[own, 1] + (sides[own, 3] - sides[own, 1]) * ((x - sides[own, 0]) / (sides[own, 2] - sides[own, 0]))
-    order = np.lexsort((y, column))
-    column, y = column[order], y[order]
-    return np.stack([column[::2], y[::2], y[1::2]], axis=1)
+    of = np.zeros(len(own), np.int64) if shape is None else shape[own]
+    order = np.lexsort((y, column, of))
+    column, y, of = column[order], y[order], of[order]
+    return np.stack([column[::2], y[::2], y[1::2], of[::2]], axis=1)
 
 
 def _rows(size: float, of: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for nth, rings in zip(batch.column("nth").to_pylist(), ring_lists(batch.column("rings"))):
-                sides = clip.sides_of(rings)
+            number = batch.column("nth").to_numpy()
+            for begin in range(0, batch.num_rows, SHAPES):
+                every = [clip.sides_of(rings) for rings in ring_lists(batch.column("rings").slice(begin, SHAPES))]
+                sides, shape = np.concatenate(every), np.repeat(number[begin : begin + SHAPES], [len(x) for x in every])
                 if of == "pieces":
-                    p, _ = cut_at_grid(sides, size)
+                    p, own = cut_at_grid(sides, size)
                     at = np.floor((p[:, :2] + p[:, 2:]) / 2 / size).astype(np.int64)
-                    columns = [at[:, 0], at[:, 1], np.full(len(p), nth), *p.T]
+                    columns = [at[:, 0], at[:, 1], shape[own], *p.T]
                     names = ["cx", "cy", "nth", "px", "py", "qx", "qy"]
                 else:
-                    v = spans(sides, size)
+                    v = spans(sides, size, np.repeat(np.arange(len(every)), [len(x) for x in every]))
                     x = (v[:, 0] + RX) * size
-                    columns, names = [v[:, 0].astype(np.int64), np.full(len(v), nth), x, v[:, 1], x, v[:, 2]], ["column", "nth", "x1", "y1", "x2", "y2"]
+                    columns, names = [v[:, 0].astype(np.int64), number[begin + v[:, 3].astype(np.int64)], x, v[:, 1], x, v[:, 2]], ["column", "nth", "x1", "y1", "x2", "y2"]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
     return run
@@ -173,19 +178,24 @@ def chained(edges: np.ndarray, window: tuple[float, float, float]) -> list[np.nd
 _CHAIN = f"closed boolean, sx double, sy double, ex double, ey double, leaving double, coming double, path {RINGS[6:-1]}"
 
 
+def _edges(key: tuple, group: pa.Table, size: float) -> tuple[np.ndarray, tuple[float, float, float]]:
+    """The outline's edges in a cell, and the cell."""
+    cx, cy = (k.as_py() for k in key)
+    nth = group.column("nth").to_numpy()
+    v = np.stack([group.column(k).to_numpy() for k in ("px", "py", "qx", "qy")], axis=1)
+    covers = np.isnan(v[:, 0])
+    held = set(nth[covers].tolist())
+    shapes = np.unique(nth[~covers])
+    window = (cx * size, cy * size, size)
+    if held - set(shapes.tolist()):  # a shape without sides here fills the cell
+        return np.zeros((0, 4)), window
+    return outline(window, [v[~covers & (nth == k)] for k in shapes], [k in held for k in shapes.tolist()]), window
+
+
 def _of_cell(size: float):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        cx, cy = (k.as_py() for k in key)
-        nth = group.column("nth").to_numpy()
-        v = np.stack([group.column(k).to_numpy() for k in ("px", "py", "qx", "qy")], axis=1)
-        covers = np.isnan(v[:, 0])
-        held = set(nth[covers].tolist())
-        shapes = np.unique(nth[~covers])
-        chains: list[np.ndarray] = []
-        window = (cx * size, cy * size, size)
-        if not held - set(shapes.tolist()):  # else a shape without sides here fills the cell
-            sides = [v[~covers & (nth == k)] for k in shapes]
-            chains = chained(outline(window, sides, [k in held for k in shapes.tolist()]), window)
+        edges, window = _edges(key, group, size)
+        chains = chained(edges, window) if len(edges) else []
         way = lambda a, b: float(np.arctan2(b[1] - a[1], b[0] - a[0]))
         first, last = [x[0] for x in chains], [x[-1] for x in chains]
         columns = [[bool((a == b).all()) for a, b in zip(first, last)], *([float(x[k]) for x in e] for e in (first, last) for k in (0, 1)), [way(x[0], x[1]) for x in chains], [way(x[-1], x[-2]) for x in chains]]
@@ -195,17 +205,33 @@ def _of_cell(size: float):
     return run
 
 
-def chains(layer: DataFrame, size: float | None = None) -> DataFrame:
-    """The outline of the union of a layer of polygons (rings) in pieces, each within one cell: closed (a ring by itself),
-    its ends, the directions in which it leaves and is come to, and path. The union lies on the left."""
+def _totals_of_cell(size: float):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        v, _ = _edges(key, group, size)
+        area, length = (v[:, 0] * v[:, 3] - v[:, 2] * v[:, 1]).sum() / 2, np.hypot(v[:, 2] - v[:, 0], v[:, 3] - v[:, 1]).sum()
+        return pa.table({"area": pa.array([float(area)]), "length": pa.array([float(length)])})
+
+    return run
+
+
+def _by_cell(layer: DataFrame, size: float | None, coarser: int = 1):
+    """The sides of a layer by the cells that they run through, with the shapes that hold a cell's place, and the cell's edge."""
     shapes = s.polygons(layer.select("rings", F.monotonically_increasing_id().alias("fid"))).select(c("fid").alias("nth"), c("rings").cast(RINGS).alias("rings"), *s.BOX)
-    size = size or r.grid(shapes, shapes)[0]
+    size = size or coarser * r.grid(shapes, shapes)[0]
     own = shapes.select("nth", "rings")
     pieces, _ = kept(own.mapInArrow(_rows(size, "pieces"), "cx long, cy long, nth long, px double, py double, qx double, qy double"))
     cells = pieces.select(c("cx").alias("kx"), c("cy").alias("ky")).distinct().withColumns({"x": (c("kx") + RX) * size, "y": (c("ky") + RY) * size})
     along = own.mapInArrow(_rows(size, "spans"), "column long, nth long, x1 double, y1 double, x2 double, y2 double")
     covers = r.box_join(r.as_boxes(cells), along, size=size, condition=c("a.kx") == c("b.column")).select(c("a.kx").alias("cx"), c("a.ky").alias("cy"), c("b.nth").alias("nth"), *[F.lit(float("nan")).alias(k) for k in ("px", "py", "qx", "qy")])
-    return pieces.unionByName(covers).groupBy("cx", "cy").applyInArrow(_of_cell(size), _CHAIN)
+    tasks = int(layer.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # cells are small for the time that each takes
+    return pieces.unionByName(covers).repartition(tasks, "cx", "cy").groupBy("cx", "cy"), size
+
+
+def chains(layer: DataFrame, size: float | None = None) -> DataFrame:
+    """The outline of the union of a layer of polygons (rings) in pieces, each within one cell: closed (a ring by itself),
+    its ends, the directions in which it leaves and is come to, and path. The union lies on the left."""
+    rows, size = _by_cell(layer, size)
+    return rows.applyInArrow(_of_cell(size), _CHAIN)
 
 
 def cycles(links: DataFrame) -> DataFrame:
@@ -284,13 +310,10 @@ def dissolved(layer: DataFrame, size: float | None = None) -> DataFrame:
 
 
 def outline_totals(layer: DataFrame, size: float | None = None) -> DataFrame:
-    """area, length: of the union of a layer, from its outline alone; no ring is put together."""
-    base = F.col("path")[0]
-    cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
-    sides = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.struct(F.element_at("path", k).alias("p"), F.element_at("path", k + 1).alias("q")))
-    part = F.aggregate(sides, F.lit(0.0), lambda t, e: t + cross(e["p"], e["q"])) / 2
-    long = F.aggregate(sides, F.lit(0.0), lambda t, e: t + F.sqrt(F.pow(e["q"]["x"] - e["p"]["x"], 2) + F.pow(e["q"]["y"] - e["p"]["y"], 2)))
-    return chains(layer, size).filter(base.isNotNull()).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("area"), F.coalesce(F.sum(long), F.lit(0.0)).alias("length"))
+    """area, length: of the union of a layer, from the outline's edges in each cell; none are put together."""
+    rows, size = _by_cell(layer, size, 2)
+    parts = rows.applyInArrow(_totals_of_cell(size), "area double, length double")
+    return parts.agg(*[F.coalesce(F.sum(k), F.lit(0.0)).alias(k) for k in ("area", "length")])
 
 
 def gaps(layer: DataFrame, tolerance: float = 0) -> DataFrame:

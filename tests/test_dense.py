@@ -3,9 +3,12 @@
 import threading
 
 import duckdb
+import numpy as np
 import pytest
 
 from quadrille import catalogue
+from quadrille.functions import clip
+from quadrille.operators import dissolve
 
 SAME = 297 * 199  #: orders whose keys differ by this are lines in one place
 
@@ -113,3 +116,10 @@ def test_the_union_of_copies_is_that_of_one(spark, tmp_path):
 def test_the_plan_of_a_rule_table_stays_small(spark):
     df = catalogue.QUERIES["agg_error_relation"](spark, "/root/testdata/sf0.001")
     assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 150_000
+
+
+def test_spans_of_shapes_together_are_those_of_each():
+    shapes = [clip.sides_of([[(x, 0), (x + 13, 3), (x + 4, 12), (x, 0)]]) for x in (0, 5, 40)]
+    each = [np.hstack([dissolve.spans(v, 4)[:, :3], np.full((len(dissolve.spans(v, 4)), 1), n)]) for n, v in enumerate(shapes)]
+    got = dissolve.spans(np.concatenate(shapes), 4, np.repeat(np.arange(3), [len(v) for v in shapes]))
+    assert np.array_equal(got, np.concatenate(each))
